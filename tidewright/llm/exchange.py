@@ -16,17 +16,15 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.core import binary
 
-PACKED = "bucket int, block int, hashes binary, again binary"
+PACKED = "bucket int, block int, hashes binary, counts binary"
+#: What a block learns where the number of occurrences matters: a hash, and whether it occurs more often than a limit.
+COUNTED = np.dtype([("hash", "<u8"), ("many", "u1")])
 
 
-def pack(block: int, hashes: np.ndarray, buckets: int, again: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows (bucket, block, distinct sorted hashes, whether each occurs again in the block) for one block.
-
-    again, given with hashes, says so of hashes in any order; else it's counted here.
-    """
-    if again is None:
-        hashes, counts = np.unique(hashes, return_counts=True)
-        again = counts > 1
+def pack(block: int, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, block, distinct sorted hashes, occurrences of each, 255 at most) for one block."""
+    hashes, counts = np.unique(hashes, return_counts=True)
+    counts = np.minimum(counts, 255).astype(np.uint8)
     ends = np.searchsorted(hashes, np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64))
     cuts = [0, *ends.tolist(), len(hashes)]
     full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
@@ -35,42 +33,49 @@ def pack(block: int, hashes: np.ndarray, buckets: int, again: np.ndarray | None
             pa.array(full, pa.int32()),
             pa.array([block] * len(full), pa.int32()),
             binary([hashes[cuts[i] : cuts[i + 1]].tobytes() for i in full]),
-            binary([np.packbits(again[cuts[i] : cuts[i + 1]]).tobytes() for i in full]),
+            binary([counts[cuts[i] : cuts[i + 1]].tobytes() for i in full]),
         ],
-        ["bucket", "block", "hashes", "again"],
+        ["bucket", "block", "hashes", "counts"],
     )
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one or more buckets: for each block, its hashes that occur again. A bucket's rows need not be together."""
-    blocks, hashes, again = [], [], []
-    for batch in batches:
-        for block, packed, bits in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            x = np.frombuffer(packed.as_buffer(), np.uint64)
-            blocks.append(np.full(len(x), block, np.int32))
-            hashes.append(x.copy())
-            again.append(np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(x)).astype(bool))
-    if not hashes:
-        return
-    blocks, hashes, again = (np.concatenate(x) for x in (blocks, hashes, again))
-    order = np.argsort(hashes, kind="stable")
-    blocks, hashes, again = blocks[order], hashes[order], again[order]
-    same = hashes[1:] == hashes[:-1]
-    again[1:] |= same
-    again[:-1] |= same
-    blocks, hashes = blocks[again], hashes[again]
-    order = np.argsort(blocks, kind="stable")
-    blocks, hashes = blocks[order], hashes[order]
-    names, first = np.unique(blocks, return_index=True)
-    cuts = [*first.tolist(), len(blocks)]
-    for i in range(0, len(names), 64):
-        part = range(i, min(i + 64, len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], pa.int32()), binary([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in part])], ["block", "hashes"])
-
-
-def repeated(packed: DataFrame, buckets: int) -> DataFrame:
-    """(block, hashes): what pack() rows say occurs more than once, for each block that has it."""
-    return packed.repartitionById(buckets, F.col("bucket")).select("bucket", "block", "hashes", "again").mapInArrow(_repeated, "block int, hashes binary")
+def _repeated(limit: int | None):
+    """Of one or more buckets, whose rows need not be together: for each block, its hashes that occur again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, hashes, counts = [], [], []
+        for batch in batches:
+            for block, packed, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                hashes.append(np.frombuffer(packed.as_buffer(), np.uint64).copy())
+                counts.append(np.frombuffer(n.as_buffer(), np.uint8).copy())
+                blocks.append(np.full(len(hashes[-1]), block, np.int32))
+        if not hashes:
+            return
+        blocks, hashes, counts = (np.concatenate(x) for x in (blocks, hashes, counts))
+        order = np.argsort(hashes, kind="stable")
+        blocks, hashes, counts = blocks[order], hashes[order], counts[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        total = np.repeat(np.add.reduceat(counts.astype(np.int64), first), np.diff(np.r_[first, len(hashes)]))
+        again = total > 1
+        blocks, hashes, total = blocks[again], hashes[again], total[again]
+        order = np.argsort(blocks, kind="stable")
+        blocks, hashes, total = blocks[order], hashes[order], total[order]
+        if limit is not None:
+            rows = np.empty(len(hashes), COUNTED)
+            rows["hash"], rows["many"] = hashes, total > limit
+            hashes = rows
+        names, first = np.unique(blocks, return_index=True)
+        cuts = [*first.tolist(), len(blocks)]
+        for i in range(0, len(names), 64):
+            part = range(i, min(i + 64, len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], pa.int32()), binary([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in part])], ["block", "hashes"])
+
+    return run
+
+
+def repeated(packed: DataFrame, buckets: int, limit: int | None = None) -> DataFrame:
+    """(block, hashes): what pack() rows say occurs more than once, for each block that has it; with a limit, as COUNTED records."""
+    return packed.repartitionById(buckets, F.col("bucket")).select("bucket", "block", "hashes", "counts").mapInArrow(_repeated(limit), "block int, hashes binary")
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, n: int, kind: str) -> DataFrame:

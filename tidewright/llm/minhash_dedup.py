@@ -7,9 +7,12 @@
 3. ROWS bins make a band, each band's hash a bucket key. In every bucket with two or more classes, the smallest id is the hub
    and gets a candidate edge to each other member: a bucket of m members gives m - 1 edges.
 4. Candidates are confirmed on the full shingle sets.
-5. Stars alone would lose a link between two members that are both unlike their hub. Buckets whose members are then still in
-   different components get edges between those components, from the members outside the bucket's largest
-   component; after these are confirmed, no pair that shares a bucket and isn't connected is untested.
+5. Stars alone would lose a link between two members that are both unlike their hub. For buckets whose members are then still in
+   different components, all their members' shingles are counted: a shingle that more than COMMON of these documents have is common, one that
+   2 to COMMON have is rare. The member with the largest share of common shingles becomes a second hub. Then,
+   of two members in different components, either they share a rare shingle, and meet by it, or their overlap is at most the lesser of their
+   numbers of common shingles; only pairs for which that could reach the threshold are tested bucket by bucket. So no pair that shares a
+   bucket and could be alike stays untested, and a large group of loosely alike documents doesn't give all its pairs.
 
 With 40 bands of 6 bins, a pair at a similarity of 0.8 shares no bucket with a probability of 5e-6, and less above.
 """
@@ -24,11 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.components import components
-from tidewright.llm.core import Scratch, Words, mix, prepare, slices
+from tidewright.llm.core import Scratch, Words, mix, partitions, prepare, slices, text_blocks
+from tidewright.llm.exchange import COUNTED, PACKED, pack, repeated, split_answers, with_answers
 
 BANDS, ROWS = 40, 6
 #: Candidate edges of one hub that one confirming group takes at most.
 STAR = 256
+#: Documents that have a shingle which counts as common.
+COMMON = 32
+#: Ids that are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def _probes(bins: int, attempts: int = 64) -> np.ndarray:
@@ -111,14 +119,122 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v) of those pairs (hub, id) whose shingle sets are alike. A hub's members are dealt to groups of about STAR."""
+def pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose id is in ids (a table with that column alone, distinct)."""
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(u, v) of those pairs (hub, id) whose shingle sets are alike, kept as a table. A hub's members are dealt to groups of about STAR."""
     groups = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("groups"))
     members = pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("role"), "id")
     hubs = groups.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
-    rows = members.unionByName(hubs).join(texts, "id").select("hub", "salt", "role", "id", "text")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(_confirm(words, percent), "u long, v long")
+    roles = scratch.keep(members.unionByName(hubs), f"{name}-roles")
+    rows = roles.join(pick(texts, roles.select("id").distinct()), "id").select("hub", "salt", "role", "id", "text")
+    n = partitions(pairs.sparkSession)
+    found = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(_confirm(words, percent), "u long, v long")
+    found = scratch.keep(found, name)
+    scratch.drop(f"{name}-roles")
+    return found
+
+
+def _send_shingles(words: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            if batch.num_rows:
+                own = found.setdefault(batch.column(0)[0].as_py(), [])
+                for _, data, offsets in slices(batch):
+                    own += list(Words(data, offsets, lower=True).shingles(words))
+        for block, parts in found.items():
+            yield pack(block, np.concatenate(parts), buckets)
+
+    return run
+
+
+def _profiles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for _, answers, texts in split_answers(batches):
+            if texts is None:
+                known = None
+                continue
+            if known is None:
+                known = np.sort(np.frombuffer(b"".join(answers), COUNTED), order="hash")
+            for part, data, offsets in slices(texts):
+                common, rare = [], []
+                for x in Words(data, offsets, lower=True).shingles(words):
+                    at = np.minimum(np.searchsorted(known["hash"], x), max(len(known) - 1, 0))
+                    here = known["hash"][at] == x if len(known) else np.zeros(len(x), bool)
+                    many = here & (known["many"][at] > 0) if len(known) else here
+                    common.append(int(many.sum()))
+                    rare.append(x[here & ~many].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(common, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["id", "common", "rare"])
+
+    return run
+
+
+def profiles(texts: DataFrame, words: int) -> DataFrame:
+    """id, common (number of shingles that more than COMMON of these texts have) and rare (the shingles that 2 to COMMON have)."""
+    n = partitions(prepare(texts.sparkSession))
+    blocks = text_blocks(texts, "id", "text", n)
+    answers = repeated(blocks.repartitionById(n, F.col("block")).mapInArrow(_send_shingles(words, n), PACKED), n, COMMON)
+    return with_answers(blocks, answers, n, "binary").mapInArrow(_profiles(words), "id long, common long, rare array<long>")
+
+
+def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, n, component of the buckets whose members are in different components."""
+    own = buckets.select("key", "id", "n").join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return own.join(split, "key")
+
+
+def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """component of every id that has a confirmed link and isn't the smallest of its component, as (u, component)."""
+
+    def alike(common: str, n: str, m: str) -> str:
+        return f"100 * {common} >= {percent} * ({n} + {m} - {common})"
+
+    near_size = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
+    stars = buckets.filter("id <> hub").select("hub", "id", "n").distinct().join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
+    tested = scratch.keep(stars.filter(near_size).select("hub", "id"), "stars")
+    links = confirm(tested, texts, words, percent, scratch, "links")
+    labels = components(links, scratch, "first")
+
+    own = scratch.keep(_unsettled(buckets, labels), "unsettled")
+    ids = scratch.keep(own.select("id").distinct(), "unsettled-ids")
+    if ids.isEmpty():
+        return labels
+    known = scratch.keep(profiles(pick(texts, ids), words).dropDuplicates(["id"]), "profiles")
+    own = own.join(known.select("id", "common"), "id")
+    center = F.max(F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("top")
+    centers = own.groupBy("key").agg(center).select("key", (-F.col("top.id")).alias("hub"), "top.hub_n", "top.hub_component")
+    second = own.join(centers, "key").filter("id <> hub and component <> hub_component").filter(near_size).select("hub", "id").distinct()
+    both = tested.unionByName(tested.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
+    second = scratch.keep(second.join(both, ["hub", "id"], "left_anti"), "second-stars")
+    if not second.isEmpty():
+        links = scratch.keep(links.unionByName(confirm(second, texts, words, percent, scratch, "second-links")), "second-all")
+        labels = components(links, scratch, "second")
+        both = both.unionByName(second).unionByName(second.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
+
+    own = scratch.keep(_unsettled(buckets, labels).join(known.select("id", "common"), "id"), "still-unsettled")
+    members = own.select("id", "n", "component").distinct()
+    rare = members.join(known.select("id", F.explode("rare").alias("shingle")), "id")
+    twin = rare.select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    by_rare = rare.join(twin, "shingle").filter("hub < id and component <> hub_component").filter(near_size).select("hub", "id").distinct()
+    counts = own.groupBy("key", "component").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
+    outside = own.join(largest, "key").filter("component <> largest")
+    outside = outside.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("component").alias("hub_component"), "largest")
+    outside = outside.filter(f"100 * hub_common >= {percent} * hub_n")
+    rest = own.join(outside, "key").filter("component <> hub_component and (component = largest or id < hub)").filter(near_size).filter(alike("least(common, hub_common)", "n", "hub_n"))
+    rest = rest.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).unionByName(by_rare).distinct().join(both, ["hub", "id"], "left_anti")
+    rest = scratch.keep(rest, "rest")
+    if not rest.isEmpty():
+        links = scratch.keep(links.unionByName(confirm(rest, texts, words, percent, scratch, "rest-links")), "rest-all")
+        labels = components(links, scratch, "third")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -133,33 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = scratch.keep(texts.mapInArrow(_sketches(words, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>"), "sketches")
-
-    named = texts.filter("id is not null")
     classes = sketches.filter("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
     classes = scratch.keep(classes, "classes")
-    reps = sketches.join(classes.select(F.col("rep").alias("id")), "id").select("id", "n", "bands").dropDuplicates(["id"])
+    sizes = classes.select(F.col("rep").alias("id"), "n")
+    reps = sketches.join(sizes.select("id"), "id").select("id", "n", "bands")
     bucketed = reps.select("id", "n", F.explode("bands").alias("key"))
     hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
     buckets = scratch.keep(bucketed.join(hubs, "key").select("key", "hub", "id", "n"), "buckets")
-
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"))
-    near_size = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    stars = buckets.filter("id <> hub").select("hub", "id", "n").distinct().join(sizes, "hub").filter(near_size).select("hub", "id")
-    links = scratch.keep(confirm(scratch.keep(stars, "stars"), named, words, percent), "links")
-    labels = components(links, scratch, "first")
-
-    own = buckets.select("key", "id", "n").join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    own = scratch.keep(own.join(split, "key"), "unsettled")
-    counts = own.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("m", F.col("component"))).alias("top")).select("key", F.col("top.component").alias("largest"))
-    outside = own.join(largest, "key").filter("component <> largest").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), "largest")
-    rest = own.join(outside, "key").filter("component <> hub_component and (component = largest or id < hub)").filter(near_size)
-    rest = scratch.keep(rest.select("hub", "id").distinct().join(stars.select(F.col("id").alias("hub"), F.col("hub").alias("id")), ["hub", "id"], "left_anti").join(stars, ["hub", "id"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = scratch.keep(links.unionByName(confirm(rest, named, words, percent)), "all-links")
-        labels = components(links, scratch, "second")
-    scratch.drop("buckets", "unsettled", "rest", "stars")
+    labels = _links(buckets, sizes, texts.filter("id is not null"), words, percent, scratch)
+    scratch.drop("buckets", "unsettled", "unsettled-ids", "profiles", "still-unsettled", "rest", "stars", "second-stars")
 
     out = sketches.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"], "left")
     out = out.join(labels.withColumnRenamed("u", "rep"), "rep", "left")

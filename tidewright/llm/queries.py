@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import minhash_dedup, substring_dedup
+from tidewright.llm import bpe, compression_quality, fingerprints, media, minhash_dedup, source_mixing, substring_dedup, suffix_dedup, tool_calls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,51 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words_removed(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(tool_calls.from_conversations(_table(spark, sf_dir, "conversations")), tool_calls.ANSWER)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes_removed(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_and_next(_table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_tool_calls": op2_tool_calls,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "op6_compression_quality": op6_compression_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_media": op9_media,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -60,5 +102,43 @@ WITH w AS (
 )
 SELECT d.doc_id, count(g.w) AS n_words, count(g.w) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(g.w, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+""",
+    "op2_tool_calls": """
+WITH m AS (
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN 'call-' || conv_id || '-' || turn WHEN 'assistant' THEN 'call-' || conv_id || '-' || (turn - 1) END AS call_id
+  FROM conversations
+), x AS (
+  SELECT *, CASE WHEN kind = 'message' THEN NULL ELSE call_id IN (SELECT call_id FROM m GROUP BY call_id HAVING count(DISTINCT kind) = 2) END AS linked FROM m
+)
+SELECT conv_id, turn, kind, call_id, linked, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position,
+  CASE WHEN kind = 'call' THEN length(text) BETWEEN 1 AND 4000 END AS valid,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"query":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","kind":"call","linked":' || linked || ',"name":"answer"}'
+    WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || call_id || '","kind":"result","linked":' || linked || '}'
+    ELSE '{"content":' || to_json(text) || ',"kind":"message"}' END AS json
+FROM x
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM f
+""",
+    "op7_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), s AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM b
+), k AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS k FROM s
+), c AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY k) AS hit FROM k
+), t AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -51) + 50 AS begins FROM c WHERE hit
+), u AS (SELECT doc_id, i, sum(begins::int) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM t
+), r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM u GROUP BY doc_id, span
+), v AS (SELECT doc_id, h, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r JOIN b USING (doc_id)
+), g AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM v GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN g USING (doc_id)
 """,
 }

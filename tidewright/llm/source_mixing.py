@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm.core import _SEPARATOR, Scratch, buffers, prepare
 
@@ -26,7 +27,7 @@ SHARE, WEIGHTS, MOST = 1.5, (5, 2, 1), 2
 BLOCK, SHARD_WORDS, SHARDS = 16, 1 << 16, 4096
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Runs of bytes other than space and tab to carriage return; 0 for null."""
     data, offsets = buffers(text)
