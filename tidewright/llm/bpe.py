@@ -94,10 +94,11 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 per row of docs."""
+    """id, ids, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 per row of docs."""
     both = decode(encode(docs, rank_file, pattern, id_col, text_col), rank_file, pattern, id_col)
     return both.select(
         id_col,
+        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),

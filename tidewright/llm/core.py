@@ -5,6 +5,7 @@ Hashes are 64 bits wide and depend on nothing but the bytes, so any executor and
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.session import ready
+
 #: Rows that Spark hands to Python at once, and bytes of text that numpy works on at once.
 BATCH_ROWS, SLICE_BYTES = 512, 1 << 20
 
@@ -35,6 +38,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Keeps the batches that go to Python small: a batch of very long texts must fit in a worker."""
+    ready(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -66,6 +70,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def tidy(self) -> None:
+        """Lets Spark remove shuffle files that no plan refers to any more; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
         jvm = self.spark._jvm

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.core import Scratch, binary, partitions, prepare, range_hash, slices, text_blocks, window_hash
 from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
 
-WIDTH, SEED = 50, 24
+WIDTH, SEED = 50, 16
 #: Strings of one segment at most, and bytes of segments that one suffix array takes at about.
 SEGMENT, ARRAY_BYTES = 256, 1 << 20
 #: Null ids come after all others.
@@ -201,56 +201,78 @@ def _send_minimizers(buckets: int, width: int, seed: int):
 _SEGMENTS = "bucket int, block int, subs binary, sizes binary, lows binary, highs binary, text binary"
 
 
+class _Distinct:
+    """Distinct segments, known by their hashes, with the smallest and largest id of each; texts lie in one run of bytes."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]] = []
+        self.held = 0
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, lows: np.ndarray, highs: np.ndarray, sizes: np.ndarray, text: Iterator[bytes]) -> None:
+        """Rows of one batch; `text` gives the bytes of a row by its place."""
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]][: len(order)])
+        if not len(first):
+            return
+        at = order[first]
+        self.parts.append((hashes[at], keys[at], np.minimum.reduceat(lows[order], first), np.maximum.reduceat(highs[order], first), sizes[at], b"".join([text(i) for i in at.tolist()])))
+        self.held += 1
+        if self.held == 64:
+            self.parts, self.held = [self.all()], 1
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """Hashes (ascending), keys, lows, highs, sizes and text of the distinct segments so far."""
+        if len(self.parts) == 1:
+            return self.parts[0]
+        hashes, keys, lows, highs, sizes = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
+        text = b"".join([p[5] for p in self.parts])
+        ends = np.cumsum(sizes)
+        order = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
+        at = order[first]
+        joined = b"".join([text[e - n : e] for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)])
+        return hashes[at], keys[at], np.minimum.reduceat(lows[order], first), np.maximum.reduceat(highs[order], first), sizes[at], joined
+
+
 def _send_segments(buckets: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = None, {}
+        known, found = None, _Distinct()
         for block, answers, texts in split_answers(batches):
             if texts is None:
-                yield from _packed(block, found, buckets)
-                known, found = None, {}
+                if found.parts:
+                    yield _packed(block, found.all(), buckets)
+                known, found = None, _Distinct()
                 continue
             known = np.sort(np.frombuffer(b"".join(answers), np.uint64)) if known is None else known
             for part, data, offsets in slices(texts):
-                ids = _ids(part)
                 minimizers, starts, ends, docs = segments(data, offsets, width, seed)
                 hit = np.flatnonzero(_member(minimizers, known))
-                raw = data.tobytes()
-                for key, a, b, id_ in zip(minimizers[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), ids[docs[hit]].tolist(), strict=True):
-                    text = raw[a:b]
-                    have = found.get(text)
-                    if have is None:
-                        found[text] = (key, id_, id_)
-                    elif not have[1] <= id_ <= have[2]:
-                        found[text] = (key, min(have[1], id_), max(have[2], id_))
+                if not len(hit):
+                    continue
+                starts, ends, ids, raw = starts[hit], ends[hit], _ids(part)[docs[hit]], data.tobytes()
+                found.add(range_hash(data, starts, ends), minimizers[hit], ids, ids, ends - starts, lambda i, s=starts, e=ends, r=raw: r[s[i] : e[i]])
 
     return run
 
 
-def _packed(block: int, found: dict[bytes, tuple[int, int, int]], buckets: int) -> Iterator[pa.RecordBatch]:
-    if not found:
-        return
-    texts = list(found)
-    values = list(found.values())
-    keys = np.array([v[0] for v in values], np.uint64)
-    lows, highs = (np.array([v[i] for v in values], np.int64) for i in (1, 2))
+def _packed(block: int, found: tuple, buckets: int) -> pa.RecordBatch:
+    _, keys, lows, highs, sizes, text = found
     edges = np.array([(i << 64) // buckets for i in range(buckets)], dtype=np.uint64)
     bucket = np.searchsorted(edges, keys, "right") - 1
-    sub = (keys & np.uint64(255)).astype(np.uint8)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((keys, bucket))
+    ends = np.cumsum(sizes)
     cuts = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
-        held = [texts[i] for i in own.tolist()]
-        rows.append((int(bucket[own[0]]), block, sub[own].tobytes(), np.array([len(t) for t in held], np.int32).tobytes(), lows[own].tobytes(), highs[own].tobytes(), b"".join(held)))
+        held = b"".join([text[e - n : e] for e, n in zip(ends[own].tolist(), sizes[own].tolist(), strict=True)])
+        rows.append((int(bucket[own[0]]), block, keys[own].astype(np.uint8).tobytes(), sizes[own].astype(np.int32).tobytes(), lows[own].tobytes(), highs[own].tobytes(), held))
     kinds = (pa.int32(), pa.int32(), *(pa.binary(),) * 5)
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
 
-def covers(texts: list[bytes], lows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of distinct segments and their smallest ids: bytes, offsets, and for each byte the smallest id with a repeat that covers it."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
+def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, width: int) -> np.ndarray:
+    """Of distinct segments and their smallest ids: for each byte the smallest id with a repeat that covers it."""
     cover = np.repeat(lows, np.diff(offsets))
     array = SuffixArray(data, offsets, width)
     for length, places in array.maximal_repeats(width):
@@ -259,77 +281,101 @@ def covers(texts: list[bytes], lows: np.ndarray, width: int) -> tuple[np.ndarray
         for at in places[ids > low].tolist():
             part = cover[at : at + length]
             np.minimum(part, low, out=part)
-    return data, offsets, cover
+    return cover
+
+
+def _overlapping(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Which segments share a string with another one, by the strings' hashes; the others need no suffix array."""
+    hashes = window_hash(data, width)
+    inside = np.ones(len(data), bool)
+    for j in range(1, width):
+        inside[offsets[1:] - j] = False
+    at = np.flatnonzero(inside)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) - width + 1)
+    own = hashes[at]
+    order = np.argsort(own)
+    same = np.zeros(len(own), bool)
+    equal = own[order][1:] == own[order][:-1]
+    same[1:] |= equal
+    same[:-1] |= equal
+    out = np.zeros(len(offsets) - 1, bool)
+    out[owner[order[same]]] = True
+    return out
+
+
+def _picked(data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = offsets[which + 1] - offsets[which]
+    ends = np.cumsum(sizes)
+    at = np.repeat(offsets[which] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+    return data[at], np.r_[0, ends]
+
+
+#: A removed run of a segment: its hash, first byte and end in it, and the smallest id that has it.
+_RUN = np.dtype([("segment", "<u8"), ("start", "<i4"), ("end", "<i4"), ("low", "<i8")])
 
 
 def _answer(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subs: dict[tuple[int, int], dict[bytes, int]] = {}
-        asked: dict[tuple[int, int], list[tuple[int, bytes, int]]] = {}
+        found, asked = _Distinct(), []
         for batch in batches:
             for i in range(batch.num_rows):
-                bucket, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                sub, sizes, lows, highs = (np.frombuffer(batch.column(k)[i].as_buffer(), t).tolist() for k, t in ((2, np.uint8), (3, np.int32), (4, np.int64), (5, np.int64)))
-                text, at = batch.column(6)[i].as_py(), 0
-                for s, size, low, high in zip(sub, sizes, lows, highs, strict=True):
-                    own = text[at : at + size]
-                    at += size
-                    have = subs.setdefault((bucket, s), {})
-                    had = have.get(own)
-                    if had is None or low < had:
-                        have[own] = low
-                    asked.setdefault((bucket, s), []).append((block, own, high))
-        out: dict[int, list[np.ndarray]] = {}
-        held: list[tuple[int, int]] = []
-        size = 0
-        names = sorted(subs)
-        for k, name in enumerate(names):
-            held.append(name)
-            size += sum(map(len, subs[name]))
-            if size >= ARRAY_BYTES or k == len(names) - 1:
-                _settle([(subs.pop(x), asked.pop(x)) for x in held], width, out)
-                held, size = [], 0
-        for block, parts in out.items():
-            joined = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), binary([joined.tobytes()])], ["block", "runs"])
+                block = batch.column(1)[i].as_py()
+                subs, sizes, lows, highs = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((2, np.uint8), (3, np.int32), (4, np.int64), (5, np.int64)))
+                raw = batch.column(6)[i].as_buffer().to_pybytes()
+                ends = np.cumsum(sizes, dtype=np.int64)
+                hashes = range_hash(np.frombuffer(raw, np.uint8), ends - sizes, ends)
+                found.add(hashes, subs, lows, lows, sizes.astype(np.int64), lambda k, e=ends, n=sizes, r=raw: r[e[k] - n[k] : e[k]])
+                asked.append((block, hashes, highs.copy()))
+        if not asked:
+            return
+        hashes, subs, lows, _, sizes, text = found.all()
+        del found
+        data, offsets = np.frombuffer(text, np.uint8), np.r_[0, np.cumsum(sizes)]
+        order = np.argsort(subs, kind="stable")
+        bounds = [0, *(np.flatnonzero(np.diff(subs[order])) + 1).tolist(), len(order)]
+        shared, chunk, held, runs = np.zeros(len(subs), bool), [], 0, []
+        for k in range(len(bounds) - 1):
+            own = order[bounds[k] : bounds[k + 1]]
+            picked, cuts = _picked(data, offsets, own)
+            own = own[_overlapping(picked, cuts, width)]
+            shared[own] = True
+            chunk.append(own)
+            held += int(sizes[own].sum())
+            if held >= ARRAY_BYTES or k == len(bounds) - 2:
+                runs.append(_runs(data, offsets, hashes, lows, np.concatenate(chunk), width))
+                chunk, held = [], 0
+        alone = np.flatnonzero(~shared)
+        whole = np.zeros(len(alone), _RUN)
+        whole["segment"], whole["end"], whole["low"] = hashes[alone], sizes[alone], lows[alone]
+        runs = np.sort(np.concatenate([*runs, whole]), order=["segment", "start"])
+        for block, own, highs in asked:
+            place = np.argsort(own)
+            own, highs = own[place], highs[place]
+            a, b = (np.searchsorted(runs["segment"], own, side) for side in ("left", "right"))
+            n = b - a
+            rows = runs[np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+            rows = rows[rows["low"] < np.repeat(highs, n)]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), binary([rows.tobytes()])], ["block", "runs"])
 
     return run
 
 
-#: A removed run of a segment: its hash, first byte and end in it, and the smallest id that has it.
-_RUN = np.dtype([("segment", "<u8"), ("start", "<i4"), ("end", "<i4"), ("low", "<i8")])
-
-
-def _settle(groups: list[tuple[dict[bytes, int], list[tuple[int, bytes, int]]]], width: int, out: dict[int, list[np.ndarray]]) -> None:
-    lows_of = {text: low for own, _ in groups for text, low in own.items()}
-    texts = list(lows_of)
-    data, offsets, cover = covers(texts, np.array(list(lows_of.values()), np.int64), width)
-    hashes = range_hash(data, offsets[:-1], offsets[1:])
+def _runs(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, lows: np.ndarray, which: np.ndarray, width: int) -> np.ndarray:
+    """The runs of equal cover of some segments that share strings."""
+    if not len(which):
+        return np.zeros(0, _RUN)
+    picked, cuts = _picked(data, offsets, which)
+    cover = covers(picked, cuts, lows[which], width)
     new = np.ones(len(cover), bool)
     new[1:] = cover[1:] != cover[:-1]
-    new[offsets[:-1]] = True
+    new[cuts[:-1]] = True
     starts = np.flatnonzero(new)
-    owner = np.searchsorted(offsets, starts, "right") - 1
-    runs = np.empty(len(starts), _RUN)
-    runs["segment"], runs["low"] = hashes[owner], cover[starts]
-    runs["start"] = starts - offsets[owner]
-    runs["end"] = np.r_[starts[1:], len(cover)] - offsets[owner]
-    first = np.searchsorted(starts, offsets)
-    lowest = np.minimum.reduceat(cover, offsets[:-1])
-    index = {text: i for i, text in enumerate(texts)}
-    ask = [(block, index[text], high) for _, asked in groups for block, text, high in asked]
-    blocks, which, highs = (np.array(x, np.int64) for x in zip(*ask, strict=True))
-    some = lowest[which] < highs
-    blocks, which, highs = blocks[some], which[some], highs[some]
-    order = np.argsort(blocks, kind="stable")
-    blocks, which, highs = blocks[order], which[order], highs[order]
-    names, at = np.unique(blocks, return_index=True)
-    for name, a, b in zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(blocks)], strict=True):
-        own = which[a:b]
-        n = first[own + 1] - first[own]
-        rows = np.repeat(first[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        sent = runs[rows]
-        out.setdefault(name, []).append(sent[sent["low"] < np.repeat(highs[a:b], n)])
+    owner = np.searchsorted(cuts, starts, "right") - 1
+    runs = np.zeros(len(starts), _RUN)
+    runs["segment"], runs["low"] = hashes[which][owner], cover[starts]
+    runs["start"], runs["end"] = starts - cuts[owner], np.r_[starts[1:], len(cover)] - cuts[owner]
+    return runs
 
 
 def _cut(width: int, seed: int):
@@ -388,8 +434,11 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     blocks = text_blocks(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, n)
     shared = blocks.repartitionById(n, F.col("block")).mapInArrow(_send_minimizers(n, width, seed), PACKED)
     shared = scratch.keep(repeated(shared, n), "shared")
+    scratch.tidy()
     sent = with_answers(blocks, shared, n, "binary").mapInArrow(_send_segments(n, width, seed), _SEGMENTS)
     runs = scratch.keep(sent.repartitionById(n, F.col("bucket")).mapInArrow(_answer(width), "block int, runs binary"), "runs")
+    del sent
     scratch.drop("shared")
+    scratch.tidy()
     kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return with_answers(blocks, runs, n, "binary").mapInArrow(_cut(width, seed), kinds).withColumnRenamed("id", id_col)
