@@ -6,6 +6,7 @@ Hashes are 64 bits wide and depend on nothing but the bytes, so any executor and
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -72,8 +73,10 @@ class Scratch:
 
     def tidy(self) -> None:
         """Lets Spark remove shuffle files that no plan refers to any more; else they stay until the driver happens to collect garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # plans are freed by the first round, what they held by the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         """Removes tables that nothing reads any more."""
@@ -180,10 +183,11 @@ class Words:
                 yield np.zeros(0, np.uint64)
 
 
-def text_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """block, id, text of all rows. Equal (id, text) rows share a block; a block is one partition's work."""
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, rest: bool = False) -> DataFrame:
+    """block, id, text of all rows, and with `rest` a struct of the other columns. Equal (id, text) rows share a block; a block is one partition's work."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(F.col(text_col))), F.lit(blocks)).cast("int").alias("block"),
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),
+        *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if rest else []),
     )

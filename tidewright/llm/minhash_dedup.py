@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sketches.join(sizes.select("id"), "id").select("id", "n", "bands")
     bucketed = reps.select("id", "n", F.explode("bands").alias("key"))
     hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
-    buckets = scratch.keep(bucketed.join(hubs, "key").select("key", "hub", "id", "n"), "buckets")
+    buckets = scratch.keep(bucketed.join(hubs.hint("merge"), "key").select("key", "hub", "id", "n"), "buckets")
     labels = _links(buckets, sizes, texts.filter("id is not null"), words, percent, scratch)
     scratch.drop("buckets", "unsettled", "unsettled-ids", "profiles", "still-unsettled", "rest", "stars", "second-stars")
 

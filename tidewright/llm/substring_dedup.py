@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.llm.core import Scratch, Words, partitions, prepare, slices, text_blocks, window_hash
 from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
@@ -92,7 +93,7 @@ def _send_windows(buckets: int, width: int, period: int, cover: tuple[int, ...])
     return run
 
 
-def _cut(width: int):
+def _cut(width: int, rest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None
         for _, answers, texts in split_answers(batches):
@@ -116,28 +117,22 @@ def _cut(width: int):
                     kept.append(b" ".join([raw[s:e] for s, e in zip(words.starts[stay].tolist(), words.ends[stay].tolist(), strict=True)]))
                 removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), words.first[:-1]) if n else np.zeros(part.num_rows, np.int64)
                 removed[words.first[1:] == words.first[:-1]] = 0
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(part.schema.get_field_index("id")),
-                        pa.array(np.diff(words.first), pa.int64()),
-                        pa.array(removed, pa.int64()),
-                        pa.array([x.decode() for x in kept], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                    ],
-                    ["id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-                )
+                out = {
+                    "id": part.column(part.schema.get_field_index("id")),
+                    "n_words": pa.array(np.diff(words.first), pa.int64()),
+                    "n_removed": pa.array(removed, pa.int64()),
+                    "kept_text": pa.array([x.decode() for x in kept], pa.string()),
+                    "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                }
+                if rest:
+                    out |= {name: part.column(part.schema.get_field_index(name)) for name in ("text", "rest")}
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
-def repeated_words_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """id, n_words, n_removed, kept_text, kept_sha256 per row of docs.
-
-    Words are runs of bytes other than space and tab to carriage return. A word goes if a window of `width` words of its document
-    covers it whose words also start at any other place, in the same document too. The rest is joined by single spaces.
-    Null, empty and blank texts have no words, and the digest of nothing. Repeated rows are documents like any others, so their
-    windows repeat; ids may be null or repeat.
-    """
+def _cut_blocks(docs: DataFrame, id_col: str, text_col: str, width: int, period: int, cover: tuple[int, ...], rest: bool) -> DataFrame:
+    """id, n_words, n_removed, kept_text, kept_sha256, and with `rest` text and the other columns as a struct."""
     if not 0 < period <= width or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("cover has to be a difference cover of a period no longer than the width")
     spark = prepare(docs.sparkSession)
@@ -146,23 +141,34 @@ def repeated_words_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     dealt = blocks.repartitionById(n, F.col("block"))
     anchors = dealt.mapInArrow(_send_anchors(n, width - period + 1, period, cover), PACKED)
     anchors = scratch.keep(repeated(anchors, n), "anchors")
+    scratch.tidy()
     windows = with_answers(blocks, anchors, n, "binary").mapInArrow(_send_windows(n, width, period, cover), PACKED)
     windows = scratch.keep(repeated(windows, n), "windows")
     scratch.drop("anchors")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    out = with_answers(blocks, windows, n, "binary").mapInArrow(_cut(width), f"id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.withColumnRenamed("id", id_col)
+    scratch.tidy()
+    last = text_blocks(docs, id_col, text_col, n, rest)
+    kinds = f"id {dict(last.dtypes)['id']}, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    if rest:
+        kinds = T.StructType([*T._parse_datatype_string(kinds).fields, last.schema["text"], last.schema["rest"]])
+    return with_answers(last, windows, n, "binary").mapInArrow(_cut(width, rest), kinds)
+
+
+def repeated_words_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """id, n_words, n_removed, kept_text, kept_sha256 per row of docs.
+
+    Words are runs of bytes other than space and tab to carriage return. A word goes if a window of `width` words of its document
+    covers it whose words also start at any other place, in the same document too. The rest is joined by single spaces.
+    Null, empty and blank texts have no words, and the digest of nothing. Repeated rows are documents like any others, so their
+    windows repeat; ids may be null or repeat.
+    """
+    return _cut_blocks(docs, id_col, text_col, width, period, cover, False).withColumnRenamed("id", id_col)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with what is left of each text; documents of which nothing is left go, those without words stay as they are.
 
-    Of a passage that repeats, every occurrence goes. Rows without an id, and rows that share one, are kept as they are.
+    Of a passage that repeats, every occurrence goes; a text that has none stays byte for byte. Ids may be null or repeat.
     """
-    lone = docs.groupBy(id_col).agg(F.count("*").alias("__n")).filter(F.col(id_col).isNotNull() & (F.col("__n") == 1)).select(F.col(id_col).alias("__id"))
-    cut = repeated_words_removed(docs, id_col, text_col, width).select(F.col(id_col).alias("__id"), "n_words", "n_removed", "kept_text")
-    cut = cut.join(lone, "__id", "left_semi").filter("n_removed > 0")
-    out = docs.join(cut, docs[id_col] == F.col("__id"), "left")
-    whole = F.col("n_removed").isNull()
-    columns = [F.when(whole, docs[c]).otherwise(F.col("kept_text")).alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return out.filter(whole | (F.col("n_removed") < F.col("n_words"))).select(columns)
+    cut = _cut_blocks(docs, id_col, text_col, width, PERIOD, COVER, True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*[text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
