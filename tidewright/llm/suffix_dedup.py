@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.core import Scratch, binary, partitions, prepare, range_hash, slices, text_blocks, window_hash
+from tidewright.llm.core import Scratch, binary, mix, partitions, prepare, range_hash, slices, text_blocks, window_hash
 from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
 
 WIDTH, SEED = 50, 24
-#: Strings of one segment at most, and bytes of segments that one suffix array takes at about.
-SEGMENT, ARRAY_BYTES = 256, 1 << 20
+#: Strings of one segment at most, bytes of segments that one suffix array takes at about, and occurrences that are looked at together.
+SEGMENT, ARRAY_BYTES, OCCURRENCES = 256, 1 << 20, 1 << 21
 #: Null ids come after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -111,19 +111,24 @@ class SuffixArray:
                 deep, first = stack.pop()
                 yield deep, first, end
 
-    def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, positions of all occurrences) of each repeat whose occurrences aren't all preceded by the same byte.
+    def maximal(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, first and last places (in order) of the intervals whose occurrences aren't all preceded by the same byte.
 
         A string's start has no byte before it and differs from any other.
         """
+        found = np.array(list(self.intervals(least)), np.int64).reshape(-1, 3)
         order = self.order
         edge = order == self.left[order]
         before = self.data[np.maximum(order - 1, 0)]
         change = np.zeros(len(order) + 1, np.int64)
         change[2:] = np.cumsum((before[1:] != before[:-1]) | edge[1:] | edge[:-1])
-        for length, first, last in self.intervals(least):
-            if change[last + 1] > change[first + 1]:
-                yield length, order[first : last + 1]
+        diverse = change[found[:, 2] + 1] > change[found[:, 1] + 1]
+        return tuple(found[diverse].T)
+
+    def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, positions of all occurrences) of each maximal repeat of `least` bytes or more."""
+        for length, first, last in zip(*(x.tolist() for x in self.maximal(least)), strict=True):
+            yield length, self.order[first : last + 1]
 
 
 # ---------------------------------------------------------------- segments
@@ -140,7 +145,7 @@ def _least(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the strings of `width` bytes within each document: segments' minimizers, first bytes, ends and documents."""
+    """Of the strings of `width` bytes within each document: segments' minimizers (spread anew, as least values are all small), first bytes, ends and documents."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none.astype(np.uint64), none, none, none
@@ -167,7 +172,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tu
         at = np.repeat(starts, pieces) + SEGMENT * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         ends = np.minimum(at + SEGMENT, np.repeat(ends, pieces))
         starts = at
-    return least[starts], starts, ends + width - 1, np.searchsorted(offsets, starts, "right") - 1
+    return mix(least[starts]), starts, ends + width - 1, np.searchsorted(offsets, starts, "right") - 1
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -275,13 +280,34 @@ def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, width: int)
     """Of distinct segments and their smallest ids: for each byte the smallest id with a repeat that covers it."""
     cover = np.repeat(lows, np.diff(offsets))
     array = SuffixArray(data, offsets, width)
-    for length, places in array.maximal_repeats(width):
-        ids = lows[array.owner[places]]
-        low = ids.min()
-        for at in places[ids > low].tolist():
-            part = cover[at : at + length]
-            np.minimum(part, low, out=part)
-    return cover
+    lengths, first, last = array.maximal(width)
+    if not len(lengths):
+        return cover
+    own = np.append(lows[array.owner[array.order]], LAST)
+    least = np.minimum.reduceat(own, np.stack([first, last + 1], 1).ravel())[::2]
+    levels: dict[int, np.ndarray] = {}  # level k: the smallest id for the 2**k bytes from a place on
+    step = np.cumsum(last - first + 1)
+    for a in range(0, int(step[-1]), OCCURRENCES):  # in turns, as a string may be in many intervals
+        i, j = np.searchsorted(step, [a, a + OCCURRENCES], "right")
+        n = (last - first + 1)[i:j]
+        which = np.repeat(np.arange(i, j), n)
+        at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        lower = own[at] > least[which]
+        at, which = array.order[at[lower]], which[lower]
+        size, low = lengths[which], least[which]
+        level = np.log2(size).astype(np.int64)
+        for k in np.unique(level).tolist():
+            these = level == k
+            table = levels.setdefault(k, np.full(len(data), LAST))
+            np.minimum.at(table, at[these], low[these])
+            np.minimum.at(table, at[these] + size[these] - (1 << k), low[these])
+    for k in range(max(levels, default=0), 0, -1):
+        table = levels.pop(k, None)
+        if table is not None:
+            below, half = levels.setdefault(k - 1, np.full(len(data), LAST)), 1 << (k - 1)
+            np.minimum(below, table, out=below)
+            np.minimum(below[half:], table[:-half], out=below[half:])
+    return np.minimum(cover, levels[0]) if 0 in levels else cover
 
 
 def _overlapping(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
