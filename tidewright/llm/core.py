@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidewright.session import ready
 
 #: Rows that Spark hands to Python at once, and bytes of text that numpy works on at once.
-BATCH_ROWS, SLICE_BYTES = 512, 1 << 20
+BATCH_ROWS, SLICE_BYTES = 256, 1 << 19
 
 #: Bytes that separate words: space, and tab to carriage return.
 _SEPARATOR = np.zeros(256, dtype=bool)

@@ -12,7 +12,7 @@
    2 to COMMON have is rare. The member with the largest share of common shingles becomes a second hub. Then,
    of two members in different components, either they share a rare shingle, and meet by it, or their overlap is at most the lesser of their
    numbers of common shingles; only pairs for which that could reach the threshold are tested bucket by bucket. So no pair that shares a
-   bucket and could be alike stays untested, and a large group of loosely alike documents doesn't give all its pairs.
+   bucket and could be alike stays untested (documents that have too few common and rare shingles for any link are left out), and a large group of loosely alike documents doesn't give all its pairs.
 
 With 40 bands of 6 bins, a pair at a similarity of 0.8 shares no bucket with a probability of 5e-6, and less above.
 """
@@ -206,8 +206,10 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, p
     ids = scratch.keep(own.select("id").distinct(), "unsettled-ids")
     if ids.isEmpty():
         return labels
-    known = scratch.keep(profiles(pick(texts, ids), words).dropDuplicates(["id"]), "profiles")
-    own = own.join(known.select("id", "common"), "id")
+    known = profiles(pick(texts, ids), words).dropDuplicates(["id"]).join(own.select("id", "n").distinct(), "id")
+    known = scratch.keep(known.withColumn("able", F.expr(f"100 * (common + size(rare)) >= {percent} * n")), "profiles")
+    able = known.filter("able").select("id", "common")
+    own = own.join(able, "id")
     center = F.max(F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("top")
     centers = own.groupBy("key").agg(center).select("key", (-F.col("top.id")).alias("hub"), "top.hub_n", "top.hub_component")
     second = own.join(centers, "key").filter("id <> hub and component <> hub_component").filter(near_size).select("hub", "id").distinct()
@@ -218,14 +220,13 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, p
         labels = components(links, scratch, "second")
         both = both.unionByName(second).unionByName(second.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
 
-    own = scratch.keep(_unsettled(buckets, labels).join(known.select("id", "common"), "id"), "still-unsettled")
-    members = own.select("id", "n", "component").distinct()
-    rare = members.join(known.select("id", F.explode("rare").alias("shingle")), "id")
-    twin = rare.select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    by_rare = rare.join(twin, "shingle").filter("hub < id and component <> hub_component").filter(near_size).select("hub", "id").distinct()
+    own = scratch.keep(_unsettled(buckets, labels).join(able, "id"), "still-unsettled")
     counts = own.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
     outside = own.join(largest, "key").filter("component <> largest")
+    rare = own.select("id", "n", "component").distinct().join(known.select("id", F.explode("rare").alias("shingle")), "id")
+    twin = rare.join(outside.select("id").distinct(), "id", "left_semi").select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
+    by_rare = rare.join(twin, "shingle").filter("component <> hub_component").filter(near_size).select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
     outside = outside.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("component").alias("hub_component"), "largest")
     outside = outside.filter(f"100 * hub_common >= {percent} * hub_n")
     rest = own.join(outside, "key").filter("component <> hub_component and (component = largest or id < hub)").filter(near_size).filter(alike("least(common, hub_common)", "n", "hub_n"))
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     out = sketches.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"], "left")
     out = out.join(labels.withColumnRenamed("u", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
