@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 type Number = Column | float | int
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def col(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 

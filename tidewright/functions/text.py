@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.functions.rates import clamp
+from tidewright.functions.rates import clamp, let
 
 # Patterns and label texts of the documents that are read. Order matters: the first label that a row holds names it.
 
@@ -110,9 +110,12 @@ def count(text: Column, pattern: str) -> Column:
 
 def ocr_digits(text: Column) -> Column:
     """O, o as 0 and I, l, | as 1 in a text with a digit and no fewer digits than such letters."""
-    text = strip(F.coalesce(text, F.lit("")))
-    digits, unsure = count(text, "[0-9]"), count(text, "[OoIl|]")
-    return F.when((digits > 0) & (unsure <= digits), F.translate(text, "OoIl|", "00111")).otherwise(text)
+
+    def repaired(t: Column) -> Column:
+        digits, unsure = count(t, "[0-9]"), count(t, "[OoIl|]")
+        return F.when((digits > 0) & (unsure <= digits), F.translate(t, "OoIl|", "00111")).otherwise(t)
+
+    return let(strip(F.coalesce(text, F.lit(""))), repaired)
 
 
 def sign(text: Column) -> tuple[Column, Column]:
@@ -122,13 +125,16 @@ def sign(text: Column) -> tuple[Column, Column]:
 
 def plain_decimal(text: Column) -> Column:
     """Digits with at most one point: the last separator is one if one or two digits follow, and both kinds occur or its kind once; others group."""
-    text = F.regexp_replace(text, f"{SPACE}+", "")
-    mark, tail, head = (F.regexp_extract(text, p, 1) for p in ("([.,])[^.,]*$", "[.,]([^.,]*)$", "^(.*)[.,][^.,]*$"))
-    both = F.contains(text, F.lit(",")) & F.contains(text, F.lit("."))
-    once = F.length(text) - F.length(F.replace(text, mark, F.lit(""))) == 1
-    decimal = (mark != "") & F.length(tail).between(1, 2) & (both | once)
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    return F.when(decimal, F.concat(digits(head), F.lit("."), digits(tail))).otherwise(digits(text))
+
+    def resolved(t: Column) -> Column:
+        mark, tail, head = (F.regexp_extract(t, p, 1) for p in ("([.,])[^.,]*$", "[.,]([^.,]*)$", "^(.*)[.,][^.,]*$"))
+        both = F.contains(t, F.lit(",")) & F.contains(t, F.lit("."))
+        once = F.length(t) - F.length(F.replace(t, mark, F.lit(""))) == 1
+        decimal = (mark != "") & F.length(tail).between(1, 2) & (both | once)
+        return F.when(decimal, F.concat(digits(head), F.lit("."), digits(tail))).otherwise(digits(t))
+
+    return let(F.regexp_replace(text, f"{SPACE}+", ""), resolved)
 
 
 def financial(raw: Column, kind: str) -> Column:
@@ -136,20 +142,25 @@ def financial(raw: Column, kind: str) -> Column:
 
     Rates with a percent sign or above 1 are hundredths. Unclear letters, many separators and implausible sizes lower the confidence.
     """
-    original = F.coalesce(raw, F.lit(""))
-    cleaned = F.regexp_replace(F.regexp_replace(ocr_digits(original), CURRENCY, ""), "%", "")
-    cleaned = strip(F.regexp_replace(cleaned, f"(?!{SPACE})[^0-9.,()−-]", ""))
-    negative, unsigned = sign(cleaned)
-    size = plain_decimal(unsigned).try_cast("double")
-    percent = F.contains(original, F.lit("%"))
-    value = F.when(negative, -size).otherwise(size)
-    confidence = F.lit(0.96) - F.when(original.rlike("[OoIl|]"), 0.12).otherwise(0.0) - F.when(count(original, "[,.]") > 2, 0.08).otherwise(0.0)
-    if kind == "rate":
-        value = F.when(percent | (F.abs(value) > 1), value / 100).otherwise(value)
-        confidence = confidence - F.when(F.abs(value) > 1, 0.25).otherwise(0.0)
-    else:
-        confidence = confidence - F.when(F.abs(value) > 1e8, 0.25).otherwise(0.0)
-    return F.struct(value.alias("value"), F.when(value.isNull(), 0.0).otherwise(clamp(confidence, 0, 1)).alias("confidence"), percent.alias("percent"))
+
+    def read(original: Column) -> Column:
+        cleaned = F.regexp_replace(F.regexp_replace(ocr_digits(original), CURRENCY, ""), "%", "")
+        cleaned = strip(F.regexp_replace(cleaned, f"(?!{SPACE})[^0-9.,()−-]", ""))
+        return let(cleaned, lambda c: let(signed(c), lambda v: judged(original, v)))
+
+    def signed(cleaned: Column) -> Column:
+        negative, unsigned = sign(cleaned)
+        size = plain_decimal(unsigned).try_cast("double")
+        return F.when(negative, -size).otherwise(size)
+
+    def judged(original: Column, size: Column) -> Column:
+        percent = F.contains(original, F.lit("%"))
+        value = F.when(percent | (F.abs(size) > 1), size / 100).otherwise(size) if kind == "rate" else size
+        confidence = F.lit(0.96) - F.when(original.rlike("[OoIl|]"), 0.12).otherwise(0.0) - F.when(count(original, "[,.]") > 2, 0.08).otherwise(0.0)
+        confidence = confidence - F.when(F.abs(value) > (1 if kind == "rate" else 1e8), 0.25).otherwise(0.0)
+        return F.struct(value.alias("value"), F.when(value.isNull(), 0.0).otherwise(clamp(confidence, 0, 1)).alias("confidence"), percent.alias("percent"))
+
+    return let(F.coalesce(raw, F.lit("")), read)
 
 
 def fragments(text: Column, pattern: str = NUMBER) -> Column:
@@ -163,13 +174,16 @@ def fragments(text: Column, pattern: str = NUMBER) -> Column:
 
 def parse_date(text: Column) -> Column:
     """struct<display, key> of the first dd/mm/20yy, else mm/20yy, in a text; null if there is none."""
-    text = F.coalesce(text, F.lit(""))
-    day, month, year = (F.regexp_extract(text, DAY_DATE, i) for i in (1, 2, 3))
-    m, y = F.regexp_extract(text, MONTH_DATE, 1), F.regexp_extract(text, MONTH_DATE, 2)
     two = lambda x: F.lpad(x, 2, "0")
-    whole = F.struct(F.concat_ws("/", two(day), two(month), year).alias("display"), (year.try_cast("int") * 372 + month.try_cast("int") * 31 + day.try_cast("int")).alias("key"))
-    part = F.struct(F.concat_ws("/", two(m), y).alias("display"), (y.try_cast("int") * 372 + m.try_cast("int") * 31).alias("key"))
-    return F.when(year != "", whole).when(y != "", part)
+
+    def found(t: Column) -> Column:
+        day, month, year = (F.regexp_extract(t, DAY_DATE, i) for i in (1, 2, 3))
+        m, y = F.regexp_extract(t, MONTH_DATE, 1), F.regexp_extract(t, MONTH_DATE, 2)
+        whole = F.struct(F.concat_ws("/", two(day), two(month), year).alias("display"), (year.try_cast("int") * 372 + month.try_cast("int") * 31 + day.try_cast("int")).alias("key"))
+        part = F.struct(F.concat_ws("/", two(m), y).alias("display"), (y.try_cast("int") * 372 + m.try_cast("int") * 31).alias("key"))
+        return F.when(year != "", whole).when(y != "", part)
+
+    return let(F.coalesce(text, F.lit("")), found)
 
 
 def month_key(text: Column) -> Column:

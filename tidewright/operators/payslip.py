@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.rates import near
+from tidewright.functions.rates import let, near
+from tidewright.functions.text import search_text
 from tidewright.operators import layout
+from tidewright.session import settled
 
 #: How many numbers around a label and how many choices count, what a choice adds to the score, and limits.
 AMOUNTS, RATES, SALARY_AMOUNTS, CHOICES = 5, 4, 8, 10
@@ -166,8 +168,8 @@ def derived(value: Column, of: Column, ocr: Column, unit: str) -> Column:
     ).cast(FIELD)
 
 
-def cross_validate(amount: Column, rate: Column, salary: Column, ocr: Column) -> tuple[Column, Column]:
-    """An amount and a rate after a check against the salary: a missing one is derived, two that agree gain confidence, two that don't lose it.
+def cross_validate(amount: Column, rate: Column, salary: Column, ocr: Column) -> Column:
+    """struct<amount, rate> after a check against the salary: a missing one is derived, two that agree gain confidence, two that don't lose it.
 
     In recognised text, a rate that contradicts an amount of about its confidence is replaced by the derived one.
     """
@@ -182,13 +184,18 @@ def cross_validate(amount: Column, rate: Column, salary: Column, ocr: Column) ->
         c = F.when(agree, F.least(F.lit(0.99), x["confidence"] + 0.05)).otherwise(F.greatest(F.lit(0.0), x["confidence"] - 0.18))
         return x.withField("validation", verdict).withField("confidence", c).withField("confirm", x["confirm"] | ~agree).cast(FIELD)
 
-    a, r = checked(amount), checked(rate)
-    worse = F.greatest(F.lit(0.0), F.least(a["confidence"], r["confidence"]))
-    replaced = r.withField("value", implied).withField("origin", F.lit("derived")).withField("unit", F.lit("ratio")).withField("confidence", worse).withField("confirm", F.lit(True)).withField("alternatives", F.lit(True)).cast(FIELD)
-    r = F.when(~agree & ocr & (a["confidence"] >= r["confidence"] - 0.12), replaced).otherwise(r)
-    new_amount = F.when(both, a).when(usable & amount.isNull() & rate.isNotNull(), derived(rate["value"] * base, rate, ocr, "ILS")).otherwise(amount)
-    new_rate = F.when(both, r).when(usable & rate.isNull() & amount.isNotNull(), derived(implied, amount, ocr, "ratio")).otherwise(rate)
-    return new_amount, new_rate
+    def settle(w: Column) -> Column:
+        """The pair after the check: w has the amount and rate with their new confidence."""
+        a, r = w["a"], w["r"]
+        worse = F.greatest(F.lit(0.0), F.least(a["confidence"], r["confidence"]))
+        replaced = r.withField("value", implied).withField("origin", F.lit("derived")).withField("unit", F.lit("ratio")).withField("confidence", worse).withField("confirm", F.lit(True)).withField("alternatives", F.lit(True)).cast(FIELD)
+        return F.struct(a.alias("amount"), F.when(~agree & ocr & (a["confidence"] >= r["confidence"] - 0.12), replaced).otherwise(r).alias("rate"))
+
+    pair = F.struct(amount.alias("amount"), rate.alias("rate"))
+    from_rate = F.struct(derived(rate["value"] * base, rate, ocr, "ILS").alias("amount"), rate.alias("rate"))
+    from_amount = F.struct(amount.alias("amount"), derived(implied, amount, ocr, "ratio").alias("rate"))
+    compared = let(F.struct(checked(amount).alias("a"), checked(rate).alias("r")), settle)
+    return F.when(both, compared).when(usable & amount.isNull() & rate.isNotNull(), from_rate).when(usable & rate.isNull() & amount.isNotNull(), from_amount).otherwise(pair)
 
 
 # Dates and the words that say whether a date is the payslip's.
@@ -204,8 +211,6 @@ def period_candidates(rows: DataFrame) -> DataFrame:
     A row's own words count in full, those of the rows around it less with their distance.
     """
     pairs = F.transform(F.regexp_extract_all("plain", F.lit(PERIOD), F.lit(0)), lambda m: F.concat(F.lpad(F.regexp_extract(m, PERIOD, 1), 2, "0"), F.lit("/"), F.regexp_extract(m, PERIOD, 2)))
-    from tidewright.functions.text import search_text
-
     dated = rows.withColumn("plain", search_text(F.col("direct_text"))).select("doc_id", F.col("row").alias("anchor"), F.col("page").alias("anchor_page"), F.col("y").alias("anchor_y"), F.posexplode(pairs).alias("n", "value"))
     dated = dated.withColumn("field", F.concat_ws("|", F.lit("period"), F.col("n").cast("string")))
     around = layout.neighborhood(dated, rows).join(rows.select("doc_id", "row", "search_text"), ["doc_id", "row"])
@@ -229,40 +234,46 @@ def payslip_period(rows: DataFrame, ocr: Column) -> DataFrame:
     return ranked.select("doc_id", "value", "page", F.when(ambiguous, F.least(confidence, F.lit(0.68))).otherwise(confidence).alias("confidence"), clear.alias("clear"), ambiguous.alias("ambiguous"), "candidates")
 
 
+def _role(z: Column, ocr: Column) -> Column:
+    """struct<amount, rate> of a role's choice z.c at the salary z.salary; z.hit: a number beside it contradicts it."""
+    c, base = z["c"], z["salary"]["value"]
+    paired = c["amount"].isNotNull() & c["rate"].isNotNull()
+    agree = _agrees(c["amount"]["value"], c["rate"]["value"], base)
+    verdict = F.when(paired & agree, "amount-rate-agree").when(paired, "amount-rate-conflict").otherwise("single-observation")
+    clash = F.coalesce(paired & ~agree, F.lit(False))
+    of = lambda kind, unit: direct(c[kind], c["alias_id"], c["anchor_page"], ocr, unit, verdict, F.when(clash, 0.18).otherwise(0.0), clash)
+
+    def after(x: Column) -> Column:
+        lowered = x.withField("confidence", F.greatest(F.lit(0.0), x["confidence"] - 0.08)).withField("confirm", F.lit(True)).withField("validation", F.lit("amount-rate-conflict")).withField("rejected", F.lit(True)).withField("alternatives", F.lit(True))
+        return F.when(z["hit"] & x.isNotNull(), lowered.cast(FIELD)).otherwise(x)
+
+    checked = let(F.struct(of("amount", "ILS").alias("amount"), of("rate", "ratio").alias("rate")), lambda p: cross_validate(p["amount"], p["rate"], z["salary"], ocr))
+    return let(checked, lambda p: F.struct(after(p["amount"]).alias("amount"), after(p["rate"]).alias("rate")))
+
+
 def parse(tokens: DataFrame, ocr: bool = False) -> DataFrame:
     """Fields of payslips: doc_id, name, value_num, value_str, unit, origin, confidence, confirm, alias_id, page, candidate_id, validation, alternatives, rejected, source_date, method.
 
     Documents without a salary that goes with any combination give only what doesn't depend on it.
     """
-    rows = layout.build_rows(tokens)
-    values = layout.label_values(rows)
+    rows = settled(layout.build_rows(tokens))
+    values = settled(layout.label_values(rows))
     scan, no = F.lit(ocr), F.lit(False)
-    best = global_tuple(evaluate_tuples(salary_options(values), contribution_options(values)))
+    salaries, options = settled(salary_options(values)), settled(contribution_options(values))
+    best = settled(global_tuple(settled(evaluate_tuples(salaries, options))))
     gross = values.filter("field = 'grossSalary' and match = 1 and kind = 'amount' and rank = 1").select("doc_id", _struct().alias("gross"), F.col("alias_id").alias("gross_alias"), F.col("anchor_page").alias("gross_page"))
     conflicts = rejected_conflicts(values, best).groupBy("doc_id").agg(F.collect_set("role").alias("conflicts"))
     docs = rows.select("doc_id").distinct().join(best, "doc_id", "left").join(gross, "doc_id", "left").join(conflicts, "doc_id", "left")
     unclear = F.coalesce("ambiguous", no)
     salary = direct(F.col("salary.amount"), F.col("salary.alias_id"), F.col("salary.anchor_page"), scan, "ILS", F.when(unclear, "ambiguous-salary-candidates").otherwise("not-checked"), F.when(unclear, 0.12).otherwise(0.0), unclear)
-    docs = docs.withColumns({"insuredSalary": salary, "grossSalary": direct(F.col("gross"), F.col("gross_alias"), F.col("gross_page"), scan, "ILS", F.lit("not-checked"), F.lit(0.0), no)})
+    docs = settled(docs.withColumns({"insuredSalary": salary, "grossSalary": direct(F.col("gross"), F.col("gross_alias"), F.col("gross_page"), scan, "ILS", F.lit("not-checked"), F.lit(0.0), no)}))
     names = ["insuredSalary", "grossSalary"]
     for role, (_, amount_name, rate_name) in ROLES.items():
-        chosen, base = F.col(role), F.col("salary.amount.value")
-        paired = F.col(f"{role}.amount").isNotNull() & F.col(f"{role}.rate").isNotNull()
-        agree = _agrees(F.col(f"{role}.amount.value"), F.col(f"{role}.rate.value"), base)
-        verdict = F.when(paired & agree, "amount-rate-agree").when(paired, "amount-rate-conflict").otherwise("single-observation")
-        clash = F.coalesce(paired & ~agree, no)
-        of = lambda kind, unit: direct(F.col(f"{role}.{kind}"), chosen["alias_id"], chosen["anchor_page"], scan, unit, verdict, F.when(clash, 0.18).otherwise(0.0), clash)  # noqa: B023, E731
-        docs = docs.withColumns({amount_name: of("amount", "ILS"), rate_name: of("rate", "ratio")})
-        checked = cross_validate(F.col(amount_name), F.col(rate_name), F.col("insuredSalary"), scan)
-        docs = docs.withColumns(dict(zip((amount_name, rate_name), checked, strict=True)))
-        hit = F.coalesce(F.array_contains("conflicts", role), no)
-
-        def after(x: Column, hit: Column = hit) -> Column:
-            lowered = x.withField("confidence", F.greatest(F.lit(0.0), x["confidence"] - 0.08)).withField("confirm", F.lit(True)).withField("validation", F.lit("amount-rate-conflict")).withField("rejected", F.lit(True)).withField("alternatives", F.lit(True))
-            return F.when(hit & x.isNotNull(), lowered.cast(FIELD)).otherwise(x)
-
-        docs = docs.withColumns({n: after(F.col(n)) for n in (amount_name, rate_name)})
+        pair = let(F.struct(F.col(role).alias("c"), F.col("insuredSalary").alias("salary"), F.coalesce(F.array_contains("conflicts", role), no).alias("hit")), lambda z: _role(z, scan))
+        docs = docs.withColumn(f"{role}_pair", pair)
         names += [amount_name, rate_name]
+    docs = docs.withColumns({n: F.col(f"{role}_pair.{kind}") for role, (_, a, r) in ROLES.items() for kind, n in (("amount", a), ("rate", r))})
+    docs = settled(docs.select("doc_id", *names))
     month = payslip_period(rows, scan).select("doc_id", F.col("value").alias("month"), F.col("page").alias("month_page"), F.col("confidence").alias("month_confidence"), "clear")
     docs = docs.join(month, "doc_id", "left")
     rest = [F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in names]
@@ -289,9 +300,9 @@ def parse_with_fallback(tokens: DataFrame, texts: DataFrame, ocr: bool = False)
     """parse() of tokens; documents without critical fields whose plain text (doc_id, text) has them are read from the text, and marked in stream."""
     from tidewright.sources.tokens import of_document
 
-    first = parse(tokens, ocr)
+    first = settled(parse(tokens, ocr))
     poor = texts.join(has_critical(first), "doc_id", "left_anti").join(tokens.select("doc_id").distinct(), "doc_id", "left_semi").filter(F.trim("text") != "")
-    second = parse(of_document(poor.select("doc_id", "text")), ocr)
+    second = settled(parse(of_document(poor.select("doc_id", "text")), ocr))
     better = has_critical(second)
     kept = first.join(better, "doc_id", "left_anti").withColumn("stream", F.lit("tokens"))
     return kept.unionByName(second.join(better, "doc_id", "left_semi").withColumn("stream", F.lit("flattened-text-fallback")))

@@ -7,12 +7,10 @@ without a shuffle. Any number of variants of a scenario are rows like others.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.rates import annual_to_monthly, clamp, finite, nominal_rate, number, pension, real_to_nominal, rounded
+from tidewright.functions.rates import annual_to_monthly, clamp, finite, let, nominal_rate, number, pension, real_to_nominal, rounded
 
 PHASE = "struct<start:double,end:double,rate:double,kind:string>"
 BREAK = "struct<id:string,start:double,months:double,contribution:double,resume:string,restart_salary:double>"
@@ -28,11 +26,6 @@ SNAPSHOT = [
 _TOTALS = ["contributions", "net_contributions", "fees", "deposit_fees", "balance_fees"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def ordered(phases: Column) -> Column:
     """Phases with finite bounds by start, then end, then place."""
     tagged = F.transform(F.filter(F.coalesce(phases, F.array().cast(f"array<{PHASE}>")), lambda p: finite(p["start"]) & finite(p["end"])), lambda p, i: F.struct(p["start"], p["end"], i.alias("i"), p["rate"], p["kind"]))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.rates import near
+from tidewright.functions.rates import let, near
 from tidewright.functions.text import ANY_DATE, AMOUNT, MONTH_DATE, PERCENTAGE, REPORT_LABELS, YEARLY, financial, fragments, holds, parse_date, search_text, strip
 from tidewright.operators.layout import build_rows
+from tidewright.session import settled
 
 #: Plausible balances, fees and contributions, and what makes a fee's place likely.
 LEAST_BALANCE, MOST_BALANCE, MOST_FEE, LEAST_FEE_SCORE, FEE_ROWS = 100, 1e8, 0.2, 0.35, 5
@@ -103,16 +104,12 @@ def provider(rows: DataFrame) -> DataFrame:
     return out.filter("value is not null").withColumn("place", F.row_number().over(order)).filter("place = 1").select("doc_id", "value", "page")
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def split_total(side: Column) -> Column:
     """The three contributions in the numbers beside a salary: of four or more, the one that is about the sum of the first three others is their total and goes; a total in front means reverse order."""
     without = lambda i: F.slice(F.filter(side, lambda _, k: k != i), 1, 3)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
     at = F.get(F.filter(F.transform(side, lambda x, i: F.when((F.size(without(i)) == 3) & near(x, total(without(i)), 3, 0.012), i).otherwise(-1)), lambda i: i >= 0), 0)
-    chosen = _let(F.coalesce(at, F.lit(-1)), lambda i: F.when(i < 0, F.slice(side, 1, 3)).when(i == 0, F.reverse(without(i))).otherwise(without(i)))
+    chosen = let(F.coalesce(at, F.lit(-1)), lambda i: F.when(i < 0, F.slice(side, 1, 3)).when(i == 0, F.reverse(without(i))).otherwise(without(i)))
     return F.when(F.size(side) >= 4, chosen).otherwise(F.slice(side, 1, 3))
 
 
@@ -120,19 +117,32 @@ def contribution_rows(rows: DataFrame) -> DataFrame:
     """doc_id, row, deposit_date, month, key, salary, employee, employer, severance, total, page: rows with a month, a salary and three plausible contributions; yearly rows don't count."""
     text = F.col("direct_text")
     dates = F.regexp_extract_all(text, F.lit(MONTH_DATE), F.lit(0))
-    numbers = F.filter(F.transform(fragments(F.regexp_replace(text, ANY_DATE, " "), AMOUNT), lambda x: financial(x, "amount")["value"]), lambda v: v >= LEAST_SUM)
-    out = rows.filter(~search_text(text).rlike(YEARLY)).select("doc_id", "row", "page", dates.alias("dates"), numbers.alias("sums")).filter("size(dates) > 0 and size(sums) >= 4")
-    out = out.withColumn("salary", F.array_max("sums")).withColumn("at", F.array_position("sums", F.col("salary")).cast("int"))
-    less = lambda xs: F.filter(xs, lambda v: (v > 0) & (v < F.col("salary")))
-    after = less(F.slice("sums", F.col("at") + 1, F.size("sums")))
-    before = less(F.slice("sums", F.lit(1), F.col("at") - 1))
-    out = out.withColumns({"after": after, "before": before}).withColumn("side", F.when(F.size("after") >= 3, F.col("after")).otherwise(F.reverse("before")))
-    out = out.withColumn("c", split_total(F.col("side"))).filter("size(c) >= 3")
-    total = F.aggregate("c", F.lit(0.0), lambda a, b: a + b)
-    fine = F.forall("c", lambda v: (v / F.col("salary") > 0) & (v / F.col("salary") <= MOST_RATE)) & (total < F.col("salary") * MOST_TOTAL)
+    amounts = F.filter(F.transform(fragments(F.regexp_replace(text, ANY_DATE, " "), AMOUNT), lambda x: financial(x, "amount")["value"]), lambda v: v >= LEAST_SUM)
+    rate = lambda v, salary: (v / salary > 0) & (v / salary <= MOST_RATE)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)
+
+    def beside(sums: Column) -> Column:
+        """The salary and the numbers less than it on the side that has them."""
+        place = F.struct(F.array_max(sums).alias("salary"), F.array_position(sums, F.array_max(sums)).cast("int").alias("at"))
+
+        def sides(p: Column) -> Column:
+            less = lambda xs: F.filter(xs, lambda v: (v > 0) & (v < p["salary"]))
+            both = F.struct(less(F.slice(sums, p["at"] + 1, F.size(sums))).alias("after"), less(F.slice(sums, F.lit(1), p["at"] - 1)).alias("before"))
+            return let(both, lambda x: F.struct(p["salary"].alias("salary"), F.when(F.size(x["after"]) >= 3, x["after"]).otherwise(F.reverse(x["before"])).alias("side")))
+
+        return let(place, sides)
+
+    def found(row: Column) -> Column:
+        """struct<salary, c, dates> of a plausible row; null otherwise."""
+        chosen = let(beside(row["sums"]), lambda x: F.struct(x["salary"].alias("salary"), let(x["side"], split_total).alias("c"), row["dates"].alias("dates")))
+        fine = lambda x: (F.size(x["c"]) >= 3) & F.forall(x["c"], lambda v: rate(v, x["salary"])) & (total(x["c"]) < x["salary"] * MOST_TOTAL)
+        return F.when((F.size(row["dates"]) > 0) & (F.size(row["sums"]) >= 4), let(chosen, lambda x: F.when(fine(x), x)))
+
+    raw = rows.filter(~search_text(text).rlike(YEARLY)).select("doc_id", "row", "page", let(F.struct(dates.alias("dates"), amounts.alias("sums")), found).alias("f"))
+    out = settled(raw).filter("f is not null").select("doc_id", "row", "page", "f.*")
     month = parse_date(F.element_at("dates", -1))
     first = F.when(F.size("dates") > 1, parse_date(F.element_at("dates", 1))["display"])
-    return out.filter(fine).select("doc_id", "row", first.alias("deposit_date"), month["display"].alias("month"), F.coalesce(month["key"], F.lit(0)).alias("key"), "salary", *[F.col("c")[i].alias(n) for i, n in enumerate(MEASURES[1:])], total.alias("total"), "page")
+    return out.select("doc_id", "row", first.alias("deposit_date"), month["display"].alias("month"), F.coalesce(month["key"], F.lit(0)).alias("key"), "salary", *[F.col("c")[i].alias(n) for i, n in enumerate(MEASURES[1:])], total(F.col("c")).alias("total"), "page")
 
 
 def latest_row(history: DataFrame) -> DataFrame:
@@ -172,13 +182,13 @@ def parse(tokens: DataFrame, texts: DataFrame | None = None, ocr: bool = False)
 
     texts (doc_id, text) is where the report's date is looked for; without it, the rows.
     """
-    rows = build_rows(tokens)
-    balance = closing_balance(rows)
+    rows = settled(build_rows(tokens))
+    balance = settled(closing_balance(rows))
     parts = [_field(balance, "currentBalance", F.when(F.col("score") >= 0.95, 0.97).otherwise(0.88), "ILS", "closing-balance", F.col("value"))]
-    parts.append(_field(fee_pair(fee_candidates(rows)), F.col("field"), 0.95, "ratio", F.col("field"), F.col("value")))
+    parts.append(_field(fee_pair(settled(fee_candidates(rows))), F.col("field"), 0.95, "ratio", F.col("field"), F.col("value")))
     parts.append(_field(provider(rows), "pensionProvider", 0.9, "text", "pension-provider", text=F.col("value")))
-    history = contribution_rows(rows)
-    latest = latest_row(history).join(recurring_evidence(history), "doc_id")
+    history = settled(contribution_rows(rows))
+    latest = settled(latest_row(history).join(recurring_evidence(history), "doc_id"))
     sure = F.when(F.col("recurring"), 0.97).otherwise(0.88)
     names = {"salary": "latestReportedPensionableSalary", "employee": "latestEmployeeContributionAmount", "employer": "latestEmployerContributionAmount", "severance": "latestSeveranceContributionAmount"}
     for measure, name in names.items():
@@ -202,7 +212,7 @@ def classification(text: Column) -> Column:
 
 def with_token_fees(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     """fields (of a report's text) in which fees that the tokens' places give replace the text's."""
-    fees = fee_pair(fee_candidates(build_rows(tokens)))
+    fees = settled(fee_pair(settled(fee_candidates(settled(build_rows(tokens))))))
     kept = fields.join(fees.select("doc_id", F.col("field").alias("name")), ["doc_id", "name"], "left_anti")
     new = _field(fees, F.col("field"), 0.96, "ratio", F.col("field"), F.col("value")).withColumns({"confirm": F.lit(False), "method": F.lit("pdf-text")})
     return kept.unionByName(new)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import rates, text
 from tidewright.operators import layout, payslip, provenance, reconcile, report
-from tidewright.session import ready
+from tidewright.session import ready, settled
 from tidewright.sources import files, store, tokens
 from tidewright.streaming import pages
 
@@ -150,9 +150,9 @@ def anchor_count(s: DataFrame) -> DataFrame:
     return s.select("doc_id", text.anchor_count(text.search_text(line), "report").alias("anchors"))
 
 
-@query("SELECT doc_id, CASE WHEN a >= 1e6 THEN format('₪{:.2f} מיליון', a / 1e6) WHEN a >= 1e5 THEN format('₪{:.0f} אלף', a / 1e3) WHEN a >= 1e3 THEN format('₪{:.1f} אלף', a / 1e3) ELSE format('{:,}', CAST(a AS BIGINT)) || ' ₪' END AS money, format('{:.1f}', (ck % 90) * 1.2) AS percent, CASE WHEN ck % 4 = 0 THEN '' || (60 + ck % 9) ELSE (60 + ck % 9) || ' ו־' || (3 * (ck % 4)) || ' חודשים' END AS age FROM (SELECT *, CASE ck % 4 WHEN 0 THEN salary * 125 WHEN 1 THEN salary * 5 WHEN 2 THEN salary ELSE CAST(ck % 900 AS DOUBLE) END AS a FROM seed)")
+@query("SELECT doc_id, CASE WHEN a >= 1e6 THEN format('₪{:.2f} מיליון', a / 1e6) WHEN a >= 1e5 THEN format('₪{:.0f} אלף', a / 1e3) WHEN a >= 1e3 THEN format('₪{:.1f} אלף', a / 1e3) ELSE format('{:,}', CAST(a AS BIGINT)) || ' ₪' END AS money, format('{:.1f}', (ck % 90) * 1.2) AS percent, CASE WHEN ck % 4 = 0 THEN '' || (60 + ck % 9) ELSE (60 + ck % 9) || ' ו־' || (3 * (ck % 4)) || ' חודשים' END AS age FROM (SELECT *, CASE ck % 4 WHEN 0 THEN salary * 125 WHEN 1 THEN salary * 5 + 1 WHEN 2 THEN salary ELSE CAST(ck % 900 AS DOUBLE) END AS a FROM seed)")
 def formats(s: DataFrame) -> DataFrame:
-    amount = F.expr("CASE ck % 4 WHEN 0 THEN salary * 125 WHEN 1 THEN salary * 5 WHEN 2 THEN salary ELSE CAST(ck % 900 AS DOUBLE) END")
+    amount = F.expr("CASE ck % 4 WHEN 0 THEN salary * 125 WHEN 1 THEN salary * 5 + 1 WHEN 2 THEN salary ELSE CAST(ck % 900 AS DOUBLE) END")
     years = 60 + F.col("ck") % 9 + (F.col("ck") % 4) * 0.25
     return s.select("doc_id", text.money(amount).alias("money"), text.percent((F.col("ck") % 90) * 0.012).alias("percent"), text.age(years).alias("age"))
 
@@ -180,7 +180,7 @@ def _pages(s: DataFrame) -> DataFrame:
     """Two pages: one with tokens, one with blocks of words only; every third document has none and is read as text."""
     first = "named_struct('page_number', 1, 'tokens', array(named_struct('text', concat(' ', c_name), 'x', 10e0, 'y', CAST(NULL AS DOUBLE), 'width', CAST(NULL AS DOUBLE), 'height', CAST(NULL AS DOUBLE), 'confidence', 80e0, 'bbox', named_struct('x0', 1e0, 'y0', 20e0, 'x1', 50e0, 'y1', 24e0))), 'blocks', NULL)"
     box = "named_struct('x0', 5e0, 'y0', 7e0, 'x1', 45e0, 'y1', 30e0)"
-    second = f"named_struct('page_number', 2, 'tokens', NULL, 'blocks', array(named_struct('paragraphs', array(named_struct('lines', array(named_struct('words', array(named_struct('text', c_mktsegment, 'bbox', {box}, 'confidence', 5e-1, 'symbols', array(named_struct('text', '7', 'bbox', {box}, 'confidence', 9e-1))))))))))))"
+    second = f"named_struct('page_number', 2, 'tokens', NULL, 'blocks', array(named_struct('paragraphs', array(named_struct('lines', array(named_struct('words', array(named_struct('text', c_mktsegment, 'bbox', {box}, 'confidence', 5e-1, 'symbols', array(named_struct('text', '7', 'bbox', {box}, 'confidence', 9e-1)))))))))))"
     return s.select("doc_id", "ck", F.col("c_name").alias("text"), F.when(F.col("ck") % 3 != 0, _nested(first, second)).alias("pages"))
 
 
@@ -275,10 +275,10 @@ def payslip_text() -> Column:
     pay = lambda x: comma(F.col("salary") * x)
     employee = F.expr("CASE ck % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'R' WHEN 2 THEN 'X' ELSE 'B' END")
     line = F.when(employee == "A", pay(0.07)).when(employee == "R", F.lit("7%")).when(employee == "X", F.concat(pay(0.07), F.lit(" 5%"))).otherwise(F.concat(pay(0.07), F.lit(" 7%")))
-    far = "\n\n\n\n"
-    parts = [F.lit("Payroll month "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("/"), F.col("year").cast("string"), F.lit("\nGross salary "), comma(F.col("salary") * 1.1), F.lit("\nInsured salary "), comma(F.col("salary"))]
-    parts += [F.when(F.col("ck") % 7 == 0, F.concat(F.lit("\nInsured salary annual "), comma(F.col("salary") * 12))).otherwise(F.lit(""))]
-    parts += [F.lit(f"{far}\nEmployee contribution "), line, F.lit("\nEmployer contribution "), pay(0.065), F.lit(" 6.5%"), F.lit("\nSeverance "), pay(0.0833), F.lit(" 8.33%")]
+    gap = F.lit("\n-" * 4 + "\n")  # four rows without a number: labels see their own numbers only
+    parts = [F.lit("Payroll month "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("/"), F.col("year").cast("string"), gap, F.lit("Gross salary "), comma(F.col("salary") * 1.1), gap, F.lit("Insured salary "), comma(F.col("salary"))]
+    parts += [F.when(F.col("ck") % 7 == 0, F.concat(gap, F.lit("Insured salary yearly "), comma(F.col("salary") * 12))).otherwise(F.lit(""))]
+    parts += [gap, F.lit("Employee contribution "), line, gap, F.lit("Employer contribution "), pay(0.065), F.lit(" 6.5%"), gap, F.lit("Severance "), pay(0.0833), F.lit(" 8.33%")]
     return F.concat(*parts)
 
 
@@ -309,3 +309,429 @@ def payslip_period(s: DataFrame) -> DataFrame:
     more = F.concat(payslip_text(), F.lit("\nDate of birth 01/2001"))
     rows = layout.build_rows(tokens.of_document(s.select("doc_id", more.alias("text"))))
     return payslip.payslip_period(rows, F.lit(False)).select("doc_id", F.col("value").alias("month"), "confidence", "clear")
+
+
+def _values(s: DataFrame) -> DataFrame:
+    return settled(layout.label_values(settled(layout.build_rows(payslips(s)))))
+
+
+def _solved(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    values = _values(s)
+    salaries, options = settled(payslip.salary_options(values)), settled(payslip.contribution_options(values))
+    return values, salaries, options, settled(payslip.evaluate_tuples(salaries, options))
+
+
+#: A line's only token gives a number 0.35 * 0.96 + 0.25 * 0.96 + 0.25 * 0.72 + 0.15 * 0.96 as its confidence.
+_SURE = "(96e-2 * 35e-2 + 96e-2 * 25e-2 + 72e-2 * 25e-2 + 96e-2 * 15e-2)"
+
+
+@query(f", k AS (SELECT *, unnest(CASE WHEN ck % 7 = 0 THEN [1e0, 12e0] ELSE [1e0] END) AS times FROM seed) SELECT doc_id, salary * times AS value, {r2(f'{_SURE} * 2 + CASE WHEN times = 12 THEN -18e-1 ELSE 0 END', 6)} AS unary, CAST(CASE WHEN times = 12 THEN 2 ELSE 1 END AS INT) AS choice FROM k")
+def salary_options(s: DataFrame) -> DataFrame:
+    return payslip.salary_options(_values(s)).select("doc_id", cents(F.col("amount.value")).alias("value"), cents(F.col("unary"), 6).alias("unary"), "choice")
+
+
+_CHOICES = f"""SELECT doc_id, 'severanceContribution' AS field, {r2('salary * 833e-4')} AS amount, 833e-4 AS rate, {r2(f'2 * {_SURE} + 2e-1', 6)} AS unary, 1 AS choice FROM seed
+ UNION ALL SELECT doc_id, 'severanceContribution', {r2('salary * 833e-4')}, NULL, {r2(_SURE, 6)}, 2 FROM seed UNION ALL SELECT doc_id, 'severanceContribution', NULL, 833e-4, {r2(_SURE, 6)}, 3 FROM seed"""
+
+
+@query(_CHOICES, "contribution_options")
+def _contribution_options(s: DataFrame) -> DataFrame:
+    out = payslip.contribution_options(_values(s)).filter("field = 'severanceContribution'")
+    return out.select("doc_id", "field", cents(F.col("amount.value")).alias("amount"), F.col("rate.value").alias("rate"), cents(F.col("unary"), 6).alias("unary"), "choice")
+
+
+@query("SELECT doc_id, field, count AS choices FROM (SELECT doc_id, unnest(['employeeContribution', 'employerContribution', 'severanceContribution']) AS field, unnest([CASE WHEN ck % 5 < 2 THEN 1 ELSE 3 END, 3, 3]) AS count FROM seed)")
+def amount_rate_pairs(s: DataFrame) -> DataFrame:
+    """Single amounts, single rates, and pairs of different numbers."""
+    return payslip.contribution_options(_values(s)).groupBy("doc_id", "field").agg(F.count("*").cast("int").alias("choices"))
+
+
+@query("SELECT doc_id, field, kind, CAST(n AS INT) AS n FROM (SELECT doc_id, unnest(['insuredSalary', 'employerContribution', 'employerContribution']) AS field, unnest(['amount', 'amount', 'rate']) AS kind, unnest([CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END, 1, 1]) AS n FROM seed)")
+def top_n_per_group(s: DataFrame) -> DataFrame:
+    out = _values(s).filter("rank <= 4 and (field = 'insuredSalary' and kind = 'amount' or field = 'employerContribution')")
+    return out.groupBy("doc_id", "field", "kind").agg(F.count("*").cast("int").alias("n"))
+
+
+_SOLUTIONS = "(CASE WHEN ck % 5 < 2 THEN 2 ELSE 4 END) * 16"
+
+
+@query(f"SELECT doc_id, CAST(count AS BIGINT) AS solutions FROM (SELECT doc_id, {_SOLUTIONS} + CASE WHEN ck % 7 = 0 THEN 0 ELSE 0 END AS count FROM seed WHERE ck % 7 <> 0)")
+def evaluate_tuple(s: DataFrame) -> DataFrame:
+    """Every choice of each role, or none, is allowed where numbers stand apart; yearly sums are a salary of their own."""
+    return _solved(s.filter("ck % 7 <> 0"))[3].groupBy("doc_id").agg(F.count("*").alias("solutions"))
+
+
+_TUPLE = f"SELECT doc_id, salary, CASE WHEN ck % 5 <> 1 THEN {r2('salary * 7e-2')} END AS employee, CASE WHEN ck % 5 IN (1, 3, 4) THEN 7e-2 END AS employee_rate, false AS ambiguous FROM seed"
+
+
+@query(_TUPLE)
+def global_tuple(s: DataFrame) -> DataFrame:
+    best = payslip.global_tuple(_solved(s)[3])
+    return best.select("doc_id", F.col("salary.amount.value").alias("salary"), cents(F.col("employee.amount.value")).alias("employee"), F.col("employee.rate.value").alias("employee_rate"), "ambiguous")
+
+
+@query("SELECT doc_id, ck % 2 = 0 AS ambiguous, CASE WHEN ck % 2 = 0 THEN 'ambiguous-salary-candidates' ELSE 'not-checked' END AS validation FROM seed")
+def alt_salary_margin(s: DataFrame) -> DataFrame:
+    """Two salaries that fit equally well, unless they are about the same."""
+    other = F.when(F.col("ck") % 2 == 0, F.col("salary") * 1.05).otherwise(F.col("salary") + 1)
+    pair = F.concat(F.lit("Insured salary "), comma(F.col("salary")), F.lit("\n-\n-\n-\n-\nInsured salary "), comma(other))
+    out = payslip.parse(tokens.of_document(s.select("doc_id", pair.alias("text")))).filter("name = 'insuredSalary'")
+    return out.select("doc_id", "alternatives", "validation").withColumnRenamed("alternatives", "ambiguous")
+
+
+@query("SELECT doc_id, CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END AS salaries, CASE WHEN ck % 5 < 2 THEN 1 ELSE 3 END AS employee, 3 AS employer, 3 AS severance FROM seed")
+def candidate_counts(s: DataFrame) -> DataFrame:
+    _, salaries, options, solutions = _solved(s)
+    out = payslip.candidate_counts(salaries, options, payslip.global_tuple(solutions))
+    return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("salaries", "employee", "employer", "severance")])
+
+
+@query("SELECT doc_id, 'employee' AS role FROM seed WHERE ck % 5 = 2")
+def rejected_conflict(s: DataFrame) -> DataFrame:
+    values, _, _, solutions = _solved(s)
+    return payslip.rejected_conflicts(values, payslip.global_tuple(solutions))
+
+
+@query(f"SELECT doc_id, CASE WHEN total < salary * 65e-2 THEN 1 ELSE 0 END AS allowed FROM (SELECT *, salary * 3e-1 * (1 + ck % 3) AS total FROM seed)")
+def contribution_sum(s: DataFrame) -> DataFrame:
+    """Contributions of 30 % each: two are less than 65 % of the salary, three are not."""
+    label = F.array(F.lit("Employee contribution "), F.lit("Employer contribution "), F.lit("Severance "))
+    lines = F.array_join(F.transform(F.slice(label, F.lit(1), (1 + F.col("ck") % 3).cast("int")), lambda x: F.concat(x, comma(F.col("salary") * 0.3))), "\n-\n-\n-\n-\n")
+    docs = s.select("doc_id", F.concat(F.lit("Insured salary "), comma(F.col("salary")), F.lit("\n-\n-\n-\n-\n"), lines).alias("text"), (1 + F.col("ck") % 3).alias("n"))
+    values = settled(layout.label_values(settled(layout.build_rows(tokens.of_document(docs.select("doc_id", "text"))))))
+    full = payslip.evaluate_tuples(settled(payslip.salary_options(values)), settled(payslip.contribution_options(values)))
+    used = sum((F.col(f"{r}.amount").isNotNull().cast("int") for r in payslip.ROLES), F.lit(0))
+    most = full.groupBy("doc_id").agg(F.max(used).alias("used"))
+    return docs.join(most, "doc_id").select("doc_id", (F.col("used") == F.col("n")).cast("int").alias("allowed"))
+
+
+@query("SELECT doc_id, unnest([lpad('' || month, 2, '0') || '/' || year, '01/2001']) AS value, unnest([2e-1 + 31e-1 - 14e-2, 2e-1 - 28e-1 + 19e-2]) AS score, unnest([true, false]) AS positive, unnest([false, true]) AS negative FROM (SELECT * REPLACE (month AS month) FROM seed)".replace("31e-1 - 14e-2", "31e-1 - (5e-1 - 36 / 180e0)").replace("28e-1 + 19e-2", "28e-1 + (55e-2 - 36 / 180e0)"))
+def period_context(s: DataFrame) -> DataFrame:
+    """A row's own words in full, those of the row two lines away by distance."""
+    pair = F.concat(F.lit("Payroll month "), F.lpad(F.col("month").cast("string"), 2, "0"), F.lit("/"), F.col("year"), F.lit("\n-\nDate of birth 01/2001"))
+    out = payslip.period_candidates(settled(layout.build_rows(tokens.of_document(s.select("doc_id", pair.alias("text"))))))
+    return out.select("doc_id", "value", "score", "positive", "negative")
+
+
+@query("SELECT doc_id, '05/2020' AS value, CASE WHEN ck % 2 = 0 THEN 68e-2 ELSE 97e-2 END AS confidence FROM seed".replace("68e-2", "58e-2"))
+def runner_up_margin(s: DataFrame) -> DataFrame:
+    """A month whose label another month shares, or has no label either, isn't clear."""
+    pair = F.when(F.col("ck") % 2 == 0, F.lit("05/2020\n-\n-\n-\n-\n06/2020")).otherwise(F.lit("Pay period 05/2020\n-\n-\n-\n-\n06/2020"))
+    out = payslip.payslip_period(settled(layout.build_rows(tokens.of_document(s.select("doc_id", pair.alias("text"))))), F.lit(False))
+    return out.select("doc_id", "value", "confidence")
+
+
+@query(f"SELECT doc_id, name, 'pdf-text' AS method, {r2('confidence', 6)} AS confidence FROM (SELECT doc_id, unnest(['insuredSalary', 'grossSalary', 'severanceRate']) AS name, unnest([{_SURE}, {_SURE}, {_SURE} + 5e-2]) AS confidence FROM seed)")
+def diagnostics(s: DataFrame) -> DataFrame:
+    out = payslip.diagnostics(payslip.parse(payslips(s))).filter("name in ('insuredSalary', 'grossSalary', 'severanceRate')")
+    return out.select("doc_id", "name", "method", cents(F.col("confidence"), 6).alias("confidence"))
+
+
+_ITEM = "named_struct('value', {0}, 'unit', 'u', 'origin', 'direct', 'confidence', {1}, 'confirm', false, 'alias_id', 'a', 'page', 1, 'candidate_id', 'c', 'validation', 'v', 'alternatives', false, 'rejected', false)"
+
+
+@query(f"SELECT doc_id, {r2('CASE ck % 4 WHEN 0 THEN salary * 7e-2 WHEN 1 THEN salary * 7e-2 ELSE salary * 7e-2 END')} AS amount, CASE ck % 4 WHEN 2 THEN 5e-2 ELSE 7e-2 END AS rate, CASE ck % 4 WHEN 0 THEN 85e-2 WHEN 1 THEN 8e-1 WHEN 2 THEN 62e-2 ELSE 77e-2 END AS amount_confidence, CASE ck % 4 WHEN 0 THEN 95e-2 WHEN 1 THEN 77e-2 WHEN 2 THEN 72e-2 ELSE 8e-1 END AS rate_confidence FROM seed")
+def cross_validate(s: DataFrame) -> DataFrame:
+    """Both agree, the rate is missing, both disagree, the amount is missing."""
+    own = F.expr("CASE ck % 4 WHEN 0 THEN 8e-1 WHEN 1 THEN 8e-1 WHEN 2 THEN 8e-1 END")
+    amount = F.when(F.col("ck") % 4 != 3, F.expr(_ITEM.format("salary * 7e-2", "8e-1")).cast(payslip.FIELD))
+    rate = F.expr(f"CASE ck % 4 WHEN 0 THEN {_ITEM.format('7e-2', '9e-1')} WHEN 2 THEN {_ITEM.format('5e-2', '9e-1')} WHEN 3 THEN {_ITEM.format('7e-2', '8e-1')} END").cast(payslip.FIELD)
+    salary = F.expr(_ITEM.format("salary", "9e-1")).cast(payslip.FIELD)
+    out = s.select("doc_id", payslip.cross_validate(amount, rate, salary, F.lit(False)).alias("x"), own.alias("own"))
+    return out.select("doc_id", cents(F.col("x.amount.value")).alias("amount"), cents(F.col("x.rate.value"), 6).alias("rate"), cents(F.col("x.amount.confidence"), 6).alias("amount_confidence"), cents(F.col("x.rate.confidence"), 6).alias("rate_confidence"))
+
+
+# ---------------------------------------------------------------- pension reports
+
+
+def report_text() -> Column:
+    """A report: provider, balance, personal fees and the fund's averages, three months of contributions, a yearly sum."""
+    pay = lambda x: comma(F.floor(F.col("salary") * x), 0)
+    row = lambda m: F.concat(F.lit(f"0{m + 1}/2026 0{m}/2026 "), comma(F.col("salary"), 0), F.lit(" "), pay(0.07), F.lit(" "), pay(0.065), F.lit(" "), pay(0.0833), F.lit(" "), comma(F.floor(F.col("salary") * 0.07) + F.floor(F.col("salary") * 0.065) + F.floor(F.col("salary") * 0.0833), 0))
+    lines = [F.lit("Annual report"), F.concat(F.lit("Pension provider: Fund of "), F.col("c_mktsegment")), F.concat(F.lit("Closing balance "), comma(F.col("salary") * 13)), F.lit("-"), F.lit("Personal management fees"), F.concat(F.lit("Deposit fee 0."), F.lpad((10 + F.col("ck") % 80).cast("string"), 2, "0"), F.lit("%")), F.lit("Balance fee 0.16%")]
+    lines += [F.lit("-"), F.lit("-"), F.lit("-"), F.lit("Fund average"), F.lit("Deposit fee 1.49%"), F.lit("Balance fee 0.51%"), row(5), row(6), row(7), F.concat(F.lit("Annual 08/2026 "), comma(F.col("salary") * 12, 0), F.lit(" 1,000 2,000 3,000"))]
+    return F.concat_ws("\n", *lines)
+
+
+def _report_rows(s: DataFrame) -> DataFrame:
+    return settled(layout.build_rows(tokens.of_document(s.select("doc_id", report_text().alias("text")))))
+
+
+@query(f"SELECT doc_id, {r2('salary * 13')} AS value, 1e0 AS score FROM seed")
+def balance_candidates(s: DataFrame) -> DataFrame:
+    return report.closing_balance(_report_rows(s)).select("doc_id", cents(F.col("value")).alias("value"), "score")
+
+
+@query("SELECT doc_id, unnest(['depositManagementFeeRate', 'balanceManagementFeeRate']) AS field, unnest([floor((10 + ck % 80) / 1e4 * 1e6 + 5e-1) / 1e6, 16e-4]) AS value FROM seed")
+def fee_pair(s: DataFrame) -> DataFrame:
+    """Personal fees, not the fund's averages beside the same labels."""
+    return report.fee_pair(settled(report.fee_candidates(_report_rows(s)))).select("doc_id", "field", cents(F.col("value"), 6).alias("value"))
+
+
+@query("SELECT doc_id, field, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, unnest(['depositManagementFeeRate', 'balanceManagementFeeRate']) AS field, 4 AS n FROM seed)")
+def fee_candidates(s: DataFrame) -> DataFrame:
+    """Each of the four percentages has a label of both fees near."""
+    return report.fee_candidates(_report_rows(s)).groupBy("doc_id", "field").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, floor((11e-1 - apart * 16e-2 + CASE WHEN apart = 0 THEN 75e-2 ELSE 0 END + CASE ck % 3 WHEN 0 THEN 45e-2 WHEN 1 THEN -105e-2 ELSE 0 END - CASE WHEN ck % 2 = 0 THEN 14e-1 ELSE 0 END) * 1e6 + 5e-1) / 1e6 AS score FROM (SELECT *, ck % 6 AS apart FROM seed)")
+def fee_score(s: DataFrame) -> DataFrame:
+    headed = F.when(F.col("ck") % 3 == 0, True).when(F.col("ck") % 3 == 1, False)
+    return s.select("doc_id", cents(report.fee_score(F.col("ck") % 6, headed, F.col("ck") % 2 == 0, F.lit(False)), 6).alias("score"))
+
+
+@query("SELECT doc_id, 'Fund of ' || c_mktsegment AS value FROM seed")
+def extract_provider(s: DataFrame) -> DataFrame:
+    return report.provider(_report_rows(s)).select("doc_id", "value")
+
+
+@query("SELECT doc_id, CASE WHEN ck % 2 = 0 THEN 'Alpha ' || c_mktsegment ELSE 'Beta' END AS value FROM seed")
+def next_line(s: DataFrame) -> DataFrame:
+    """A provider's name is in the row of its label, else in the next one."""
+    line = F.when(F.col("ck") % 2 == 0, F.concat(F.lit("שם הקרן: Alpha "), F.col("c_mktsegment"))).otherwise(F.lit("Fund provider - 12\nBeta"))
+    return report.provider(layout.build_rows(tokens.of_document(s.select("doc_id", line.alias("text"))))).select("doc_id", "value")
+
+
+_HISTORY = "SELECT doc_id, m, salary, floor(salary * 7e-2) AS employee, floor(salary * 65e-3) AS employer, floor(salary * 833e-4) AS severance FROM (SELECT *, unnest([5, 6, 7]) AS m FROM seed)"
+
+
+@query(f"SELECT doc_id, '0' || (m + 1) || '/2026' AS deposit_date, '0' || m || '/2026' AS month, CAST(2026 * 372 + m * 31 AS INT) AS key, salary, employee, employer, severance, employee + employer + severance AS total FROM ({_HISTORY})")
+def contribution_rows(s: DataFrame) -> DataFrame:
+    out = report.contribution_rows(_report_rows(s))
+    return out.select("doc_id", "deposit_date", "month", "key", "salary", "employee", "employer", "severance", "total")
+
+
+@query("SELECT doc_id, CASE WHEN ck % 2 = 0 THEN 'forward' ELSE 'reverse' END AS way, 700e0 + ck % 50 AS a, 600e0 AS b, 500e0 AS c FROM seed")
+def total_row_detection(s: DataFrame) -> DataFrame:
+    a = (700 + F.col("ck") % 50).cast("double")
+    total = a + 1100
+    side = F.when(F.col("ck") % 2 == 0, F.array(a, F.lit(600.0), F.lit(500.0), total)).otherwise(F.array(total, F.lit(500.0), F.lit(600.0), a))
+    out = s.select("doc_id", F.when(F.col("ck") % 2 == 0, "forward").otherwise("reverse").alias("way"), report.split_total(side).alias("x"))
+    return out.select("doc_id", "way", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"), F.col("x")[2].alias("c"))
+
+
+@query(f"SELECT doc_id, '07/2026' AS month, salary FROM seed")
+def latest_row(s: DataFrame) -> DataFrame:
+    return report.latest_row(settled(report.contribution_rows(_report_rows(s)))).select("doc_id", "month", "salary")
+
+
+@query("SELECT doc_id, CAST(3 AS BIGINT) AS recent, CAST(3 AS BIGINT) AS agreeing, true AS recurring FROM seed")
+def recurring_evidence(s: DataFrame) -> DataFrame:
+    return report.recurring_evidence(settled(report.contribution_rows(_report_rows(s))))
+
+
+_REPORT = f"""SELECT doc_id, name, floor(v * 1e6 + 5e-1) / 1e6 AS value_num, t AS value_str, confidence FROM (SELECT doc_id,
+ unnest(['currentBalance', 'depositManagementFeeRate', 'balanceManagementFeeRate', 'pensionProvider', 'latestReportedPensionableSalary', 'latestEmployeeContributionAmount', 'latestEmployerContributionAmount', 'latestSeveranceContributionAmount', 'latestEmployeeContributionRate', 'latestEmployerContributionRate', 'latestSeveranceRate', 'reportDate', 'balanceDate']) AS name,
+ unnest([salary * 13, (10 + ck % 80) / 1e4, 16e-4, NULL, salary, floor(salary * 7e-2), floor(salary * 65e-3), floor(salary * 833e-4), floor(salary * 7e-2) / salary, floor(salary * 65e-3) / salary, floor(salary * 833e-4) / salary, NULL, NULL]) AS v,
+ unnest([NULL, NULL, NULL, 'Fund of ' || c_mktsegment, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '08/2026', '08/2026']) AS t,
+ unnest([97e-2, 95e-2, 95e-2, 9e-1, 97e-2, 97e-2, 97e-2, 97e-2, 96e-2, 96e-2, 96e-2, 82e-2, 8e-1]) AS confidence FROM seed)"""
+
+
+@query(_REPORT)
+def parse_report(s: DataFrame) -> DataFrame:
+    docs = s.select("doc_id", report_text().alias("text"))
+    out = report.parse(tokens.of_document(docs), docs)
+    return out.select("doc_id", "name", cents(F.col("value_num"), 6).alias("value_num"), "value_str", cents(F.col("confidence"), 6).alias("confidence"))
+
+
+@query("SELECT doc_id, 96e-2 AS confidence, floor((10 + ck % 80) / 1e4 * 1e6 + 5e-1) / 1e6 AS value_num FROM seed")
+def fees_from_tokens(s: DataFrame) -> DataFrame:
+    docs = tokens.of_document(s.select("doc_id", report_text().alias("text")))
+    fields = s.select("doc_id").withColumns({"name": F.lit("depositManagementFeeRate"), "value_num": F.lit(0.5), "value_str": F.lit(None).cast("string"), "unit": F.lit("ratio"), "origin": F.lit("direct"), "confidence": F.lit(0.95), "alias_id": F.lit("x"), "page": F.lit(1), "source_date": F.lit(None).cast("string"), "recurring": F.lit(False), "confirm": F.lit(False), "method": F.lit("pdf-text")})
+    out = report.with_token_fees(fields, docs).filter("name = 'depositManagementFeeRate'")
+    return out.select("doc_id", "confidence", cents(F.col("value_num"), 6).alias("value_num"))
+
+
+# ---------------------------------------------------------------- reconciliation
+
+_CASES = "CASE ck % 6 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} WHEN 3 THEN {3} WHEN 4 THEN {4} ELSE {5} END"
+
+
+def _two_documents(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Agreement; a newer payslip; a newer report; one month with different sums; unreliable dates; a report alone."""
+    month = F.expr(_CASES.format("'08/2026'", "'08/2026'", "'05/2026'", "'08/2026'", "'08/2026'", "NULL"))
+    sure = F.expr(_CASES.format("9e-1", "9e-1", "9e-1", "9e-1", "5e-1", "NULL"))
+    first = s.filter("ck % 6 < 5").select(F.col("doc_id").alias("case_id"), F.lit("insuredSalary").alias("name"), "salary", month.alias("source_date"), sure.alias("date_confidence"))
+    first = first.select("case_id", "name", F.col("salary").alias("value_num"), F.lit(None).cast("string").alias("value_str"), F.lit("direct").alias("origin"), F.lit(0.9).alias("confidence"), F.lit(False).alias("confirm"), "source_date", "date_confidence")
+    value = F.expr(_CASES.format("salary + 1", "salary * 12e-1", "salary * 12e-1", "salary * 12e-1", "salary * 12e-1", "salary"))
+    when = F.expr(_CASES.format("'08/2026'", "'05/2026'", "'08/2026'", "'08/2026'", "'05/2026'", "'08/2026'"))
+    second = s.select(F.col("doc_id").alias("case_id"), F.lit("latestReportedPensionableSalary").alias("name"), value.alias("value_num"), F.lit(None).cast("string").alias("value_str"), F.lit("direct").alias("origin"), F.lit(0.88).alias("confidence"), F.lit(False).alias("confirm"), when.alias("salary_month"), F.lit(0.95).alias("date_confidence"))
+    balance = s.select(F.col("doc_id").alias("case_id"), F.lit("currentBalance").alias("name"), (F.col("salary") * 13).alias("value_num"), F.lit(None).cast("string").alias("value_str"), F.lit("direct").alias("origin"), F.lit(0.97).alias("confidence"), F.lit(False).alias("confirm"), F.lit(None).cast("string").alias("salary_month"), F.lit(None).cast("double").alias("date_confidence"))
+    return first, second.unionByName(balance)
+
+
+_DECISION = _CASES.format("'CROSS_DOCUMENT_VALIDATION'", "'CHRONOLOGY_RESOLVED'", "'CHRONOLOGY_RESOLVED'", "'CROSS_DOCUMENT_CONFLICT'", "'CROSS_DOCUMENT_CONFLICT'", "'SECOND_ONLY'")
+
+
+@query(f"SELECT doc_id AS case_id, 'insuredSalary' AS name, CASE WHEN ck % 6 = 2 THEN salary * 12e-1 ELSE salary END AS value_num, {_DECISION} AS decision, {_CASES.format('98e-2', '9e-1', '88e-2', '78e-2', '78e-2', '88e-2')} AS confidence, ck % 6 IN (3, 4) AS confirm FROM seed UNION ALL SELECT doc_id, 'currentBalance', salary * 13, 'SECOND_ONLY', 97e-2, false FROM seed")
+def reconcile_documents(s: DataFrame) -> DataFrame:
+    out = reconcile.reconcile(*_two_documents(s))
+    return out.select("case_id", "name", "value_num", "decision", cents(F.col("confidence"), 6).alias("confidence"), "confirm")
+
+
+@query("SELECT doc_id AS case_id, ck % 6 IN (3, 4) AS confirm FROM seed")
+def requires_confirmation_any(s: DataFrame) -> DataFrame:
+    return reconcile.requires_confirmation(reconcile.reconcile(*_two_documents(s)))
+
+
+def _item(value: str, confidence: str, origin: str = "'direct'", date: str = "NULL", recurring: str = "false", method: str = "'pdf-text'") -> Column:
+    return F.expr(f"named_struct('value_num', {value}, 'value_str', NULL, 'origin', {origin}, 'confidence', {confidence}, 'confirm', false, 'source_date', {date}, 'salary_month', NULL, 'date_confidence', NULL, 'recurring', {recurring}, 'method', {method})").cast(reconcile.ITEM)
+
+
+@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN salary WHEN 1 THEN salary * 2 ELSE salary END AS value_num, CASE ck % 3 WHEN 2 THEN 'CROSS_DOCUMENT_CONFLICT' ELSE 'STRONGER_INDEPENDENT_EVIDENCE' END AS decision FROM seed")
+def combine(s: DataFrame) -> DataFrame:
+    """Undated values that differ: the one with clearly stronger evidence, else a conflict."""
+    first = _item("salary", "CASE ck % 3 WHEN 0 THEN 95e-2 WHEN 1 THEN 5e-1 ELSE 8e-1 END")
+    second = _item("salary * 2", "CASE ck % 3 WHEN 0 THEN 5e-1 WHEN 1 THEN 95e-2 ELSE 8e-1 END")
+    none = F.lit(None).cast(reconcile.ITEM)
+    pairs = s.select("doc_id", first.alias("first"), second.alias("second"), none.alias("first_period"), none.alias("second_period"), F.lit(2.0).alias("absolute"), F.lit(0.025).alias("relative"))
+    return reconcile.combine(pairs).select("doc_id", "value_num", "decision")
+
+
+@query("SELECT doc_id, floor((8e-1 + CASE WHEN ck % 2 = 0 THEN 25e-3 ELSE -25e-3 END - CASE WHEN ck % 3 = 0 THEN 4e-2 ELSE 0 END + CASE WHEN ck % 5 = 0 THEN 35e-3 ELSE 0 END) * 1e6 + 5e-1) / 1e6 AS strength FROM seed")
+def evidence_strength(s: DataFrame) -> DataFrame:
+    item = _item("1e0", "8e-1", "CASE WHEN ck % 2 = 0 THEN 'direct' ELSE 'derived' END", recurring="ck % 5 = 0", method="CASE WHEN ck % 3 = 0 THEN 'ocr' ELSE 'pdf-text' END")
+    return s.select("doc_id", cents(reconcile.evidence_strength(item), 6).alias("strength"))
+
+
+@query("SELECT doc_id, CASE WHEN ck % 3 = 0 THEN lpad('' || month, 2, '0') || '/' || year WHEN ck % 3 = 1 THEN '01/2020' END AS value, CASE WHEN ck % 3 = 0 THEN year * 12 + month WHEN ck % 3 = 1 THEN 2020 * 12 + 1 ELSE 0 END AS key, ck % 3 < 2 AS reliable FROM seed")
+def period_of(s: DataFrame) -> DataFrame:
+    own = _item("1e0", "9e-1", date="CASE WHEN ck % 3 = 0 THEN concat(lpad(month, 2, '0'), '/', year) END")
+    other = F.when(F.col("ck") % 3 == 1, F.expr("named_struct('value_num', NULL, 'value_str', '01/2020', 'origin', 'direct', 'confidence', 97e-2, 'confirm', false, 'source_date', NULL, 'salary_month', NULL, 'date_confidence', NULL, 'recurring', false, 'method', 'x')").cast(reconcile.ITEM))
+    sure = own.withField("date_confidence", F.when(F.col("ck") % 3 == 0, 0.9)).cast(reconcile.ITEM)
+    p = reconcile.period_of(sure, other)
+    return s.select("doc_id", p["value"].alias("value"), p["key"].alias("key"), p["reliable"].alias("reliable"))
+
+
+# ---------------------------------------------------------------- provenance and files
+
+
+@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN true ELSE false END AS requires_confirmation, CASE WHEN ck % 3 = 2 THEN NULL ELSE 85e-2 + (ck % 3) / 10e0 END AS confidence FROM seed")
+def envelope(s: DataFrame) -> DataFrame:
+    sure = F.expr("CASE WHEN ck % 3 = 2 THEN NULL ELSE 85e-2 + (ck % 3) / 10e0 END")
+    e = provenance.envelope(F.col("salary"), F.lit(None).cast("string"), F.lit("payslip"), sure)
+    return s.select("doc_id", e.alias("e")).select("doc_id", "e.requires_confirmation", "e.confidence")
+
+
+@query("SELECT doc_id, true AS confirmed_by_user, false AS requires_confirmation, salary AS value_num, 'payslip' AS source FROM seed")
+def confirm_provenance(s: DataFrame) -> DataFrame:
+    e = provenance.envelope(F.col("salary"), F.lit(None).cast("string"), F.lit("payslip"), F.lit(0.5))
+    out = s.select("doc_id", provenance.confirmed(e, F.lit("2026-01-01").cast("timestamp")).alias("e"))
+    return out.select("doc_id", "e.confirmed_by_user", "e.requires_confirmation", "e.value_num", "e.source")
+
+
+@query("SELECT doc_id, true AS confirmed_by_user, salary + 1 AS value_num, 'user' AS source FROM seed")
+def set_source(s: DataFrame) -> DataFrame:
+    e = provenance.envelope(F.col("salary"), F.lit(None).cast("string"), F.lit("payslip"), F.lit(0.5))
+    out = s.select("doc_id", provenance.set_by(e, "user", F.col("salary") + 1, True).alias("e"))
+    return out.select("doc_id", "e.confirmed_by_user", "e.value_num", "e.source")
+
+
+@query("SELECT doc_id, CAST(9 AS BIGINT) AS fields, CAST(0 AS BIGINT) AS known FROM seed")
+def empty_extraction(s: DataFrame) -> DataFrame:
+    out = provenance.empty(s.select("doc_id"), "payslip")
+    return out.groupBy("doc_id").agg(F.count("*").alias("fields"), F.count("field.value_num").alias("known"))
+
+
+def _extracted(s: DataFrame) -> DataFrame:
+    row = lambda name, origin: F.struct(F.lit(name).alias("name"), F.lit(origin).alias("origin"))
+    some = F.explode(F.filter(F.array(row("insuredSalary", "direct"), row("severanceRate", "derived"), row("secret", "direct")), lambda x: (F.col("ck") % 2 == 0) | (x["name"] == "secret")))
+    out = s.select("doc_id", "salary", some.alias("x"))
+    return out.select("doc_id", "x.name", F.col("salary").alias("value_num"), F.lit(None).cast("string").alias("value_str"), "x.origin", F.lit(0.95).alias("confidence"), F.lit("ILS").alias("unit"), F.lit(False).alias("confirm"), F.lit(None).cast("string").alias("source_date"), F.lit("pdf-text").alias("method"))
+
+
+@query("SELECT doc_id, unnest(['insuredSalary', 'severanceRate']) AS name, unnest(['payslip', 'payslipDerived']) AS source, salary AS value_num FROM seed WHERE ck % 2 = 0")
+def wrap_fields(s: DataFrame) -> DataFrame:
+    out = provenance.wrap(s.select("doc_id"), _extracted(s), "payslip").filter("field.value_num is not null")
+    return out.select("doc_id", "name", "field.source", "field.value_num")
+
+
+@query("SELECT doc_id, CAST(CASE WHEN ck % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS identified, CASE WHEN ck % 2 = 0 THEN 'partial' ELSE 'manual-required' END AS status FROM seed")
+def identified_count(s: DataFrame) -> DataFrame:
+    return provenance.identified_count(provenance.wrap(s.select("doc_id"), _extracted(s), "payslip"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN ck % 2 = 0 THEN 3 ELSE 1 END AS INT) AS documents, CAST(CASE WHEN ck % 2 = 0 THEN 1 ELSE 3 END AS INT) AS system FROM seed")
+def provenance_counts(s: DataFrame) -> DataFrame:
+    sources = F.expr("CASE WHEN ck % 2 = 0 THEN array('payslip', 'crossValidated', 'pensionReportDerived', 'user', NULL) ELSE array('payslip', 'system', NULL, 'system', 'user') END")
+    documents, system = provenance.counts(sources)
+    return s.select("doc_id", documents.alias("documents"), system.alias("system"))
+
+
+@query("SELECT doc_id, ck % 4 = 0 AS useful, CASE ck % 4 WHEN 0 THEN 'native-text-usable' WHEN 1 THEN 'too-little-text' WHEN 2 THEN 'too-few-digits' ELSE 'no-payslip-anchors' END AS reason FROM seed")
+def assess_native_text(s: DataFrame) -> DataFrame:
+    line = F.expr("CASE ck % 4 WHEN 0 THEN concat('Insured salary of this month is ', salary, ' shekels') WHEN 1 THEN concat('salary ', ck % 9) WHEN 2 THEN 'Insured salary of this month is not known to us' ELSE 'Some other words of a document from 2026, nothing more' END")
+    out = s.select("doc_id", provenance.assess_text(line, "payslip").alias("a"))
+    return out.select("doc_id", "a.useful", "a.reason")
+
+
+@query("SELECT doc_id, ck % 4 = 1 OR ck % 4 = 2 AS wrong FROM seed")
+def wrong_document(s: DataFrame) -> DataFrame:
+    line = F.expr("CASE ck % 4 WHEN 0 THEN 'Gross  salary' WHEN 1 THEN 'annual report' WHEN 2 THEN 'תגמולי עובד' ELSE 'gross salary, balance fee' END")
+    kind = F.expr("CASE WHEN ck % 4 = 2 THEN 'pensionReport' ELSE 'payslip' END")
+    return s.select("doc_id", files.wrong_document(line, kind).alias("wrong"))
+
+
+@query("SELECT doc_id, CASE ck % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'password-protected' WHEN 2 THEN 'corrupted-pdf' ELSE 'unreadable-pdf' END AS status FROM seed")
+def classify_error(s: DataFrame) -> DataFrame:
+    name = F.expr("CASE ck % 4 WHEN 0 THEN 'AbortError' WHEN 2 THEN 'InvalidPDFException' END")
+    message = F.expr("CASE WHEN ck % 4 = 1 THEN 'No Password given' ELSE 'failed' END")
+    return s.select("doc_id", files.error_status(name, message).alias("status"))
+
+
+@query("SELECT doc_id, CASE ck % 8 WHEN 0 THEN 'unsupported-type' WHEN 1 THEN 'file-too-large' WHEN 2 THEN 'manual-required' WHEN 3 THEN 'corrupted-pdf' WHEN 4 THEN 'password-protected' WHEN 5 THEN 'unknown-kind' WHEN 6 THEN 'unsupported-type' END AS status FROM seed")
+def src_file_gate(s: DataFrame) -> DataFrame:
+    out = s.select(
+        "doc_id",
+        F.expr("CASE WHEN ck % 8 IN (1, 3, 7) THEN 'a.PDF' ELSE 'a.txt' END").alias("name"),
+        F.expr("CASE ck % 8 WHEN 2 THEN 'image/PNG' WHEN 4 THEN 'application/pdf' WHEN 5 THEN 'application/pdf' WHEN 6 THEN 'image/jpeg' ELSE '' END").alias("mime"),
+        F.expr("CASE WHEN ck % 8 = 1 THEN 12582913 ELSE 100 END").alias("size"),
+        F.expr("CASE ck % 8 WHEN 3 THEN 'nothing' WHEN 4 THEN '%PDF /Encrypt 1' ELSE '%PDF-1.7' END").cast("binary").alias("content"),
+        F.expr("CASE ck % 8 WHEN 2 THEN 'pensionReport' WHEN 5 THEN 'other' ELSE 'payslip' END").alias("kind"),
+    )
+    return out.select("doc_id", files.gate().alias("status"))
+
+
+@query("SELECT doc_id, 'Sum (' || ck || ')' || chr(10) || 'of ' || c_mktsegment AS text FROM seed".replace("'Sum (' || ck || ')'", "'Sum ' || ck || ' x'"))
+def src_pdf_literal(s: DataFrame) -> DataFrame:
+    raw = F.concat(F.lit("%PDF BT (Sum  "), F.col("ck"), F.lit(" x) Tj (y) Tj (of "), F.col("c_mktsegment"), F.lit(")  Tj ET (lost) TJ")).cast("binary")
+    return s.select("doc_id", files.literal_text(raw).alias("text"))
+
+
+@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN salary WHEN 1 THEN 5e0 ELSE 5e0 END AS salary, CASE ck % 3 WHEN 0 THEN c_name ELSE 'default' END AS name FROM seed")
+def src_state_load(s: DataFrame) -> DataFrame:
+    """Documents that were saved, one that is broken, and one that is missing."""
+    raw = F.when(F.col("ck") % 3 == 0, store.save(F.struct("salary", F.col("c_name").alias("name")))).when(F.col("ck") % 3 == 1, "{broken")
+    default = F.struct(F.lit(5.0).alias("salary"), F.lit("default").alias("name"))
+    out = s.select("doc_id", store.load(raw, "salary double, name string", default).alias("d"))
+    return out.select("doc_id", "d.salary", "d.name")
+
+
+@query("SELECT owner, name, CAST(age AS INT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY saved_at DESC, ck DESC) AS age FROM (SELECT ck, ck % 4 AS owner, trim(c_name) AS name, ck % 50 AS saved_at FROM seed WHERE ck % 9 <> 0)) WHERE age <= 30")
+def snk_scenario_ring(s: DataFrame) -> DataFrame:
+    saved = s.select((F.col("ck") % 4).alias("owner"), F.when(F.col("ck") % 9 != 0, F.concat(F.lit(" "), "c_name")).otherwise("  ").alias("name"), (F.col("ck") % 50).alias("saved_at"), F.col("ck").alias("saved_order"))
+    return store.ring(saved).select("owner", "name", "age")
+
+
+@query("SELECT doc_id, 'A' || ck || ',תרחיש 2' AS names FROM seed")
+def src_scenario_hydrate_list(s: DataFrame) -> DataFrame:
+    raw = F.expr("array(named_struct('name', concat('A', ck), 'usable', true), named_struct('name', 'gone', 'usable', false), named_struct('name', '', 'usable', true))")
+    return s.select("doc_id", F.array_join(store.loaded_names(raw), ",").alias("names"))
+
+
+def snk_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = ready(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return store.logged(events, ("click", "purchase", "forecast_generated")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+QUERIES["snk_event_log"] = snk_event_log
+ORACLES["snk_event_log"] = "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase', 'forecast_generated') GROUP BY event_type"
+
+
+@query("SELECT '' || doc_id AS doc_id, CASE WHEN ck % 2 = 0 THEN 1 ELSE 2 END AS page FROM seed")
+def first_sufficient_page(s: DataFrame) -> DataFrame:
+    """A salary on the first page, and a contribution there or on the second."""
+    row = lambda o, page, y, t: F.struct(F.lit(o).alias("ord"), page.alias("page"), F.lit(float(y)).alias("y"), t.alias("text"))
+    words = F.array(row(0, F.lit(1), 0, F.concat(F.lit("Insured salary "), comma(F.col("salary")))), row(1, F.when(F.col("ck") % 2 == 0, 1).otherwise(2), 300, F.concat(F.lit("Employee contribution "), comma(F.col("salary") * 0.07))))
+    found = s.select("doc_id", F.explode(words).alias("t")).select("doc_id", "t.*", F.lit(0.0).alias("x"), F.lit(200.0).alias("width"), F.lit(14.0).alias("height"), F.lit(0.9).alias("confidence"))
+    return pages.first_sufficient_page(found)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +18,15 @@ def ready(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that all executors share (spark.checkpoint.dir; one of our own where that is unset, as in tests).
+
+    For tables that several later steps read: each would else compute all of it again. The table survives the loss of executors.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewright-shared"
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
