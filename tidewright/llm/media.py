@@ -167,7 +167,9 @@ class _Reader(DataSourceReader):
             files = {name: files[name] for name in self.archives.split(",") if name}
         return [Range(name, size, at, min(at + self.range, size)) for name, size in sorted(files.items()) for at in range(0, size, self.range)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # without archives
+            return
         system, top = _filesystem(self.folder)
         path = f"{top}/{partition.path}"
         with system.open_input_file(path) as stream:

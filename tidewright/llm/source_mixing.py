@@ -99,11 +99,11 @@ def _seeded(*key: object) -> int:
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """docs with its mixing columns: __size, __source_size, __target, __rounds (whole copies) and the words [__from_1, __to_1) and [__from_2, __to_2) of one more."""
+    """row (a struct of all columns of docs) and how it's mixed: __size, __source_size, __target, __rounds (whole copies) and the words [__from_1, __to_1) and [__from_2, __to_2) of one more."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "mixing")
-    sized = docs.withColumn("__size", word_count(F.col(text_col)))
-    slim = scratch.keep(sized.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col("__size").alias("size")), "sizes")
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("__size"))
+    slim = scratch.keep(sized.select("id", "source", F.col("__size").alias("size")), "sizes")
 
     totals = {r["source"]: r["words"] for r in slim.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     names = sorted((s for s in totals if s is not None)) + [None] * (None in totals)
@@ -115,11 +115,11 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
         [(i, s, int(n), float(t), int(k)) for i, (s, n, t, k) in enumerate(zip(names, sizes, wanted, shards, strict=True))], "__i int, __name string, __source_size long, __target double, __shards int"
     )
 
-    def dealt(df: DataFrame, id_: str, source: str) -> DataFrame:
-        df = df.join(F.broadcast(sources), F.col(source).cast("string").eqNullSafe(F.col("__name")))
-        return df.withColumn("__shard", F.pmod(F.xxhash64(F.col(id_).cast("string"), F.lit(seed)), F.col("__shards")).cast("int"))
+    def dealt(df: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("__name")))
+        return df.withColumn("__shard", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.col("__shards")).cast("int"))
 
-    found = {(r["__i"], r["__shard"]): r["words"] for r in dealt(slim, "id", "source").groupBy("__i", "__shard").agg(F.sum("size").alias("words")).collect()}
+    found = {(r["__i"], r["__shard"]): r["words"] for r in dealt(slim).groupBy("__i", "__shard").agg(F.sum("size").alias("words")).collect()}
     blocks = {k: -(-n // BLOCK) for k, n in found.items()}
     of = [sorted(k for k in found if k[0] == i) for i in range(len(names))]
     quotas = sainte_lague(wanted, round(sum(wanted) / BLOCK), [MOST * sum(blocks[k] for k in ks) for ks in of])
@@ -133,15 +133,15 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int
             rows.append((*k, whole, at * BLOCK, end * BLOCK, max(0, at + extra - n) * BLOCK))
     chosen = spark.createDataFrame(rows, "__i int, __shard int, __rounds int, __x int, __y int, __z int") if rows else spark.createDataFrame([], "__i int, __shard int, __rounds int, __x int, __y int, __z int")
 
-    order = Window.partitionBy("__i", "__shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string")), F.col(id_col), F.col("__size"))
-    out = dealt(sized, id_col, source_col).withColumn("__end", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy("__i", "__shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("id").cast("string")), F.col("id"), F.col("__size"))
+    out = dealt(sized).withColumn("__end", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = out.join(F.broadcast(chosen), ["__i", "__shard"]).withColumn("__start", F.col("__end") - F.col("__size"))
 
     def inside(edge: str) -> F.Column:
         return F.least(F.greatest(F.expr(f"{edge} - __start"), F.lit(0)), F.col("__size"))
 
     out = out.withColumns({"__from_1": inside("__x"), "__to_1": inside("__y"), "__from_2": F.lit(0).cast("long"), "__to_2": inside("__z")})
-    return out.select(*[docs[c] for c in docs.columns], "__size", "__source_size", "__target", "__rounds", "__from_1", "__to_1", "__from_2", "__to_2")
+    return out.select("row", "__size", "__source_size", "__target", "__rounds", "__from_1", "__to_1", "__from_2", "__to_2")
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
@@ -151,19 +151,20 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     slim = plan(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed)
     taken = F.col("__rounds") * F.col("__size") + F.col("__to_1") - F.col("__from_1") + F.col("__to_2") - F.col("__from_2")
-    return slim.select(id_col, F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+    return slim.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
     """The mix, with the columns of docs: a row for each whole copy, and one with the words that a cut leaves, joined by one space."""
     planned = plan(docs, id_col, text_col, source_col, seed)
-    words = F.expr(rf"regexp_extract_all(`{text_col}`, '[^\\x20\\x09-\\x0D]+', 0)")
+    text = F.col(f"row.`{text_col}`")
+    words = F.expr(rf"regexp_extract_all(row.`{text_col}`, '[^\\x20\\x09-\\x0D]+', 0)")
     part = lambda a, b: F.slice(words, F.col(a) + 1, F.col(b) - F.col(a))
     two = F.col("__to_1") - F.col("__from_1") + F.col("__to_2") - F.col("__from_2")
-    cut = F.when(two == F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.concat(part("__from_2", "__to_2"), part("__from_1", "__to_1")), " "))
+    cut = F.when(two == F.col("__size"), text).otherwise(F.array_join(F.concat(part("__from_2", "__to_2"), part("__from_1", "__to_1")), " "))
     copies = F.concat(
         F.when(F.col("__rounds") > 0, F.array_repeat(F.lit(True), F.col("__rounds"))).otherwise(F.array().cast("array<boolean>")),
         F.when(two > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")),
     )
     rows = planned.filter("__size > 0").withColumn("__whole", F.explode(copies))
-    return rows.select(*[F.when(F.col("__whole"), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return rows.select(*[F.when(F.col("__whole"), text).otherwise(cut).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
