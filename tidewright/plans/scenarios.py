@@ -217,14 +217,10 @@ def prev_salary(s: DataFrame) -> DataFrame:
 _CALENDAR = "m AS (SELECT scenario_id AS k, at_ AS m, current_age + at_ / 12e0 AS ag, current_age + (at_ + 1) / 12e0 AS nx FROM (SELECT *, unnest(range(0, CAST(floor((retirement_age - current_age) * 12 + 5e-1) AS INT))) AS at_ FROM seed)), "
 
 
-def _calendar(s: DataFrame) -> DataFrame:
-    return projection.rates_by_month(projection._prepared(s)).select("scenario_id", "current_age", F.col("breaks"), F.inline("__calendar"))
-
-
 @query(seed_sql("SELECT m.k AS scenario_id, m AS month, count(*) FILTER (s <= nx AND nx < s + months / 12) > 0 AS goes_on FROM m JOIN brk ON brk.k = m.k AND s <= ag AND ag < s + months / 12 OR brk.k = m.k AND s <= nx AND nx < s + months / 12 GROUP BY m.k, m HAVING count(*) FILTER (s <= ag AND ag < s + months / 12) > 0", _CALENDAR))
 def next_break_peek(s: DataFrame) -> DataFrame:
     """For months in a break, whether the next month is in one too; a salary resumes where it isn't."""
-    return _calendar(s).filter("pause is not null").select("scenario_id", F.col("m").alias("month"), "goes_on")
+    return projection.break_calendar(s).select("scenario_id", "month", "goes_on")
 
 
 def _whole_years(s: DataFrame) -> DataFrame:
