@@ -1,7 +1,7 @@
 """A quality classifier by compression: zstandard dictionaries of good and of bad text, and the difference they make.
 
 A text is compressed in pieces once with each dictionary. The difference of the two sizes, a byte of text, is its feature; a logistic
-curve that is fitted on labelled rows other than the dictionaries' turns it into a score from 0 to 1. The label, id, language and source
+curve that is fitted on labelled rows other than the dictionaries', weighted to the classes' shares of all labels, turns it into a score from 0 to 1. The label, id, language and source
 are no inputs. The fit takes a bounded sample (SAMPLE rows of a class, of SAMPLE_BYTES at most, in the order of a hash of the id);
 all rows are scored over their whole texts.
 """
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.core import prepare
 
 #: Bounds of the sample that is fitted on: rows of each class, and their bytes; and the size of a dictionary.
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 3000, 12 << 20, 1 << 17
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, SHARE = 3000, 12 << 20, 1 << 17, 256
 #: Long texts are compressed in pieces, so that what a dictionary adds counts throughout.
-PIECE, LEVEL = 2048, 3
+PIECE, LEVEL = 512, 3
 
 
 @dataclass(frozen=True)
@@ -55,19 +55,18 @@ def feature(text: bytes, good, bad) -> float:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Equal shares of up to 2 KiB from as many texts as fit, in their order."""
-    share, out = 2048, []
-    room = DICTIONARY_BYTES
+    """Up to SHARE bytes from the middle of as many texts as fit, in their order: many texts matter more than long pieces."""
+    out, room = [], DICTIONARY_BYTES
     for text in texts:
         if room <= 0:
             break
-        part = text[: min(share, room)]
-        out.append(part)
-        room -= len(part)
+        at = max(0, (len(text) - SHARE) // 2)
+        out.append(text[at : at + min(SHARE, room)])
+        room -= len(out[-1])
     return b"\n".join(out) or b" "
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Weight and bias of the logistic curve, by Newton's method with a slight penalty so that separable labels stay finite."""
     w = np.zeros(2)
     scale = x.std() or 1.0
@@ -75,7 +74,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     penalty = np.diag([1e-2, 1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (p - y) + penalty @ w)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (weight * (p - y)) + penalty @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
@@ -87,6 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     sized = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
     chosen: dict[int, int] = {}
+    all_ = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     for label in (0, 1):
         room = SAMPLE_BYTES
         rows = learn.filter(F.col("label") == label).join(sized, "id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
@@ -108,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tools = _compressors(good, bad)
     x = np.array([feature(t, *tools) for group in held for t in group])
     y = np.array([float(label) for label, group in enumerate(held) for _ in group])
-    weight, bias = _logistic(x, y)
+    share = np.array([all_[label] / len(held[label]) for label in y.astype(int).tolist()])  # the sample has as many rows of either class, the labels may not
+    weight, bias = _logistic(x, y, share * len(y) / share.sum())
     return Model(good, bad, weight, bias)
 
 
