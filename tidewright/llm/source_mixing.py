@@ -98,11 +98,11 @@ def _seeded(*key: object) -> int:
     return int.from_bytes(hashlib.sha256(repr(key).encode()).digest()[:8], "big")
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """row (a struct of all columns of docs) and how it's mixed: __size, __source_size, __target, __rounds (whole copies) and the words [__from_1, __to_1) and [__from_2, __to_2) of one more."""
+def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carried: list[str]) -> DataFrame:
+    """row (a struct of the carried columns) and how it's mixed: __size, __source_size, __target, __rounds (whole copies) and the words [__from_1, __to_1) and [__from_2, __to_2) of one more."""
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "mixing")
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("__size"))
+    sized = docs.select(F.struct(*carried).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("__size"))
     slim = scratch.keep(sized.select("id", "source", F.col("__size").alias("size")), "sizes")
 
     totals = {r["source"]: r["words"] for r in slim.groupBy("source").agg(F.sum("size").alias("words")).collect()}
@@ -149,14 +149,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     Null texts have size 0. Null ids share a shard. Reruns agree, whatever the cluster, as long as the rows do.
     """
-    slim = plan(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed)
+    slim = plan(docs, id_col, text_col, source_col, seed, [id_col])
     taken = F.col("__rounds") * F.col("__size") + F.col("__to_1") - F.col("__from_1") + F.col("__to_2") - F.col("__from_2")
     return slim.select(F.col(f"row.`{id_col}`").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20) -> DataFrame:
     """The mix, with the columns of docs: a row for each whole copy, and one with the words that a cut leaves, joined by one space."""
-    planned = plan(docs, id_col, text_col, source_col, seed)
+    planned = plan(docs, id_col, text_col, source_col, seed, docs.columns)
     text = F.col(f"row.`{text_col}`")
     words = F.expr(rf"regexp_extract_all(row.`{text_col}`, '[^\\x20\\x09-\\x0D]+', 0)")
     part = lambda a, b: F.slice(words, F.col(a) + 1, F.col(b) - F.col(a))
