@@ -5,8 +5,9 @@ into segments, runs of strings with one minimizer; equal strings always meet in
 all that it needs. Only minimizers that two documents or more share are sent at all, and equal segments of a block once,
 with the smallest and largest id that have them. Each bucket builds the suffix array of its distinct segments with the common prefixes of
 neighbours, scans these with a stack for the intervals of the common-prefix tree, keeps those whose occurrences have
-different bytes on their left (the others are inside a longer repeat), and hands each such maximal repeat with all its
-occurrences on. A byte goes if a repeat that covers it also occurs in a document with a smaller id.
+different bytes on their left (the others are inside a longer repeat), and paints over the occurrences of each such
+maximal repeat the smallest id that has it. Segments that share no string with another distinct one need no array: copies of
+them are settled by their hash. Groups don't leave the bucket; what comes out are the removed bytes. A byte goes if a repeat that covers it also occurs in a document with a smaller id.
 """
 
 from __future__ import annotations
