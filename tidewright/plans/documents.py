@@ -336,7 +336,7 @@ _CHOICES = f"""SELECT doc_id, 'severanceContribution' AS field, {r2('salary * 83
 
 @query(_CHOICES, "contribution_options")
 def _contribution_options(s: DataFrame) -> DataFrame:
-    out = payslip.contribution_options(_values(s)).filter("field = 'severanceContribution'")
+    out = payslip.contribution_options(_values(s))
     return out.select("doc_id", "field", cents(F.col("amount.value")).alias("amount"), F.col("rate.value").alias("rate"), cents(F.col("unary"), 6).alias("unary"), "choice")
 
 
