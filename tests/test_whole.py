@@ -2,10 +2,12 @@
 
 from itertools import product
 
+import duckdb
 import pytest
 
 from tidewright import plans
 from tidewright.operators.payslip import CHOICES, MOST_RATE, MOST_TOTAL
+from tidewright.plans import scenarios
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +56,11 @@ def test_contribution_options_of_all_roles(spark, customers):
     assert len(got) == len(rows) and got.keys() == expected.keys()
     for k, (a, r, unary) in expected.items():
         assert got[k] == (a and pytest.approx(a, abs=0.006), r and pytest.approx(r), pytest.approx(unary, abs=1e-6))
+
+
+def test_prev_salary_of_all_scenarios(spark, customers):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{customers}/customer.parquet/*.parquet'")
+    expected = dict(con.sql(scenarios.fold_sql("SELECT k, salary FROM fin")).fetchall())
+    got = dict(map(tuple, plans.queries()["prev_salary"](spark, customers).collect()))
+    assert len(got) == 35 and got == {k: pytest.approx(v, abs=0.006) for k, v in expected.items()}

@@ -209,8 +209,8 @@ def year_end_sampling(s: DataFrame) -> DataFrame:
 
 @query(fold_sql(f"SELECT k AS scenario_id, {r2('salary', 'final_salary_nominal')} FROM fin JOIN (SELECT DISTINCT k FROM brk WHERE resume = 'previous') USING (k)"))
 def prev_salary(s: DataFrame) -> DataFrame:
-    """Salaries are held over a break that resumes with the previous one."""
-    out = projection.project(s.filter(F.exists("breaks", lambda b: b["resume"] == "previous")))
+    """Final salaries of all scenarios; they are held over a break that resumes with the previous one, and over no other."""
+    out = projection.project(s)
     return out.select("scenario_id", *cents(out, "final_salary_nominal"))
 
 
