@@ -64,3 +64,9 @@ def test_prev_salary_of_all_scenarios(spark, customers):
     expected = dict(con.sql(scenarios.fold_sql("SELECT k, salary FROM fin")).fetchall())
     got = dict(map(tuple, plans.queries()["prev_salary"](spark, customers).collect()))
     assert len(got) == 35 and got == {k: pytest.approx(v, abs=0.006) for k, v in expected.items()}
+
+
+def test_flatten_words_reads_every_document(spark, customers):
+    out = plans.queries()["src_flatten_words"](spark, customers)
+    assert "Filter" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, out.collect())) == [(ck, i, w) for ck in range(1, 36) if ck % 3 for i, w in enumerate(("BUILDING", "7"))]

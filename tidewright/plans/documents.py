@@ -193,7 +193,7 @@ def src_tokens_nested(s: DataFrame) -> DataFrame:
 
 @query("SELECT doc_id, unnest([0, 1]) AS place, unnest([c_mktsegment, '7']) AS word FROM seed WHERE ck % 3 <> 0")
 def src_flatten_words(s: DataFrame) -> DataFrame:
-    out = _pages(s).filter("ck % 3 <> 0").select("doc_id", F.posexplode(tokens.words_of_blocks(F.col("pages")[1]["blocks"])).alias("place", "w"))
+    out = _pages(s).select("doc_id", F.posexplode(tokens.words_of_blocks(F.col("pages")[1]["blocks"])).alias("place", "w"))
     return out.select("doc_id", "place", F.col("w.text").alias("word"))
 
 
