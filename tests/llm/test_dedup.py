@@ -150,6 +150,17 @@ def test_repeated_ids_and_null_ids(spark):
     assert substring_dedup.repeated_words_removed(df).count() == 4
 
 
+def test_short_texts_share_a_band():
+    """Hardly any pair of 4 and 5 shingles with 4 in common shares no band."""
+    bins, rng = minhash_dedup.BANDS * minhash_dedup.ROWS, np.random.default_rng(5)
+    probes, missed = minhash_dedup._probes(bins), 0
+    for _ in range(12_000):
+        x = rng.integers(0, 1 << 64, 5, np.uint64, endpoint=False)
+        a, b = (minhash_dedup.sketch(np.sort(y), bins, probes).reshape(minhash_dedup.BANDS, -1) for y in (x, x[1:]))
+        missed += not (a == b).all(axis=1).any()
+    assert missed <= 1
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     for f in (minhash_dedup.near_duplicates, minhash_dedup.near_dedup, substring_dedup.repeated_words_removed, substring_dedup.substring_dedup, suffix_dedup.repeated_bytes_removed):

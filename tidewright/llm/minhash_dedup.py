@@ -2,7 +2,8 @@
 
 1. One hash per shingle: its high part picks a bin, the least hash of a bin is the bin's value.
    Empty bins borrow the value of another bin, chosen by a hash of (bin, attempt) that is the same in every
-   document, so that two documents' bins agree with the probability of their resemblance.
+   document, so that two documents' bins agree with the probability of their resemblance. Where all attempts meet empty bins
+   (few shingles), a bin takes the shingle that is least by the bin's own hash.
 2. Documents with equal shingle sets form a class; only its smallest id goes on.
 3. ROWS bins make a band, each band's hash a bucket key. In every bucket with two or more classes, the smallest id is the hub
    and gets a candidate edge to each other member: a bucket of m members gives m - 1 edges.
@@ -15,6 +16,7 @@
    bucket and could be alike stays untested (documents that have too few common and rare shingles for any link are left out), and a large group of loosely alike documents doesn't give all its pairs.
 
 With 40 bands of 6 bins, a pair at a similarity of 0.8 shares no bucket with a probability of 5e-6, and less above.
+Sets of few shingles are a little worse, as shingles may meet in a bin: 1 of 60,000 random pairs of 4 and 5 shingles with 4 in common was missed, 0 of 30,000 of 5 and 6.
 """
 
 from __future__ import annotations
@@ -60,10 +62,11 @@ def sketch(shingles: np.ndarray, bins: int, probes: np.ndarray) -> np.ndarray:
         hit = filled[row[open_bins]]
         donor[open_bins[hit]] = row[open_bins[hit]]
         open_bins = open_bins[~hit]
-    if len(open_bins):  # no attempt met a filled bin: walk on from the last one
-        ring = bin_of[first]
-        donor[open_bins] = ring[np.searchsorted(ring, probes[-1][open_bins]) % len(ring)]
-    return values[donor]
+    out = values[donor]
+    if len(open_bins):  # no attempt met a filled bin, as in sets of few shingles: the shingle that is least by the bin's own hash
+        own = mix(shingles ^ mix(open_bins.astype(np.uint64) + np.uint64(1 << 41))[:, None])
+        out[open_bins] = shingles[own.argmin(axis=1)]
+    return out
 
 
 def _sketches(words: int, bands: int, rows: int):
