@@ -20,13 +20,33 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder for sessions without spark.checkpoint.dir, if they run on one machine (as in tests); on a cluster its executors wouldn't see each other's files."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/tidewright-shared"
+
+
+_written: dict[str, list[str]] = {}
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share (spark.checkpoint.dir; one of our own where that is unset, as in tests).
+    """df as a table in the folder that all executors share (spark.checkpoint.dir; one of our own in a local session without one).
 
-    For tables that several later steps read: each would else compute all of it again. The table survives the loss of executors.
+    For tables that several later steps read: each would else compute all of it again. The table survives the loss of executors. Results that
+    have yet to be computed may read it; release() removes all of a session's.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewright-shared"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes the tables that settled() wrote in this application, once no result reads them any more; returns how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
