@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from tidewright.llm import minhash_dedup, substring_dedup, suffix_dedup
 from tidewright.llm.core import Scratch, Words, range_hash, window_hash
@@ -200,6 +201,63 @@ def test_hashes_agree_wherever_bytes_lie():
     assert a[0] == a[1] != a[2]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_structured_words_stay_apart(spark, size):
+    """Strings and their complements, for which hashes that are polynomials modulo a power of two agree."""
+    one, other = thue_morse(size), thue_morse(size, "b", "a")
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    a = range_hash(data, np.array([0, size]), np.array([size, 2 * size]))
+    assert a[0] != a[1]
+    words = np.array([5, 9], np.uint64)[[bin(i).count("1") % 2 for i in range(size)]]
+    assert window_hash(words, size)[0] != window_hash(np.uint64(14) - words, size)[0]
+    rest = [f"w{i}" for i in range(40)]
+    texts = [" ".join([one, *rest[:34]]), " ".join([other, *rest[:34]]), one * 2, other * 2]
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(table(spark, [" ".join([one] * 9), " ".join([other] * 9), *texts[2:]]), words=4).collect()}
+    assert out == {i: i for i in range(4)}
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_words_removed(table(spark, texts)).collect()}
+    assert removed == {i: 0 for i in range(4)}
+    cut = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeated_bytes_removed(table(spark, texts)).collect()), key=repr)
+    assert cut == cut_bytes(texts, range(4), 50)
+
+
+def test_names_that_clash(spark):
+    """Columns with dots, and with the names that operators use inside, come back as they were."""
+    texts = corpus(n=12)[:14]
+    names = ["doc.id", "te xt", "a.b", "__gone", "id", "block", "row", "n"]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6) for i, t in enumerate(texts)], T.StructType([T.StructField(n, T.StringType() if n == "te xt" else T.LongType()) for n in names]))
+    near, cut = minhash_dedup.near_dedup(df, "doc.id", "te xt"), substring_dedup.substring_dedup(df, "doc.id", "te xt")
+    assert near.columns == names and cut.columns == names
+    assert {tuple(r)[2:] for r in near.collect() + cut.collect()} == {(1, 2, 3, 4, 5, 6)}
+    assert len(suffix_dedup.repeated_bytes_removed(df, "doc.id", "te xt").collect()) == len(texts)
+
+
+def test_tiles_find_what_all_pairs_find():
+    """A tile's overlaps are those of all pairs, and its forest connects the same documents with one edge fewer than nodes."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(60)]
+    found = minhash_dedup._overlaps(sets)
+    assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(i + 1, 60))
+    linked = rng.random((60, 60)) < 0.02
+    linked |= linked.T
+    np.fill_diagonal(linked, False)
+    edges = list(minhash_dedup._forest(linked))
+    root = list(range(60))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        assert linked[i, j] and find(i) != find(j)
+        root[find(i)] = find(j)
+    assert all(find(int(i)) == find(int(j)) for i, j in zip(*np.nonzero(linked), strict=True))
+
+
 def test_components_of_a_long_chain(spark):
     from tidewright.llm.components import components
 

@@ -30,12 +30,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
     grows with the logarithm of the vertices; running out of them raises an error.
     """
     edges = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    seen = None
+    digest = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    seen = tuple(edges.agg(*digest).first())
     for i in range(1, rounds):
+        if not seen[0]:
+            return edges.select("u", F.col("v").alias("component"))
         edges = scratch.keep(_small_star(_large_star(edges)), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
+        state = tuple(edges.agg(*digest).first())
+        if state == seen:
             return edges.select("u", F.col("v").alias("component"))
         seen = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.session import ready
+from tidewright.session import own_folder, ready
 
 #: Rows that Spark hands to Python at once, and bytes of text that numpy works on at once.
 BATCH_ROWS, SLICE_BYTES = 256, 1 << 19
@@ -28,10 +28,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 _U = np.uint64
-#: An odd multiplier and its inverse modulo 2**64, for rolling hashes.
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: Odd, and 3 modulo 4, so that swapping two values of a pair changes all but one bit of what is mixed.
+_ODD = _U(0x9E3779B97F4A7C17)
+#: What is left of 8 bytes, first byte lowest, where only so many count.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 # ---------------------------------------------------------------- session
@@ -50,14 +50,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of our own, and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/tidewright-shared"
+        folder = own_folder(spark)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def col(name: str, of: str | None = None) -> Column:
+    """The column of that name, whatever characters it has; with `of`, the field of that struct."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 class Scratch:
     """Intermediate tables in the shared folder. They cut lineage and survive the loss of any executor."""
 
@@ -116,16 +122,6 @@ def binary(parts: list[bytes]) -> pa.Array:
 # ---------------------------------------------------------------- hashes
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads each value over all 64 bits (the finaliser of splitmix64)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -133,26 +129,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; with them, any range's hash takes two lookups."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + _U(1)) * _power(_BASE, len(values)), out=out[1:])
-    return out
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number, with zeros after the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), "<u8", padded, 0, (1,))
+
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two in a row. Each is mixed before the next one comes, so that no sum of differences can vanish by its structure alone."""
+    return mix(a * _ODD + b)
 
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair, equal for equal runs and dependent on their length."""
-    sums = _prefix(values)
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(values) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes data[start:end] for each pair, equal for equal runs: each 8 bytes are mixed with their place in the run, then added."""
+    eights, size = _eights(data), ends - starts
+    total = mix(eights[starts] & _MASK[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] + 7) // 8 - 1  # those after the first
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(starts[long], more) + 8 * place
+        value = eights[at] & _MASK[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        total[long] += np.add.reduceat(mix(value ^ mix(place.astype(np.uint64) * _ODD)), first)
+    return mix(total + size.astype(np.uint64) * _ODD)
 
 
 def window_hash(values: np.ndarray, width: int) -> np.ndarray:
-    """A hash of values[i:i + width] for each i where that fits; windows that span two documents are the caller's to leave out."""
-    if len(values) < width:
-        return np.zeros(0, np.uint64)
-    sums = _prefix(values)
+    """A hash of values[i:i + width] for each i where that fits; windows that span two documents are the caller's to leave out.
+
+    Values are bytes or hashes. A window of hashes is a tree of pairs, one of bytes a chain of 8 at a time.
+    """
     n = len(values) - width + 1
-    return mix((sums[width:] - sums[:n]) * _power(_INVERSE, n) + _U(width))
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    if values.dtype == np.uint8:
+        eights = _eights(values)
+        out = mix((eights[:n] & _MASK[min(width, 8)]) + _U(width))
+        for at in [*range(8, width - 7, 8), *([width - 8] if width > 8 and width % 8 else [])]:
+            out = _join(out, eights[at : at + n])
+        return out
+    out, at, span = None, 0, 1
+    while True:
+        if width & span:
+            out = values[at : at + n] if out is None else _join(out, values[at : at + n])
+            at += span
+        span *= 2
+        if span > width:
+            return mix(out + _U(width))
+        values = _join(values[: -(span // 2)], values[span // 2 :])
 
 
 class Words:
@@ -178,7 +204,7 @@ class Words:
             if b - a >= width:
                 yield np.unique(windows[a : b - width + 1])
             elif b > a:
-                yield range_hash(self.hashes[a:b], np.array([0]), np.array([b - a]))
+                yield window_hash(self.hashes[a:b], b - a)
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -186,8 +212,8 @@ class Words:
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, blocks: int, rest: bool = False) -> DataFrame:
     """block, id, text of all rows, and with `rest` a struct of the other columns. Equal (id, text) rows share a block; a block is one partition's work."""
     return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.octet_length(F.col(text_col))), F.lit(blocks)).cast("int").alias("block"),
-        F.col(id_col).alias("id"),
-        F.col(text_col).alias("text"),
-        *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if rest else []),
+        F.pmod(F.xxhash64(col(id_col).cast("string"), F.octet_length(col(text_col))), F.lit(blocks)).cast("int").alias("block"),
+        col(id_col).alias("id"),
+        col(text_col).alias("text"),
+        *([F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("rest")] if rest else []),
     )

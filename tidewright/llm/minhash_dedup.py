@@ -8,12 +8,13 @@
 3. ROWS bins make a band, each band's hash a bucket key. In every bucket with two or more classes, the smallest id is the hub
    and gets a candidate edge to each other member: a bucket of m members gives m - 1 edges.
 4. Candidates are confirmed on the full shingle sets.
-5. Stars alone would lose a link between two members that are both unlike their hub. For buckets whose members are then still in
-   different components, all their members' shingles are counted: a shingle that more than COMMON of these documents have is common, one that
-   2 to COMMON have is rare. The member with the largest share of common shingles becomes a second hub. Then,
-   of two members in different components, either they share a rare shingle, and meet by it, or their overlap is at most the lesser of their
-   numbers of common shingles; only pairs for which that could reach the threshold are tested bucket by bucket. So no pair that shares a
-   bucket and could be alike stays untested (documents that have too few common and rare shingles for any link are left out), and a large group of loosely alike documents doesn't give all its pairs.
+5. Stars alone would lose a link between two members that are both unlike their hub. In buckets whose members are then still in
+   different components, the member with the largest share of shingles that more than COMMON of these documents have becomes a second hub.
+6. What is then still in different components is settled by tiles. The members of all buckets with one second hub make a group. In a group, the members of its
+   largest component and the others are dealt to slots of about TILE, and each slot of the others meets each slot: a task holds the shingles of two
+   slots (those that occur in two of these documents or more, as no other can be in an overlap), counts all
+   overlaps exactly, and reports a spanning forest of the links between components. So no pair that shares a bucket and could be alike stays untested, rows
+   grow with members times slots, and results with members, not with pairs. Documents with too few shared shingles for any link are left out.
 
 With 40 bands of 6 bins, a pair at a similarity of 0.8 shares no bucket with a probability of 5e-6, and less above.
 Sets of few shingles are a little worse, as shingles may meet in a bin: 1 of 60,000 random pairs of 4 and 5 shingles with 4 in common was missed, 0 of 30,000 of 5 and 6.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.components import components
-from tidewright.llm.core import Scratch, Words, mix, partitions, prepare, slices, text_blocks
+from tidewright.llm.core import Scratch, Words, binary, col, mix, partitions, prepare, slices, text_blocks
 from tidewright.llm.exchange import COUNTED, PACKED, pack, repeated, split_answers, with_answers
 
 BANDS, ROWS = 40, 6
@@ -37,6 +38,8 @@ BANDS, ROWS = 40, 6
 STAR = 256
 #: Documents that have a shingle which counts as common.
 COMMON = 32
+#: Members of one slot of a tile, and documents of a tile that have a shingle which is counted pair by pair; more are counted as a matrix.
+TILE, FEW = 512, 8
 #: Ids that are broadcast to pick texts (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -130,7 +133,7 @@ def pick(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """(u, v) of those pairs (hub, id) whose shingle sets are alike, kept as a table. A hub's members are dealt to groups of about STAR."""
-    groups = pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("groups"))
+    groups = scratch.keep(pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("groups")), f"{name}-groups")
     members = pairs.join(groups, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("role"), "id")
     hubs = groups.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
     roles = scratch.keep(members.unionByName(hubs), f"{name}-roles")
@@ -138,7 +141,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratc
     n = partitions(pairs.sparkSession)
     found = rows.repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "role").mapInArrow(_confirm(words, percent), "u long, v long")
     found = scratch.keep(found, name)
-    scratch.drop(f"{name}-roles")
+    scratch.drop(f"{name}-roles", f"{name}-groups")
     return found
 
 
@@ -166,77 +169,151 @@ def _profiles(words: int):
             if known is None:
                 known = np.sort(np.frombuffer(b"".join(answers), COUNTED), order="hash")
             for part, data, offsets in slices(texts):
-                common, rare = [], []
+                common, shared = [], []
                 for x in Words(data, offsets, lower=True).shingles(words):
                     at = np.minimum(np.searchsorted(known["hash"], x), max(len(known) - 1, 0))
                     here = known["hash"][at] == x if len(known) else np.zeros(len(x), bool)
                     many = here & (known["many"][at] > 0) if len(known) else here
                     common.append(int(many.sum()))
-                    rare.append(x[here & ~many].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(common, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["id", "common", "rare"])
+                    shared.append(x[here].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(common, pa.int64()), binary(shared)], ["id", "common", "shared"])
 
     return run
 
 
 def profiles(texts: DataFrame, words: int) -> DataFrame:
-    """id, common (number of shingles that more than COMMON of these texts have) and rare (the shingles that 2 to COMMON have)."""
+    """id, common (number of shingles that more than COMMON of these texts have) and shared (the hashes of those that two or more have, 8 bytes each)."""
     n = partitions(prepare(texts.sparkSession))
     blocks = text_blocks(texts, "id", "text", n)
     answers = repeated(blocks.repartitionById(n, F.col("block")).mapInArrow(_send_shingles(words, n), PACKED), n, COMMON)
-    return with_answers(blocks, answers, n, "binary").mapInArrow(_profiles(words), "id long, common long, rare array<long>")
+    return with_answers(blocks, answers, n, "binary").mapInArrow(_profiles(words), "id long, common long, shared binary")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """[i, j]: how many hashes two sets share, for i < j (elsewhere the entries mean nothing)."""
+    n = len(sets)
+    out = np.zeros((n, n), np.float32)
+    hashes, doc = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(hashes, kind="stable")  # documents ascend among equal hashes
+    hashes, doc = hashes[order], doc[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)])
+    times = np.diff(np.r_[first, len(hashes)])
+    within = np.repeat(times, times)
+    few, pairs = doc[within <= FEW], hashes[within <= FEW]
+    for apart in range(1, FEW):
+        same = np.flatnonzero(pairs[apart:] == pairs[:-apart])
+        np.add.at(out, (few[same], few[same + apart]), 1)
+    many, shingle = doc[within > FEW], np.repeat(np.arange(len(first)), times)[within > FEW]
+    at = np.unique(shingle, return_inverse=True)[1]
+    for begin in range(0, int(at.max(initial=-1)) + 1, 4096):
+        these = (at >= begin) & (at < begin + 4096)
+        held = np.zeros((n, 4096), np.float32)
+        held[many[these], at[these] - begin] = 1
+        out += held @ held.T
+    return out
+
+
+def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect what a symmetric matrix connects, one fewer than the nodes of each part."""
+    open_ = np.ones(len(linked), bool)
+    for start in np.flatnonzero(linked.any(axis=1)).tolist():
+        if not open_[start]:
+            continue
+        open_[start], stack = False, [start]
+        while stack:
+            node = stack.pop()
+            found = np.flatnonzero(linked[node] & open_)
+            open_[found] = False
+            for other in found.tolist():
+                yield node, other
+                stack.append(other)
+
+
+def _tile(percent: int):
+    """From rows (hub, a, b, slot, id, n, component, shared) by tile (hub, a, b): links between members of slots a and b in different components."""
+
+    def links(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        slot, ids, n, component = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        size = n.astype(np.float32)
+        same = np.triu(_overlaps([r[4] for r in rows]), 1)
+        linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
+        linked &= np.triu(component[:, None] != component[None, :], 1)
+        if len(np.unique(slot)) > 1:  # pairs within a slot are another tile's
+            linked &= slot[:, None] != slot[None, :]
+        linked |= linked.T
+        found = list(_forest(linked))
+        return [int(ids[i]) for i, _ in found], [int(ids[j]) for _, j in found]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for row in zip(*columns, batch.column(7), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(held)], ["u", "v"])
+                    key, held = row[:3], []
+                held.append((*row[3:7], np.frombuffer(row[7].as_buffer(), np.uint64).copy()))
+        if len(held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(held)], ["u", "v"])
 
-def _unsettled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return run
+
+
+def _tiled(members: DataFrame, known: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(u, v): links between the members (hub, id, n, component; distinct) of a hub's group that are in different components, connecting all that are connected."""
+    counts = scratch.keep(members.groupBy("hub", "component").agg(F.count("*").alias("m")), "tile-counts")
+    largest = counts.groupBy("hub").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"))
+    slots = largest.select("hub", F.col("top.component").alias("largest"), F.ceil((F.col("m") - F.col("top.m")) / TILE).cast("int").alias("outer"), F.ceil(F.col("top.m") / TILE).cast("int").alias("inner"))
+    slots = scratch.keep(slots.filter("outer > 0"), "tile-slots")
+    rows = members.join(slots, "hub").withColumn("at", F.xxhash64("id", "hub"))
+    slot = F.when(F.col("component") == F.col("largest"), F.col("outer") + F.pmod("at", "inner")).otherwise(F.pmod("at", "outer")).cast("int")
+    rows = rows.withColumn("slot", slot)
+    others = F.sequence(F.lit(0), F.when(F.col("slot") < F.col("outer"), F.col("outer") + F.col("inner") - 1).otherwise(F.col("outer") - 1))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("hub", F.least("slot", "other").alias("a"), F.greatest("slot", "other").alias("b"), "slot", "id", "n", "component")
+    rows = rows.join(known.select("id", "shared"), "id").select("hub", "a", "b", "slot", "id", "n", "component", "shared")
+    n = partitions(members.sparkSession)
+    dealt = rows.repartition(n, "hub", "a", "b").sortWithinPartitions("hub", "a", "b")
+    return scratch.keep(dealt.mapInArrow(_tile(percent), "u long, v long"), "tile-links")
+
+
+def _unsettled(buckets: DataFrame, labels: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """key, id, n, component of the buckets whose members are in different components."""
     own = buckets.select("key", "id", "n").join(labels.withColumnRenamed("u", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    return own.join(split, "key")
+    return scratch.keep(own.join(scratch.keep(split, f"{name}-keys"), "key"), name)
 
 
 def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """component of every id that has a confirmed link and isn't the smallest of its component, as (u, component)."""
-
-    def alike(common: str, n: str, m: str) -> str:
-        return f"100 * {common} >= {percent} * ({n} + {m} - {common})"
-
     near_size = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     stars = buckets.filter("id <> hub").select("hub", "id", "n").distinct().join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
     tested = scratch.keep(stars.filter(near_size).select("hub", "id"), "stars")
     links = confirm(tested, texts, words, percent, scratch, "links")
     labels = components(links, scratch, "first")
 
-    own = scratch.keep(_unsettled(buckets, labels), "unsettled")
+    own = _unsettled(buckets, labels, scratch, "unsettled")
     ids = scratch.keep(own.select("id").distinct(), "unsettled-ids")
     if ids.isEmpty():
         return labels
     known = profiles(pick(texts, ids), words).dropDuplicates(["id"]).join(own.select("id", "n").distinct(), "id")
-    known = scratch.keep(known.withColumn("able", F.expr(f"100 * (common + size(rare)) >= {percent} * n")), "profiles")
-    able = known.filter("able").select("id", "common")
-    own = own.join(able, "id")
+    known = scratch.keep(known.filter(f"100 * length(shared) / 8 >= {percent} * n"), "profiles")
+    own = own.join(known.select("id", "common"), "id")
     center = F.max(F.struct((F.col("common") / F.col("n")).alias("share"), (-F.col("id")).alias("id"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("top")
-    centers = own.groupBy("key").agg(center).select("key", (-F.col("top.id")).alias("hub"), "top.hub_n", "top.hub_component")
+    centers = scratch.keep(own.groupBy("key").agg(center).select("key", (-F.col("top.id")).alias("hub"), "top.hub_n", "top.hub_component"), "centers")
     second = own.join(centers, "key").filter("id <> hub and component <> hub_component").filter(near_size).select("hub", "id").distinct()
     both = tested.unionByName(tested.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
     second = scratch.keep(second.join(both, ["hub", "id"], "left_anti"), "second-stars")
     if not second.isEmpty():
         links = scratch.keep(links.unionByName(confirm(second, texts, words, percent, scratch, "second-links")), "second-all")
         labels = components(links, scratch, "second")
-        both = both.unionByName(second).unionByName(second.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
-
-    own = scratch.keep(_unsettled(buckets, labels).join(able, "id"), "still-unsettled")
-    counts = own.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top")).select("key", F.col("top.component").alias("largest"))
-    outside = own.join(largest, "key").filter("component <> largest")
-    rare = own.select("id", "n", "component").distinct().join(known.select("id", F.explode("rare").alias("shingle")), "id")
-    twin = rare.join(outside.select("id").distinct(), "id", "left_semi").select("shingle", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    by_rare = rare.join(twin, "shingle").filter("component <> hub_component").filter(near_size).select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id"))
-    outside = outside.select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("common").alias("hub_common"), F.col("component").alias("hub_component"), "largest")
-    outside = outside.filter(f"100 * hub_common >= {percent} * hub_n")
-    rest = own.join(outside, "key").filter("component <> hub_component and (component = largest or id < hub)").filter(near_size).filter(alike("least(common, hub_common)", "n", "hub_n"))
-    rest = rest.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).unionByName(by_rare).distinct().join(both, ["hub", "id"], "left_anti")
-    rest = scratch.keep(rest, "rest")
-    if not rest.isEmpty():
-        links = scratch.keep(links.unionByName(confirm(rest, texts, words, percent, scratch, "rest-links")), "rest-all")
+
+    own = _unsettled(buckets, labels, scratch, "still-unsettled").join(known.select("id"), "id", "left_semi")
+    members = scratch.keep(own.join(centers.select("key", "hub"), "key").select("hub", "id", "n", "component").distinct(), "members")
+    more = _tiled(members, known, percent, scratch)
+    if not more.isEmpty():
+        links = scratch.keep(links.unionByName(more), "tile-all")
         labels = components(links, scratch, "third")
     return labels
 
@@ -251,17 +328,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     sketches = scratch.keep(texts.mapInArrow(_sketches(words, bands, rows), "id long, n long, set_a long, set_b long, bands array<long>"), "sketches")
     classes = sketches.filter("n > 0 and id is not null").groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     sizes = classes.select(F.col("rep").alias("id"), "n")
-    reps = sketches.join(sizes.select("id"), "id").select("id", "n", "bands")
+    reps = sketches.join(sizes.select("id"), "id").select("id", "n", "bands").dropDuplicates(["id"])
     bucketed = reps.select("id", "n", F.explode("bands").alias("key"))
-    hubs = bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
+    hubs = scratch.keep(bucketed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub"), "hubs")
     buckets = scratch.keep(bucketed.join(hubs.hint("merge"), "key").select("key", "hub", "id", "n"), "buckets")
+    scratch.drop("hubs")
     labels = _links(buckets, sizes, texts.filter("id is not null"), words, percent, scratch)
-    scratch.drop("buckets", "unsettled", "unsettled-ids", "profiles", "still-unsettled", "rest", "stars", "second-stars")
+    scratch.drop("buckets", "unsettled", "unsettled-keys", "unsettled-ids", "profiles", "centers", "still-unsettled", "still-unsettled-keys", "members", "tile-counts", "tile-slots", "stars", "second-stars")
 
     out = sketches.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"], "left")
     out = out.join(labels.withColumnRenamed("u", "rep"), "rep", "left")
@@ -274,5 +352,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with an id of null stay. Of repeated rows with one id, all stay or none.
     """
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = near_duplicates(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text", words, percent)
+    gone = found.filter("not kept").select("id").distinct()
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select(*[col(c, "row").alias(c) for c in docs.columns])

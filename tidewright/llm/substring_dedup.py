@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.core import Scratch, Words, partitions, prepare, slices, text_blocks, window_hash
+from tidewright.llm.core import Scratch, Words, col, partitions, prepare, slices, text_blocks, window_hash
 from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
 
 WIDTH = 35
@@ -171,4 +171,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     cut = _cut_blocks(docs, id_col, text_col, width, PERIOD, COVER, True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*[text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(*[text.alias(c) if c == text_col else col(c, "rest").alias(c) for c in docs.columns])
