@@ -141,6 +141,33 @@ def test_suffix_dedup(spark):
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=repr) == cut_bytes(texts, range(len(texts)), 50)
 
 
+def test_nothing_goes_without_suffix_arrays(spark, monkeypatch):
+    """Copies too are removed by intervals of a suffix array alone."""
+    data, offsets = np.frombuffer(b"x" * 60 + b"abcdefghij" * 6, np.uint8), np.array([0, 60, 120])
+    lows, highs = np.array([3, 5]), np.array([3, 9])
+    assert (suffix_dedup.covers(data, offsets, lows, highs, 50)[60:] == 5).all()
+    monkeypatch.setattr(suffix_dedup.SuffixArray, "maximal", lambda self, *a: (np.zeros(0, np.int64),) * 3)
+    assert (suffix_dedup.covers(data, offsets, lows, highs, 50) == suffix_dedup.LAST).all()
+
+
+def test_repeat_groups(spark):
+    """Every group has all places of its string, and every string of 50 bytes that two documents hold is in a group."""
+    texts = [*corpus(n=25)[:60], "ab" * 90, "ab" * 90]
+    raw = [(t or "").encode() for t in texts]
+    groups = {}
+    for r in suffix_dedup.repeat_groups(table(spark, texts)).collect():
+        groups.setdefault(bytes(r["repeat"]), []).append((r["doc_id"], r["start"]))
+    covered = set()
+    for string, places in groups.items():
+        assert sorted(places) == [(d, i) for d, t in enumerate(raw) for i in range(len(t) - len(string) + 1) if t[i : i + len(string)] == string] and len(places) > 1
+        covered |= {string[i : i + 50] for i in range(len(string) - 49)}
+    owners = {}
+    for d, t in enumerate(raw):
+        for i in range(len(t) - 49):
+            owners.setdefault(t[i : i + 50], set()).add(d)
+    assert {s for s, d in owners.items() if len(d) > 1} <= covered
+
+
 def test_repeated_ids_and_null_ids(spark):
     text = "one two three four five six seven eight nine ten " * 3
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "short")], "doc_id long, text string")
@@ -175,6 +202,7 @@ def test_maximal_repeats(texts):
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
     array, seen = suffix_dedup.SuffixArray(data, offsets, 4), set()
+    assert [bytes(data[i : i + r]) for i, r in zip(array.order, array.remaining, strict=True)] == sorted(t[i:] for t in raw for i in range(len(t) - 3))
     places = lambda s: {int(offsets[i]) + j for i, r in enumerate(raw) for j in range(len(r) - len(s) + 1) if r[j : j + len(s)] == s}
     for length, at in array.maximal_repeats(4):
         s = bytes(data[at[0] : at[0] + length])

@@ -31,7 +31,7 @@ _U = np.uint64
 #: Odd, and 3 modulo 4, so that swapping two values of a pair changes all but one bit of what is mixed.
 _ODD = _U(0x9E3779B97F4A7C17)
 #: What is left of 8 bytes, first byte lowest, where only so many count.
-_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 # ---------------------------------------------------------------- session
@@ -129,7 +129,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on as a number, with zeros after the end."""
     padded = np.zeros(len(data) + 16, np.uint8)
     padded[: len(data)] = data
@@ -143,15 +143,15 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def range_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes data[start:end] for each pair, equal for equal runs: each 8 bytes are mixed with their place in the run, then added."""
-    eights, size = _eights(data), ends - starts
-    total = mix(eights[starts] & _MASK[np.minimum(size, 8)])
+    eight, size = eights(data), ends - starts
+    total = mix(eight[starts] & MASK[np.minimum(size, 8)])
     long = np.flatnonzero(size > 8)
     if len(long):
         more = (size[long] + 7) // 8 - 1  # those after the first
         first = np.cumsum(more) - more
         place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
         at = np.repeat(starts[long], more) + 8 * place
-        value = eights[at] & _MASK[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        value = eight[at] & MASK[np.minimum(np.repeat(ends[long], more) - at, 8)]
         total[long] += np.add.reduceat(mix(value ^ mix(place.astype(np.uint64) * _ODD)), first)
     return mix(total + size.astype(np.uint64) * _ODD)
 
@@ -165,10 +165,10 @@ def window_hash(values: np.ndarray, width: int) -> np.ndarray:
     if n < 1:
         return np.zeros(0, np.uint64)
     if values.dtype == np.uint8:
-        eights = _eights(values)
-        out = mix((eights[:n] & _MASK[min(width, 8)]) + _U(width))
+        eight = eights(values)
+        out = mix((eight[:n] & MASK[min(width, 8)]) + _U(width))
         for at in [*range(8, width - 7, 8), *([width - 8] if width > 8 and width % 8 else [])]:
-            out = _join(out, eights[at : at + n])
+            out = _join(out, eight[at : at + n])
         return out
     out, at, span = None, 0, 1
     while True:

@@ -80,7 +80,7 @@ def repeated(packed: DataFrame, buckets: int, limit: int | None = None) -> DataF
 
 def with_answers(blocks: DataFrame, answers: DataFrame, n: int, kind: str) -> DataFrame:
     """Rows of blocks (block, id, text, ...) by block, each block's answers (of type `kind`) before its texts, as (block, answer, id, text, ...)."""
-    kinds = dict(blocks.dtypes)
+    kinds = {f.name: f.dataType for f in blocks.schema}
     others = [c for c in blocks.columns if c != "block"]
     first = answers.select("block", F.col(answers.columns[1]).cast(kind).alias("answer"), *[F.lit(None).cast(kinds[c]).alias(c) for c in others])
     rest = blocks.select("block", F.lit(None).cast(kind).alias("answer"), *others)

@@ -1,13 +1,16 @@
-"""Exact removal of repeated byte strings with enhanced suffix arrays.
+"""Exact removal of repeated byte strings, and the groups of maximal repeats, with enhanced suffix arrays.
 
 A string of WIDTH bytes goes to the bucket of its minimizer, the least hash of its substrings of SEED bytes. A document is so cut
 into segments, runs of strings with one minimizer; equal strings always meet in one bucket, and a bucket's segments are
 all that it needs. Only minimizers that two documents or more share are sent at all, and equal segments of a block once,
 with the smallest and largest id that have them. Each bucket builds the suffix array of its distinct segments with the common prefixes of
-neighbours, scans these with a stack for the intervals of the common-prefix tree, keeps those whose occurrences have
-different bytes on their left (the others are inside a longer repeat), and paints over the occurrences of each such
-maximal repeat the smallest id that has it. Segments that share no string with another distinct one need no array: copies of
-them are settled by their hash. Groups don't leave the bucket; what comes out are the removed bytes. A byte goes if a repeat that covers it also occurs in a document with a smaller id.
+neighbours (both by comparing bytes), and scans these with a stack for the intervals of the common-prefix tree. Intervals whose occurrences have
+different bytes on their left are the maximal repeats (the others are inside a longer one); a segment that several documents hold is one text with several
+owners, so its leaf is an interval too. Over all occurrences of a maximal repeat the smallest id that has it is
+painted. All bytes that go, go by such an interval: a byte goes if one that covers it also occurs in a document with a smaller id.
+Segments that have one owner and share no string (by the strings' hashes) with another one can't be in any, and get no array.
+
+repeat_groups() returns the groups themselves, with all their occurrences in all documents. A repeat longer than a segment is a chain of groups.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.core import Scratch, binary, mix, partitions, prepare, range_hash, slices, text_blocks, window_hash
+from tidewright.llm.core import MASK, Scratch, binary, col, eights, mix, partitions, prepare, range_hash, slices, text_blocks, window_hash
 from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
 
 WIDTH, SEED = 50, 24
@@ -37,60 +40,53 @@ class SuffixArray:
     """The suffixes of at least `width` bytes of some strings, sorted; with common prefixes of neighbours (never past a string's end)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, width: int):
-        n, self.data = len(data), data
-        self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        self.left = offsets[:-1][self.owner]
-        remaining = offsets[1:][self.owner] - np.arange(n)
-        at = np.arange(n)
-        key = np.zeros(n, np.uint64)
-        padded = np.r_[data, np.zeros(8, np.uint8)]
-        for j in range(8):
-            key = (key << np.uint64(8)) | np.where(remaining > j, padded[j : j + n], 0).astype(np.uint64)
-        depth, longest = 8, int(remaining.max(initial=0))
-        self.levels, self.first = [(depth, self._ranks(key))], key
-        while depth < longest:
-            rank = self.levels[-1][1]
-            if int(rank.max(initial=0)) == n:
-                break
-            after = np.zeros(n, np.uint64)
-            more = remaining > depth
-            after[more] = rank[at[more] + depth]
-            depth *= 2
-            self.levels.append((depth, self._ranks(rank.astype(np.uint64) * np.uint64(n + 1) + after)))
-        starts = np.flatnonzero(remaining >= width)
-        self.order = starts[np.argsort(self.levels[-1][1][starts], kind="stable")]
-        self.remaining = remaining
-        self.common = self._common(self.order[:-1], self.order[1:])
-
-    @staticmethod
-    def _ranks(key: np.ndarray) -> np.ndarray:
-        """Ranks from 1; equal keys share one."""
-        order = np.argsort(key)
-        new = np.ones(len(key), np.uint32)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(len(key), np.uint32)
-        rank[order] = np.cumsum(new, dtype=np.uint32)
-        return rank
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = np.minimum(self.remaining[a], self.remaining[b])
-        length = np.zeros(len(a), np.int64)
-        for depth, rank in reversed(self.levels):
-            while len(a):
-                inside = length + depth <= most
-                same = np.zeros(len(a), bool)
-                same[inside] = rank[a[inside] + length[inside]] == rank[b[inside] + length[inside]]
-                length[same] += depth
-                if depth != self.levels[-1][0] or not same.any():
-                    break
-        for j in range(8):  # the last bytes, one by one
-            inside = length < most
-            same = np.zeros(len(a), bool)
-            same[inside] = self.data[a[inside] + length[inside]] == self.data[b[inside] + length[inside]]
-            if not same.any():
-                break
-            length[same] += 1
-        return length
+        self.data, self._eight = data, eights(data)
+        count = np.maximum(np.diff(offsets) - width + 1, 0)
+        self.owner = np.repeat(np.arange(len(offsets) - 1), count)
+        before = np.cumsum(count) - count
+        at = offsets[:-1][self.owner] + np.arange(len(self.owner)) - before[self.owner]
+        left = offsets[1:][self.owner] - at
+        sort = self._sorted(at, left)
+        self.owner, self.order, self.remaining = self.owner[sort], at[sort], left[sort]
+        self.first = self.order == offsets[:-1][self.owner]
+        self.common = self._common()
+
+    def _bytes(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next 8 bytes, or as many as are left, as numbers that sort like them."""
+        return (self._eight[np.minimum(at, len(self.data))] & MASK[left]).byteswap()
+
+    def _sorted(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """An order of the suffixes: by 8 bytes, then ties by the next 8 until none is left that could be broken."""
+        key = self._bytes(at, np.clip(left, 0, 8))
+        sort = np.argsort(key, kind="stable")
+        fresh = np.r_[True, key[sort][1:] != key[sort][:-1]][: len(at)]
+        over, depth = np.zeros(len(at), bool), 8
+        while True:
+            tied = ~fresh
+            tied[:-1] |= ~fresh[1:]
+            place = np.flatnonzero(tied & ~over)
+            if not len(place):
+                return sort
+            own = sort[place]
+            rest = np.clip(left[own] - depth, 0, 8)
+            key, group = self._bytes(at[own] + depth, rest), np.cumsum(fresh)[place]
+            turn = np.lexsort((rest, key, group))
+            sort[place], key, rest, group = own[turn], key[turn], rest[turn], group[turn]
+            fresh[place[1:]] |= (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (group[1:] != group[:-1])
+            over[place] = rest < 8  # what is still tied here ends here
+            depth += 8
+
+    def _common(self) -> np.ndarray:
+        a, b = self.order[:-1], self.order[1:]
+        most = np.minimum(self.remaining[:-1], self.remaining[1:])
+        out = np.zeros(len(a), np.int64)
+        open_ = np.arange(len(a))
+        while len(open_):
+            differ = self._eight[a[open_] + out[open_]] ^ self._eight[b[open_] + out[open_]]
+            lowest = differ & (~differ + np.uint64(1))
+            out[open_] += np.where(differ == 0, 8, np.log2(np.maximum(lowest, np.uint64(1)).astype(float)).astype(np.int64) // 8)
+            open_ = open_[(differ == 0) & (out[open_] < most[open_])]
+        return np.minimum(out, most)
 
     def intervals(self, least: int) -> Iterator[tuple[int, int, int]]:
         """(length, first, last): the intervals of the common-prefix tree with a common prefix of `least` bytes or more, by a scan with a stack."""
@@ -112,19 +108,22 @@ class SuffixArray:
                 deep, first = stack.pop()
                 yield deep, first, end
 
-    def maximal(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def maximal(self, least: int, several: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lengths, first and last places (in order) of the intervals whose occurrences aren't all preceded by the same byte.
 
-        A string's start has no byte before it and differs from any other.
+        A string's start has no byte before it and differs from any other. A string that has several owners is a repeat too: its leaf counts, unless
+        a longer interval has all of it.
         """
         found = np.array(list(self.intervals(least)), np.int64).reshape(-1, 3)
-        order = self.order
-        edge = order == self.left[order]
-        before = self.data[np.maximum(order - 1, 0)]
-        change = np.zeros(len(order) + 1, np.int64)
-        change[2:] = np.cumsum((before[1:] != before[:-1]) | edge[1:] | edge[:-1])
-        diverse = change[found[:, 2] + 1] > change[found[:, 1] + 1]
-        return tuple(found[diverse].T)
+        before = self.data[np.maximum(self.order - 1, 0)]
+        change = np.zeros(len(self.order) + 1, np.int64)
+        change[2:] = np.cumsum((before[1:] != before[:-1]) | self.first[1:] | self.first[:-1])
+        found = found[change[found[:, 2] + 1] > change[found[:, 1] + 1]]
+        if several is not None and len(self.order):
+            near = np.maximum(np.r_[0, self.common], np.r_[self.common, 0])
+            leaf = np.flatnonzero(self.first & several[self.owner] & (near < self.remaining))
+            found = np.concatenate((found, np.stack((self.remaining[leaf], leaf, leaf), 1)))
+        return tuple(found.T)
 
     def maximal_repeats(self, least: int) -> Iterator[tuple[int, np.ndarray]]:
         """(length, positions of all occurrences) of each maximal repeat of `least` bytes or more."""
@@ -145,7 +144,7 @@ def _least(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(hashes[: len(hashes) - rest], hashes[rest:]) if rest else hashes
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, width: int, seed: int, most: int | None = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the strings of `width` bytes within each document: segments' minimizers (spread anew, as least values are all small), first bytes, ends and documents."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
@@ -168,10 +167,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tu
     ends = np.r_[starts[1:], len(least)]
     last = offsets[1:][np.searchsorted(offsets, starts, "right") - 1] - width + 1
     ends = np.minimum(ends, last)
-    if len(starts) and int((ends - starts).max()) > SEGMENT:  # long runs of one minimizer are cut
-        pieces = -(-(ends - starts) // SEGMENT)
-        at = np.repeat(starts, pieces) + SEGMENT * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        ends = np.minimum(at + SEGMENT, np.repeat(ends, pieces))
+    if most and len(starts) and int((ends - starts).max()) > most:  # long runs of one minimizer are cut
+        pieces = -(-(ends - starts) // most)
+        at = np.repeat(starts, pieces) + most * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        ends = np.minimum(at + most, np.repeat(ends, pieces))
         starts = at
     return mix(least[starts]), starts, ends + width - 1, np.searchsorted(offsets, starts, "right") - 1
 
@@ -277,14 +276,14 @@ def _packed(block: int, found: tuple, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
 
-def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, width: int) -> np.ndarray:
-    """Of distinct segments and their smallest ids: for each byte the smallest id with a repeat that covers it."""
-    cover = np.repeat(lows, np.diff(offsets))
+def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, highs: np.ndarray, width: int) -> np.ndarray:
+    """Of distinct segments and their smallest and largest ids: for each byte the smallest id with a maximal repeat that covers it, LAST where there is none."""
+    cover = np.full(len(data), LAST)
     array = SuffixArray(data, offsets, width)
-    lengths, first, last = array.maximal(width)
+    lengths, first, last = array.maximal(width, highs > lows)
     if not len(lengths):
         return cover
-    own = np.append(lows[array.owner[array.order]], LAST)
+    own, high = np.append(lows[array.owner], LAST), highs[array.owner]
     least = np.minimum.reduceat(own, np.stack([first, last + 1], 1).ravel())[::2]
     levels: dict[int, np.ndarray] = {}  # level k: the smallest id for the 2**k bytes from a place on
     step = np.cumsum(last - first + 1)
@@ -293,7 +292,7 @@ def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, width: int)
         n = (last - first + 1)[i:j]
         which = np.repeat(np.arange(i, j), n)
         at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        lower = own[at] > least[which]
+        lower = high[at] > least[which]
         at, which = array.order[at[lower]], which[lower]
         size, low = lengths[which], least[which]
         level = np.log2(size).astype(np.int64)
@@ -308,11 +307,11 @@ def covers(data: np.ndarray, offsets: np.ndarray, lows: np.ndarray, width: int)
             below, half = levels.setdefault(k - 1, np.full(len(data), LAST)), 1 << (k - 1)
             np.minimum(below, table, out=below)
             np.minimum(below[half:], table[:-half], out=below[half:])
-    return np.minimum(cover, levels[0]) if 0 in levels else cover
+    return levels.get(0, cover)
 
 
 def _overlapping(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """Which segments share a string with another one, by the strings' hashes; the others need no suffix array."""
+    """Which segments share a string with another one, by the strings' hashes."""
     hashes = window_hash(data, width)
     inside = np.ones(len(data), bool)
     for j in range(1, width):
@@ -351,30 +350,27 @@ def _answer(width: int):
                 raw = batch.column(6)[i].as_buffer().to_pybytes()
                 ends = np.cumsum(sizes, dtype=np.int64)
                 hashes = range_hash(np.frombuffer(raw, np.uint8), ends - sizes, ends)
-                found.add(hashes, subs, lows, lows, sizes.astype(np.int64), lambda k, e=ends, n=sizes, r=raw: r[e[k] - n[k] : e[k]])
+                found.add(hashes, subs, lows, highs, sizes.astype(np.int64), lambda k, e=ends, n=sizes, r=raw: r[e[k] - n[k] : e[k]])
                 asked.append((block, hashes, highs.copy()))
         if not asked:
             return
-        hashes, subs, lows, _, sizes, text = found.all()
+        hashes, subs, lows, most, sizes, text = found.all()
         del found
         data, offsets = np.frombuffer(text, np.uint8), np.r_[0, np.cumsum(sizes)]
         order = np.argsort(subs, kind="stable")
         bounds = [0, *(np.flatnonzero(np.diff(subs[order])) + 1).tolist(), len(order)]
-        shared, chunk, held, runs = np.zeros(len(subs), bool), [], 0, []
+        chunk, held, runs = [], 0, []
         for k in range(len(bounds) - 1):
             own = order[bounds[k] : bounds[k + 1]]
             picked, cuts = _picked(data, offsets, own)
-            own = own[_overlapping(picked, cuts, width)]
-            shared[own] = True
+            own = own[_overlapping(picked, cuts, width) | (most[own] > lows[own])]
             chunk.append(own)
             held += int(sizes[own].sum())
             if held >= ARRAY_BYTES or k == len(bounds) - 2:
-                runs.append(_runs(data, offsets, hashes, lows, np.concatenate(chunk), width))
+                runs.append(_runs(data, offsets, hashes, lows, most, np.concatenate(chunk), width))
                 chunk, held = [], 0
-        alone = np.flatnonzero(~shared)
-        whole = np.zeros(len(alone), _RUN)
-        whole["segment"], whole["end"], whole["low"] = hashes[alone], sizes[alone], lows[alone]
-        runs = np.sort(np.concatenate([*runs, whole]), order=["segment", "start"])
+        runs = np.concatenate(runs)
+        runs = runs[np.lexsort((runs["start"], runs["segment"]))]
         for block, own, highs in asked:
             place = np.argsort(own)
             own, highs = own[place], highs[place]
@@ -388,12 +384,12 @@ def _answer(width: int):
     return run
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, lows: np.ndarray, which: np.ndarray, width: int) -> np.ndarray:
-    """The runs of equal cover of some segments that share strings."""
+def _runs(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, lows: np.ndarray, highs: np.ndarray, which: np.ndarray, width: int) -> np.ndarray:
+    """The runs of equal cover of some segments."""
     if not len(which):
         return np.zeros(0, _RUN)
     picked, cuts = _picked(data, offsets, which)
-    cover = covers(picked, cuts, lows[which], width)
+    cover = covers(picked, cuts, lows[which], highs[which], width)
     new = np.ones(len(cover), bool)
     new[1:] = cover[1:] != cover[:-1]
     new[cuts[:-1]] = True
@@ -402,7 +398,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, lows: np.nd
     runs = np.zeros(len(starts), _RUN)
     runs["segment"], runs["low"] = hashes[which][owner], cover[starts]
     runs["start"], runs["end"] = starts - cuts[owner], np.r_[starts[1:], len(cover)] - cuts[owner]
-    return runs
+    return runs[runs["low"] < LAST]
 
 
 def _cut(width: int, seed: int):
@@ -458,7 +454,7 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = prepare(docs.sparkSession)
     scratch, n = Scratch(spark, "suffix"), partitions(spark)
-    blocks = text_blocks(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, n)
+    blocks = text_blocks(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), "id", "text", n)
     shared = blocks.repartitionById(n, F.col("block")).mapInArrow(_send_minimizers(n, width, seed), PACKED)
     shared = scratch.keep(repeated(shared, n), "shared")
     scratch.tidy()
@@ -469,3 +465,78 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     scratch.tidy()
     kinds = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return with_answers(blocks, runs, n, "binary").mapInArrow(_cut(width, seed), kinds).withColumnRenamed("id", id_col)
+
+
+# ---------------------------------------------------------------- the groups
+
+
+def _all_segments(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for _, answers, texts in split_answers(batches):
+            if texts is None:
+                known = None
+                continue
+            known = np.sort(np.frombuffer(b"".join(answers), np.uint64)) if known is None else known
+            for part, data, offsets in slices(texts):
+                minimizers, starts, ends, docs = segments(data, offsets, width, seed, None)
+                hit = np.flatnonzero(_member(minimizers, known))
+                ids, raw = part.column(part.schema.get_field_index("id")), data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(minimizers[hit].view(np.int64)),
+                        ids.take(pa.array(docs[hit])),
+                        pa.array(starts[hit] - offsets[docs[hit]], pa.int64()),
+                        binary([raw[a:b] for a, b in zip(starts[hit].tolist(), ends[hit].tolist(), strict=True)]),
+                    ],
+                    ["key", "id", "start", "bytes"],
+                )
+
+    return run
+
+
+def _groups(width: int):
+    def found(held: dict[bytes, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        texts = list(held)
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+        array = SuffixArray(data, offsets, width)
+        raw = data.tobytes()
+        for length, first, last in zip(*(x.tolist() for x in array.maximal(width, np.array([len(held[t]) > 1 for t in texts]))), strict=True):
+            at, owners = array.order[first : last + 1], array.owner[first : last + 1]
+            string = raw[at[0] : at[0] + length]
+            for place, owner in zip((at - offsets[owners]).tolist(), owners.tolist(), strict=True):
+                rows = held[texts[owner]]
+                yield pa.RecordBatch.from_arrays(
+                    [binary([string] * len(rows)), pa.array([length] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] + place for r in rows], pa.int64())], ["repeat", "length", "id", "start"]
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != key:
+                    yield from found(held)
+                    key, held = row[0], {}
+                held.setdefault(row[3], []).append((row[1], row[2]))
+        yield from found(held)
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """repeat (binary), length, id, start: a row for each occurrence, anywhere in docs, of each maximal repeat of `width` bytes or more.
+
+    All rows with one value of repeat are its group. Repeats are maximal within segments (runs of strings with one minimizer): a
+    longer one is several groups that overlap by width - 1 bytes, and any string of `width` bytes that occurs in two documents is in one.
+    Strings that only one document holds, however often, have no group unless their minimizer is another's too. Null texts are empty, ids integers (null too). A task holds the distinct segments of one minimizer and the places of all that equal them.
+    """
+    spark = prepare(docs.sparkSession)
+    scratch, n = Scratch(spark, "groups"), partitions(spark)
+    blocks = text_blocks(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), "id", "text", n)
+    shared = blocks.repartitionById(n, F.col("block")).mapInArrow(_send_minimizers(n, width, seed), PACKED)
+    shared = scratch.keep(repeated(shared, n), "shared")
+    rows = with_answers(blocks, shared, n, "binary").mapInArrow(_all_segments(width, seed), "key long, id long, start long, bytes binary")
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_groups(width), "repeat binary, length long, id long, start long").distinct().withColumnRenamed("id", id_col)
