@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,32 @@ def test_merged_parts_equal_the_whole():
     assert fingerprints.merge(*halves) == fingerprints.written(fingerprints.bottom(text))
 
 
+def test_estimates_against_sets(spark):
+    """Fingerprints of fewer than k shingles hold whole sets, so that estimates are the sets' own; larger ones are near, here and merged by Spark."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc ", k=rng.randint(0, 90))) for _ in range(40)] + ["".join(rng.choices("abcdefg ", k=4000)) for _ in range(4)]
+    texts += [texts[i][:50] + texts[i + 1][:40] for i in range(38)]
+    sets = [{t.encode()[i : i + 12] for i in range(max(1, len(t.encode()) - 11))} if t else set() for t in texts]
+    prints = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(table(spark, texts)).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in (i, (i * 7 + 1) % len(texts), 44 + i % 38)]
+    df = spark.createDataFrame([(i, j, prints[i], prints[j]) for i, j in pairs], "i int, j int, a string, b string")
+    for r in df.select("i", "j", fingerprints.resemblances("a", "b").alias("r"), fingerprints.containments("a", "b").alias("c"), fingerprints.distincts("a").alias("d")).collect():
+        a, b = sets[r["i"]], sets[r["j"]]
+        exact = len(a | b) < fingerprints.K
+        assert r["r"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1, abs=1e-12 if exact else 0.2)
+        assert r["c"] == pytest.approx(len(a & b) / len(a) if a else 1, abs=1e-12 if exact else 0.3)
+        assert r["d"] == pytest.approx(len(a), rel=1e-12 if len(a) < fingerprints.K else 0.35)
+    parts = spark.createDataFrame([(None if i % 5 == 4 else i % 5, prints[i]) for i in range(len(texts))] + [(1, None)], "group int, fingerprint string").repartition(3)
+    for r in fingerprints.merged(parts, "group").collect():
+        own = set().union(*(sets[i] for i in range(len(texts)) if (None if i % 5 == 4 else i % 5) == r["group"]))
+        assert fingerprints.distinct(r["fingerprint"]) == pytest.approx(len(own), rel=0.35)
+        again = ""
+        for i in range(len(texts)):
+            if (None if i % 5 == 4 else i % 5) == r["group"]:
+                again = fingerprints.merge(again, prints[i]) if again else prints[i]
+        assert again == r["fingerprint"]
+
+
 @pytest.mark.parametrize("ids", [None, [5, 5, None, 3, 9, 8, 8, 1, None, 2], [4] * 10, [None] * 10])
 def test_edited_and_next(spark, ids):
     rows = [((i if ids is None else ids[i]), t) for i, t in enumerate(TEXTS)]
@@ -113,6 +140,46 @@ def test_media_round_trip(spark):
         assert r["feature"] == media.feature(payload)
 
 
+def plain_png(data):
+    """A decoder of its own: the image's chunks by their names, its rows by stride, no checks."""
+    packed, at = b"", 8
+    width, height, depth, colour = int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big"), data[24], data[25]
+    while data[at + 4 : at + 8] != b"IEND":
+        n = int.from_bytes(data[at : at + 4], "big")
+        packed += data[at + 8 : at + 8 + n] if data[at + 4 : at + 8] == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompressobj().decompress(packed)
+    assert (depth, colour, len(raw)) == (8, 0, height * (width + 1)) and not any(raw[:: width + 1])
+    return b"".join(raw[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height)), width
+
+
+def test_stored_images_by_another_decoder(spark):
+    folder = Scratch(spark, "test").path("plain")
+    media.write_archives(table(spark), folder).collect()
+    spark.dataSource.register(media.ArchiveSource)
+    seen = []
+    for r in spark.read.format("media_archive").load(folder).collect():
+        _, id_, n = r["member"].removesuffix(".png").split("_")
+        samples, width = plain_png(bytes(r["payload"]))
+        raw = (TEXTS[int(id_)] or "").encode()
+        assert width == 192 and samples[: int(n)] == raw and set(samples[int(n) :]) <= {32} and len(samples) % 192 == 0 and samples
+        seen.append(int(id_))
+        counts = [samples.count(bytes([b])) for b in range(256)]
+        mean = sum(b * c for b, c in enumerate(counts)) / len(samples)
+        found = media.feature(samples).split(";")
+        assert float(found[0]) == pytest.approx(mean, abs=1e-4) and [float(x) for x in found[3].split(",")] == pytest.approx([sum(counts[i : i + 16]) / len(samples) for i in range(0, 256, 16)], abs=1e-4)
+    assert sorted(seen) == list(range(len(TEXTS)))
+
+
+def test_archives_end_at_their_size(spark):
+    folder = Scratch(spark, "test").path("small")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "text": ["x" * 100] * 50})
+    files = [b.to_pylist()[0] for b in media._write(folder, 1000)(iter([batch]))]
+    assert len(files) > 3 and sum(f["members"] for f in files) == 50
+    spark.dataSource.register(media.ArchiveSource)
+    assert spark.read.format("media_archive").option("rangeBytes", "500").load(folder).count() == 50
+
+
 def test_archives_are_read_in_ranges(spark):
     folder = Scratch(spark, "test").path("archives")
     files = media.write_archives(table(spark, [f"text {i}" for i in range(300)]).repartition(2), folder).collect()
@@ -137,7 +204,12 @@ def test_a_member_is_fetched_again_by_its_offset(tmp_path):
         def read_at(self, size, offset):
             raise OSError("lost")
 
+    class Short:
+        def read_at(self, size, offset):
+            return b"PK"
+
     system = fs.LocalFileSystem()
+    assert media.fetch(system, path, member, Short()) == b"payload 1" * 9
     assert media.fetch(system, path, member, Broken()) == b"payload 1" * 9
     with open(path, "r+b") as f:
         f.seek(member.header_offset + 40)
@@ -227,6 +299,29 @@ def test_mixture_meets_its_targets(spark):
     assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, source_mixing.mixture(df.repartition(7)).collect()), key=repr)
 
 
+def test_blocks_by_hand(spark):
+    """The blocks of every source, one by one to the shard with the highest quotient, and each shard's in a row from its place."""
+    rows, df = sources(spark, 90)
+    big = [(1000 + i, "v " * 3000, "a", "x", 1) for i in range(60)]
+    df = df.unionByName(spark.createDataFrame(big, df.schema))
+    planned = source_mixing.plan(df, "doc_id", "text", "source", 20, ["doc_id", "source"]).collect()
+    out = {r["doc_id"]: r for r in source_mixing.mixture(df).collect()}
+    words = {r["row"]["doc_id"]: r["__size"] for r in planned}
+    total = sum(words.values())
+    names = [*sorted({r[2] for r in rows + big if r[2] is not None}), None]
+    sizes = [sum(words[r[0]] for r in rows + big if r[2] == s) for s in names]
+    wanted = source_mixing.targets(sizes)
+    assert sum(wanted) == pytest.approx(1.5 * total) and all(w <= 2 * n + 1e-6 for w, n in zip(wanted, sizes, strict=True))
+    seats, given = round(sum(wanted) / 16), [0] * len(names)
+    for _ in range(seats):
+        given[max(range(len(names)), key=lambda i: (wanted[i] / (2 * given[i] + 1), -i))] += 1
+    for i, s in enumerate(names):
+        taken = sum(out[r[0]]["taken"] for r in rows + big if r[2] == s)
+        assert abs(taken - 16 * given[i]) <= 16 * 2 * max(1, -(-sizes[i] // source_mixing.SHARD_WORDS[0]))
+    for r in planned:  # a document's share of a last round is one or two runs of words that don't overlap
+        assert 0 <= r["__from_2"] <= r["__to_2"] <= r["__from_1"] <= r["__to_1"] <= r["__size"] or r["__from_1"] == r["__to_1"] or r["__from_2"] == r["__to_2"]
+
+
 def test_mix_rows_hold_what_is_taken(spark):
     rows, df = sources(spark)
     taken = {r["doc_id"]: r["taken"] for r in source_mixing.mixture(df).collect()}
@@ -275,6 +370,15 @@ def test_tool_calls(spark):
     assert [(r["linked"], r["position"]) for r in out if r["conv_id"] == 2] == [(False, 0), (False, 1), (None, 2)] and out[-1]["valid"] is False
 
 
+def test_calls_that_cannot_be_written_again(spark):
+    rows = [(1, 1, "call", "a", "t", '{"query":"\\ud800"}', None), (1, 2, "call", "b", "t", "[" * 100_000, None), (1, 3, "call", "c", "t", "NaN", None), (1, 4, "call", "d", "t", '{"x":' + "[" * 300 + "]" * 300 + "}", None), (1, 5, "result", "a", None, None, "y" * 3_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, kind string, call_id string, name string, arguments string, content string")
+    out = sorted(tool_calls.link(df, {"t": {}}).collect(), key=lambda r: r["position"])
+    assert [r["valid"] for r in out] == [False, False, False, True, None]
+    assert [json.loads(out[i]["json"])["arguments"] for i in range(3)] == [rows[i][5] for i in range(3)] and len(out[4]["json"]) > 3_000_000
+    assert tool_calls.link(df.limit(0), {"t": {}}).collect() == []
+
+
 def test_canonical_json_has_one_form():
     assert tool_calls.canonical(json.loads('{"b": [1, {"z":null, "a":"é"}], "a": 1.0}')) == '{"a":1.0,"b":[1,{"a":"é","z":null}]}'
 

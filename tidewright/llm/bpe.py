@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.core import prepare
+from tidewright.llm.core import col, prepare
 
 #: Characters of a text that the library gets at once, unless no safe boundary comes.
 PIECE = 1 << 16
@@ -82,14 +82,14 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     """id and ids (array of int) per row of docs. A null text is an empty one and has no ids."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(_encode(rank_file, pattern), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(col(id_col), col(text_col)).mapInArrow(_encode(rank_file, pattern), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id, ids and bytes per row: raw bytes, as a cut between ids may fall within a character. Null ids give null bytes."""
     prepare(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
-    out = encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(_decode(rank_file, pattern), f"id {kind}, ids array<int>, bytes binary")
+    out = encoded.select(col(id_col), col(ids_col)).mapInArrow(_decode(rank_file, pattern), f"id {kind}, ids array<int>, bytes binary")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("ids", ids_col)
 
 
@@ -97,7 +97,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     """id, ids, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 per row of docs."""
     both = decode(encode(docs, rank_file, pattern, id_col, text_col), rank_file, pattern, id_col)
     return both.select(
-        id_col,
+        col(id_col),
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.core import prepare
+from tidewright.llm.core import col, prepare
 
 #: Bounds of the sample that is fitted on: rows of each class, and their bytes; and the size of a dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, SHARE = 3000, 12 << 20, 1 << 17, 256
@@ -54,14 +54,14 @@ def feature(text: bytes, good, bad) -> float:
     return total / len(text)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Up to SHARE bytes from the middle of as many texts as fit, in their order: many texts matter more than long pieces."""
-    out, room = [], DICTIONARY_BYTES
+def _dictionary(texts: list[bytes], size: int, share: int) -> bytes:
+    """Up to `share` bytes from the middle of as many texts as fit in `size`, in their order: many texts matter more than long pieces."""
+    out, room = [], size
     for text in texts:
         if room <= 0:
             break
-        at = max(0, (len(text) - SHARE) // 2)
-        out.append(text[at : at + min(SHARE, room)])
+        at = max(0, (len(text) - share) // 2)
+        out.append(text[at : at + min(share, room)])
         room -= len(out[-1])
     return b"\n".join(out) or b" "
 
@@ -81,14 +81,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on rows of labels that crc32(id as text) mod 3 leaves at 0 or 2. With one class or none labelled, scores are that class's share."""
-    learn = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    sized = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, share: int = SHARE) -> Model:
+    """Fits on rows of labels that crc32(id as text) mod 3 leaves at 0 or 2. With one class or none labelled, scores are that class's share.
+
+    The sample has at most `sample` rows and `sample_bytes` bytes of each class; a text that no longer fits is passed over. Half of it fills the dictionaries, up to
+    dictionary_bytes each, with `share` bytes a text; the other half, whole, calibrates. Scored rows are never cut. An id with both labels counts as label 0; null ids, other labels and labels without a document are passed over.
+    """
+    learn = labels.filter(col(id_col).isNotNull() & col(label_col).isin(0, 1) & (F.crc32(col(id_col).cast("string").cast("binary")) % 3 != 1)).select(col(id_col).alias("id"), col(label_col).alias("label"))
+    sized = docs.select(col(id_col).alias("id"), F.octet_length(F.coalesce(col(text_col), F.lit(""))).alias("size"))
     chosen: dict[int, int] = {}
     all_ = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     for label in (0, 1):
-        room = SAMPLE_BYTES
+        room = sample_bytes
         rows = learn.filter(F.col("label") == label).join(sized, "id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         for row in rows:
             if row["id"] not in chosen and row["size"] <= room:
@@ -97,19 +101,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts: dict[int, bytes] = {}
     if chosen:
         wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-        for row in docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "id").toLocalIterator():
+        for row in docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).join(F.broadcast(wanted), "id").toLocalIterator():
             texts[row["id"]] = max(texts.get(row["id"], b""), (row["text"] or "").encode())
     groups = [[texts[i] for i in chosen if chosen[i] == label and i in texts] for label in (0, 1)]
     if not all(groups):
-        share = 0.5 if not any(groups) else float(bool(groups[1]))
-        return Model(b" ", b" ", 0.0, float(np.clip((share - 0.5) * 20, -10, 10)))
+        only = 0.5 if not any(groups) else float(bool(groups[1]))
+        return Model(b" ", b" ", 0.0, float(np.clip((only - 0.5) * 20, -10, 10)))
     built, held = [x[::2] for x in groups], [x[1::2] or x for x in groups]
-    good, bad = _dictionary(built[1]), _dictionary(built[0])
+    good, bad = (_dictionary(built[label], dictionary_bytes, share) for label in (1, 0))
     tools = _compressors(good, bad)
     x = np.array([feature(t, *tools) for group in held for t in group])
     y = np.array([float(label) for label, group in enumerate(held) for _ in group])
-    share = np.array([all_[label] / len(held[label]) for label in y.astype(int).tolist()])  # the sample has as many rows of either class, the labels may not
-    weight, bias = _logistic(x, y, share * len(y) / share.sum())
+    weights = np.array([all_[label] / len(held[label]) for label in y.astype(int).tolist()])  # the sample has as many rows of either class, the labels may not
+    weight, bias = _logistic(x, y, weights * len(y) / weights.sum())
     return Model(good, bad, weight, bias)
 
 
@@ -128,23 +132,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id and score (0 to 1, higher: more like label 1) per row of docs. Null and empty texts have the score of no evidence."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_score(model), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(col(id_col), col(text_col)).mapInArrow(_score(model), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out (no label of such a row is learnt from), score and predicted (1 if score >= 0.5) per row of docs."""
     out = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return out.select(id_col, held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return out.select(col(id_col), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose text the classifier predicts to be good."""
+    """The rows of docs, with all columns, whose text the classifier predicts to be good; null and empty texts stay if no evidence is predicted good."""
     prepare(docs.sparkSession)
-    model = fit(docs, labels, id_col, text_col)
-    plain = docs.select(*docs.columns)
-    tagged = plain.mapInArrow(_keep(model, docs.columns.index(text_col)), docs.schema)
-    return tagged
+    return docs.mapInArrow(_keep(fit(docs, labels, id_col, text_col), docs.columns.index(text_col)), docs.schema)
 
 
 def _keep(model: Model, text_at: int):

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewright.llm.core import partitions, prepare, window_hash
+from tidewright.llm.core import col, partitions, prepare, window_hash
 
 WIDTH, K = 12, 128
 _SHIFT = np.uint64(16)
@@ -94,7 +95,56 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id and fingerprint per row of docs; a null text is an empty one."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_fingerprints(k, width), f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(col(id_col), col(text_col)).mapInArrow(_fingerprints(k, width), f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+
+
+@F.arrow_udf(T.DoubleType())
+def resemblances(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of two columns of fingerprints: resemblance() of each pair, null where one is null."""
+    return pa.array([None if x is None or y is None else resemblance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+@F.arrow_udf(T.DoubleType())
+def containments(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of two columns of fingerprints: containment() of each pair, null where one is null."""
+    return pa.array([None if x is None or y is None else containment(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+@F.arrow_udf(T.DoubleType())
+def distincts(a: pa.Array) -> pa.Array:
+    """Of a column of fingerprints: distinct() of each, null where it is null."""
+    return pa.array([None if x is None else distinct(x) for x in a.to_pylist()], pa.float64())
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, fingerprint): one merged row for each run of a key; a key that comes again later gets another row."""
+    key, held = (), None
+    for batch in batches:
+        keys, out = batch.column(0).to_pylist(), []
+        for own, text in zip(keys, batch.column(1).to_pylist(), strict=True):
+            k, hashes = parsed(text)
+            if held is not None and own == key[0]:
+                least = min(k, held[0])
+                held = least, _merged(held[1], hashes, least)
+                continue
+            if held is not None:
+                out.append((key[0], written(held[1], held[0])))
+            key, held = (own,), (k, hashes)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], batch.schema.field(0).type), pa.array([r[1] for r in out], pa.string())], ["key", "fingerprint"])
+        kind = batch.schema.field(0).type
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], kind), pa.array([written(held[1], held[0])], pa.string())], ["key", "fingerprint"])
+
+
+def merged(parts: DataFrame, key_col: str, fingerprint_col: str = "fingerprint") -> DataFrame:
+    """key and fingerprint: of all parts with one key (null is a key of its own) the fingerprint of their shingles together. Null fingerprints are passed over.
+
+    Each task first merges what it has of a key, so a key sends one fingerprint a task, however many parts it has; then a key's are merged one by one.
+    """
+    rows = parts.filter(col(fingerprint_col).isNotNull()).select(col(key_col).alias("key"), col(fingerprint_col).alias("fingerprint"))
+    n, kinds = partitions(prepare(parts.sparkSession)), rows.schema
+    once = rows.sortWithinPartitions("key").mapInArrow(_fold, kinds)
+    return once.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_fold, kinds).withColumnRenamed("key", key_col)
 
 
 # ---------------------------------------------------------------- each document, its edited text and the next one
@@ -163,7 +213,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs.sparkSession)
     n = partitions(spark)
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
     found = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n + 1)], 100 * n).alias("b"), F.max("id").alias("m")).first()
     bounds = sorted({*(found["b"] or []), found["m"]} - {None})
     rows = ids.withColumn("to", F.explode(_targets(bounds)("id"))).select("to.bucket", "to.extra", "id", "text")

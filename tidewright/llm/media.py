@@ -1,6 +1,6 @@
 """Texts as media: PNG images of 192 8-bit samples a row, stored in ZIP archives, and a data source that reads the archives back.
 
-Writing: each task writes its rows to one archive in the shared folder under a name of its own, and reports it; archives of
+Writing: each task writes its rows to archives of ARCHIVE_BYTES in the shared folder under names of their own, and reports them; archives of
 failed or repeated attempts aren't reported and hence never read. Reading: the source plans byte ranges over the archives' sizes; a
 task opens its archive's directory at the end of the file, takes the members whose headers begin in its range, and
 yields their payloads in bounded Arrow batches. A member that can't be read, or whose checksum differs, is fetched again by its offset alone; after
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tidewright.llm.core import Scratch, prepare
+from tidewright.llm.core import Scratch, col, prepare
 
 SAMPLES, LEVEL = 192, 4
 RANGE_BYTES, BATCH_BYTES, TRIES = 32 << 20, 4 << 20, 3
+#: A task begins another archive beyond this size: each range reads its archive's whole directory.
+ARCHIVE_BYTES = 512 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -93,23 +95,22 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "/", 1) if uri.startswith("file:/") else uri)
 
 
-def _write(folder: str):
+def _write(folder: str, archive_bytes: int = ARCHIVE_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = _filesystem(folder)
         system.create_dir(top, recursive=True)
-        path, n = f"{top}/{uuid.uuid4().hex}.zip", 0
-        with system.open_output_stream(path) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-            for batch in batches:
-                for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    name = f"{n:09d}_{'null' if id_ is None else id_}_{len(raw)}.png"
-                    archive.writestr(zipfile.ZipInfo(name), to_png(padded(raw)))
-                    n += 1
-        size = system.get_file_info(path).size
-        if n:
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        row = next(rows, None)
+        while row is not None:
+            path, n, held = f"{top}/{uuid.uuid4().hex}.zip", 0, 0
+            with system.open_output_stream(path) as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
+                while row is not None and held < archive_bytes:
+                    raw = (row[1] or "").encode()
+                    image = to_png(padded(raw))
+                    archive.writestr(zipfile.ZipInfo(f"{n:09d}_{'null' if row[0] is None else row[0]}_{len(raw)}.png"), image)
+                    n, held, row = n + 1, held + len(image), next(rows, None)
+            size = system.get_file_info(path).size
             yield pa.RecordBatch.from_arrays([pa.array([path.rpartition("/")[2]]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["archive", "bytes", "members"])
-        else:
-            system.delete_file(path)
 
     return run
 
@@ -123,6 +124,8 @@ def _members(stream, start: int, end: int) -> list[zipfile.ZipInfo]:
 def _fetch(stream, member: zipfile.ZipInfo) -> bytes:
     """A stored member's payload, by the offset of its header."""
     head = stream.read_at(30, member.header_offset)
+    if len(head) < 30:
+        raise OSError("a header was cut off")
     name, extra = struct.unpack("<HH", head[26:30])
     if head[:4] != b"PK\x03\x04" or member.compress_type != zipfile.ZIP_STORED:
         raise OSError("no stored member at this offset")
@@ -140,7 +143,7 @@ def fetch(system, path: str, member: zipfile.ZipInfo, stream=None, tries: int =
                 with system.open_input_file(path) as own:
                     return _fetch(own, member)
             return _fetch(stream, member)
-        except OSError:
+        except (OSError, struct.error):
             if not left:
                 raise
             stream = None
@@ -156,15 +159,16 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
         self.range = int(options.get("rangeBytes", RANGE_BYTES))
-        self.archives = options.get("archives")
+        self.listed = options.get("list")
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
 
         system, top = _filesystem(self.folder)
         files = {f.base_name: f.size for f in system.get_file_info(fs.FileSelector(top, allow_not_found=True)) if f.base_name.endswith(".zip")}
-        if self.archives is not None:
-            files = {name: files[name] for name in self.archives.split(",") if name}
+        if self.listed is not None:
+            with system.open_input_file(f"{top}/{self.listed}") as names:
+                files = {name: files[name] for name in names.read().decode().splitlines()}
         return [Range(name, size, at, min(at + self.range, size)) for name, size in sorted(files.items()) for at in range(0, size, self.range)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
@@ -193,7 +197,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class ArchiveSource(DataSource):
     """spark.read.format("media_archive").load(folder): archive, member, header_offset, payload of all members of the folder's ZIP files.
 
-    Options: rangeBytes, the bytes of an archive for one task; archives, a comma-separated choice of files.
+    Options: rangeBytes, the bytes of an archive for one task; list, a file in the folder that names the archives to read, one a line.
     """
 
     @classmethod
@@ -213,7 +217,7 @@ class ArchiveSource(DataSource):
 def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """archive, bytes, members: the files that now hold a member for each row of docs (null texts are empty). Runs at once."""
     prepare(docs.sparkSession)
-    rows = docs.select(id_col, text_col).mapInArrow(_write(folder), "archive string, bytes long, members long").collect()  # a row for each task
+    rows = docs.select(col(id_col), col(text_col)).mapInArrow(_write(folder), "archive string, bytes long, members long").collect()  # a row for each archive
     return docs.sparkSession.createDataFrame([tuple(r) for r in rows], "archive string, bytes long, members long")
 
 
@@ -252,9 +256,12 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = prepare(docs.sparkSession)
     folder = Scratch(spark, "media").path("archives")
-    files = write_archives(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), folder, "id")
-    names = sorted(r["archive"] for r in files.collect())
+    files = write_archives(docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")), folder, "id")
+    system, top = _filesystem(folder)
+    system.create_dir(top, recursive=True)
+    with system.open_output_stream(f"{top}/archives.txt") as names:
+        names.write("\n".join(sorted(r["archive"] for r in files.collect())).encode())
     spark.dataSource.register(ArchiveSource)
-    stored = spark.read.format("media_archive").option("archives", ",".join(names)).load(folder)
+    stored = spark.read.format("media_archive").option("list", "archives.txt").load(folder)
     kinds = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return stored.select("member", "payload").mapInArrow(_described, kinds).withColumnRenamed("id", id_col)

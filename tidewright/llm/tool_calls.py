@@ -55,6 +55,16 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def parsed(text: str | None) -> object:
+    """A call's arguments; ValueError if they are no JSON that can be written again: nested beyond Python's limit, NaN, or half a surrogate pair."""
+    try:
+        value = json.loads(text or "", parse_constant=float)
+        canonical(value).encode()
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+    return value
+
+
 def _serialised(schemas: Mapping[str, Mapping]):
     @F.arrow_udf("struct<valid boolean, json string>")
     def run(kind: pa.Array, call_id: pa.Array, name: pa.Array, arguments: pa.Array, content: pa.Array, linked: pa.Array) -> pa.Array:
@@ -63,8 +73,7 @@ def _serialised(schemas: Mapping[str, Mapping]):
             fine, row = None, {"kind": k, "content": c}
             if k == "call":
                 try:
-                    a = json.loads(a or "", parse_constant=float)
-                    canonical(a)
+                    a = parsed(a)
                     fine = n in schemas and valid(a, schemas[n])
                 except ValueError:
                     fine = False  # the text stays as it is
@@ -83,7 +92,8 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     kind is call, result, or anything else for a plain message. Calls and results are linked by conversation and call_id; a null id
     links nothing. Position counts from 0 within a conversation, in a topological order: by turn, but a result never comes
     before the first call with its id (it follows at that call's turn). Equal turns are ordered by kind, id and content; rows equal in all
-    count on. valid is null except for calls: whether the arguments are JSON that the schema of the name accepts.
+    count on. valid is null except for calls: whether the arguments are JSON that the schema of the name accepts. Arguments that are
+    no JSON, that are nested beyond Python's limit, or that hold half a surrogate pair are invalid and stay the text they were. Null conversations are one conversation. Other columns are left out.
     """
     prepare(messages.sparkSession)
     plain = messages.select("conv_id", "turn", F.coalesce("kind", F.lit("message")).alias("kind"), "call_id", "name", "arguments", "content")

@@ -3,8 +3,8 @@
 Writing: of records with equal payloads of MIN_REVISIT bytes or more, the one with the smallest page_id is a response, the others
 are revisits that refer to it and hold no payload. Each task writes one file of gzip members under a name of its own, and reports an index
 run sorted by URL key and timestamp; files of failed or repeated attempts aren't reported and hence never read. Merging: the
-key space is cut into ranges; each range merges its slices of all runs with a loser tree, so that the ranges in their order
-are the capture histories of all URLs. Reading: records are fetched by file and offset in the order of the index.
+key space is cut into ranges; each range gets its slices of all runs, holds them as Arrow batches (about 100 bytes a record, so a
+range of a million records takes 100 MB) and merges them with a loser tree while it writes, so that the ranges in their order are the capture histories of all URLs. Reading: records are fetched by file and offset in the order of the index.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.core import Scratch, partitions, prepare
+from tidewright.llm.core import Scratch, col, partitions, prepare
 from tidewright.llm.media import _filesystem
 
 MIN_REVISIT, LEVEL = 100, 5
@@ -138,31 +141,46 @@ def _index(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], ["run", "url_key", "captured", "page_id", "offset", "length"])
 
 
+def _slice(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """A run's rows, one batch at a time."""
+    for part in parts:
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
+    """A key range's slices of all runs, held as Arrow batches, merged row by row."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[0], []).append(row)
-    merged = LoserTree(list(runs.values()), key=lambda r: (r[1].encode(), r[2], r[3] is None, r[3] or 0, r[0], r[4]))
-    yield from _index(list(merged))
+        names = batch.column(0)
+        cuts = [0, *(np.flatnonzero(np.asarray(pc.not_equal(names[1:], names[:-1]))) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            runs.setdefault(names[a].as_py(), []).append(batch.slice(a, b - a))
+    merged = iter(LoserTree([_slice(parts) for parts in runs.values()], key=lambda r: (r[1].encode(), r[2], r[3] is None, r[3] or 0, r[0], r[4])))
+    while rows := list(islice(merged, 4096)):
+        yield from _index(rows)
 
 
 def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", captured_col: str | None = None) -> DataFrame:
     """Writes the archives at once and returns their index runs (INDEX), each sorted by URL key, time and page."""
     prepare(pages.sparkSession)
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    payload = F.coalesce(col(payload_col), F.lit(""))
     if captured_col:
-        captured = F.date_format(F.col(captured_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        captured = F.date_format(col(captured_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     else:
-        seconds = F.lit(int(EPOCH.timestamp())) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)) % 3_000_000_000
+        seconds = F.lit(int(EPOCH.timestamp())) + F.coalesce(col(id_col).cast("long"), F.lit(0)) % 3_000_000_000
         captured = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("html"), F.coalesce(captured, F.lit("")).alias("captured"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    first = rows.filter((F.octet_length("html") >= MIN_REVISIT) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    # Without the id column, nulls could not refer to anything: a group with null ids only has responses.
-    again = rows.join(first.select("digest", "first"), "digest", "left")
-    revisit = F.coalesce(F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first"))), F.lit(False))
-    rows = again.select("id", "url", "html", "captured", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return scratch.keep(rows.mapInArrow(_write(scratch.path("warc")), INDEX), "runs")
+    rows = pages.select(col(id_col).cast("long").alias("id"), col(url_col).alias("url"), payload.alias("html"), F.coalesce(captured, F.lit("")).alias("captured"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    # Only ids and digests of large enough payloads are compared; the payloads then join by digest and id, so that the copies of one page spread.
+    slim = scratch.keep(rows.filter(F.octet_length("html") >= MIN_REVISIT).select("id", "digest"), "digests")
+    first = slim.filter("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("id").alias("last"))
+    # Null ids can't be referred to: a group that has no other ids only has responses.
+    first = scratch.keep(first.join(slim.filter("id is null").select("digest").distinct().withColumn("nameless", F.lit(True)), "digest", "left").filter("first < last or nameless").select("digest", "first"), "first")
+    later = scratch.keep(slim.join(first, "digest").filter("id is null or id > first").select("digest", F.coalesce("id", F.lit(-1)).alias("at"), F.col("id").isNull().alias("none"), "first").distinct(), "later")
+    rows = rows.withColumns({"at": F.coalesce("id", F.lit(-1)), "none": F.col("id").isNull()}).join(later, ["digest", "at", "none"], "left")
+    rows = rows.select("id", "url", "html", "captured", "digest", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit"))
+    runs = scratch.keep(rows.mapInArrow(_write(scratch.path("warc")), INDEX), "runs")
+    scratch.drop("digests", "first", "later")
+    return runs
 
 
 def merge(runs: DataFrame) -> DataFrame:
