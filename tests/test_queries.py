@@ -9,7 +9,6 @@ import pytest
 from tidewright import plans
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"retirement_series", "explorer_pick", "compare_prev_age"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +26,7 @@ def rows(columns, data):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
-@pytest.mark.parametrize("name", [n for n in plans.oracles() if n not in SLOW])
+@pytest.mark.parametrize("name", list(plans.oracles()))
 def test_query(spark, db, name):
     df = plans.queries()[name](spark, SF)
     sql = db.sql(plans.oracles()[name])

@@ -14,9 +14,9 @@ from tidewright.functions.rates import clamp, let
 # Patterns and label texts of the documents that are read. Order matters: the first label that a row holds names it.
 
 SPACE = "[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
-NUMBER = "(?:₪\\s*)?[-−]?[0-9OoIl|]+(?:[.,][0-9OoIl|]+)*(?:[\\s\\x{a0}\\x{202f}][0-9OoIl|]{3})*(?:\\s*₪)?\\s*%?"
+NUMBER = "(?:₪" + SPACE + "*)?[-−]?[0-9OoIl|]+(?:[.,][0-9OoIl|]+)*(?:" + SPACE + "[0-9OoIl|]{3})*(?:" + SPACE + "*₪)?" + SPACE + "*%?"
 AMOUNT = "[-−]?[0-9OoIl|]+(?:[.,][0-9OoIl|]+)*"
-PERCENTAGE = "[0-9OoIl|]+(?:[.,][0-9OoIl|]+)?\\s*%"
+PERCENTAGE = "[0-9OoIl|]+(?:[.,][0-9OoIl|]+)?" + SPACE + "*%"
 CURRENCY = "(?i)₪|ש[\"״']?ח|ILS"
 DAY_DATE = "(?<![A-Za-z0-9_])([0-3]?[0-9])[/.\\-](0?[1-9]|1[0-2])[/.\\-](20[0-9]{2})(?![A-Za-z0-9_])"
 MONTH_DATE = "(?<![A-Za-z0-9_])(0?[1-9]|1[0-2])[/.\\-](20[0-9]{2})(?![A-Za-z0-9_])"

@@ -92,12 +92,12 @@ def anchors(rows: DataFrame) -> DataFrame:
     return out.select("doc_id", "label.field", "label.alias_id", F.col("row").alias("anchor"), F.col("page").alias("anchor_page"), F.col("y").alias("anchor_y"), F.col("search_text").alias("anchor_text"))
 
 
-def neighborhood(anchored: DataFrame, rows: DataFrame, most: int = NEAR_MOST) -> DataFrame:
-    """For each anchor the nearest rows of its page, itself included: within NEAR_Y or NEAR_ROWS, by distance, then rows apart, then place."""
+def neighborhood(anchored: DataFrame, rows: DataFrame, most: int = NEAR_MOST, ties: tuple[str, ...] = ("apart", "row")) -> DataFrame:
+    """For each anchor the nearest rows of its page, itself included: within NEAR_Y or NEAR_ROWS, by distance, then by `ties` (rows apart, then place)."""
     other = rows.select("doc_id", "row", F.col("page").alias("anchor_page"), F.col("y").alias("row_y"))
     away, apart = F.abs(F.col("row_y") - F.col("anchor_y")), F.abs(F.col("row") - F.col("anchor"))
     near = anchored.join(other, ["doc_id", "anchor_page"]).withColumns({"away": away, "apart": apart}).filter((F.col("away") <= NEAR_Y) | (F.col("apart") <= NEAR_ROWS))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "field", "anchor").orderBy("away", "apart", "row"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "field", "anchor").orderBy("away", *ties))
     return near.withColumn("near", rank).filter(F.col("near") <= most).drop("row_y")
 
 

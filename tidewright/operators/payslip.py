@@ -208,12 +208,12 @@ NO_PERIOD = "תחילת עבודה|תאריך תחילת עבודה|ותק|תא
 def period_candidates(rows: DataFrame) -> DataFrame:
     """doc_id, value (mm/yyyy), page, score, positive, negative: the best of each month that a document names.
 
-    A row's own words count in full, those of the rows around it less with their distance.
+    A row's own words count in full, those of the rows around it less with their distance; of rows as far away, those above come first.
     """
     pairs = F.transform(F.regexp_extract_all("plain", F.lit(PERIOD), F.lit(0)), lambda m: F.concat(F.lpad(F.regexp_extract(m, PERIOD, 1), 2, "0"), F.lit("/"), F.regexp_extract(m, PERIOD, 2)))
     dated = rows.withColumn("plain", search_text(F.col("direct_text"))).select("doc_id", F.col("row").alias("anchor"), F.col("page").alias("anchor_page"), F.col("y").alias("anchor_y"), F.posexplode(pairs).alias("n", "value"))
     dated = dated.withColumn("field", F.concat_ws("|", F.lit("period"), F.col("n").cast("string")))
-    around = layout.neighborhood(dated, rows).join(rows.select("doc_id", "row", "search_text"), ["doc_id", "row"])
+    around = layout.neighborhood(dated, rows, ties=("row",)).join(rows.select("doc_id", "row", "search_text"), ["doc_id", "row"])
     own = F.col("row") == F.col("anchor")
     good, bad = F.col("search_text").rlike(IS_PERIOD), F.col("search_text").rlike(NO_PERIOD)
     far = lambda top: F.greatest(F.lit(0.12), top - F.col("away") / 180)

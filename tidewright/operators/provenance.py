@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import anchor_count, count, search_text, strip
+from tidewright.functions.text import SPACE, anchor_count, count, search_text, strip
 
 #: The fields of each kind of document, and the sources that are documents.
 FIELDS = {
@@ -75,7 +75,7 @@ def counts(sources: Column) -> tuple[Column, Column]:
 
 def assess_text(text: Column, kind: str) -> Column:
     """struct<useful, reason, score> of a document's own text: five signs, of which four are needed, among them length, digits and a label."""
-    text = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{1f}]+", " "), "\\s+", " "))
+    text = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{1f}]+", " "), f"{SPACE}+", " "))
     printable = F.try_divide(count(text, "[\\x{590}-\\x{5ff}\\x20-\\x7e]").cast("double"), F.length(text))
     signs = {
         "too-little-text": F.length(text) >= 36,

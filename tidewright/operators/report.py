@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.rates import let, near
-from tidewright.functions.text import ANY_DATE, AMOUNT, MONTH_DATE, PERCENTAGE, REPORT_LABELS, YEARLY, financial, fragments, holds, parse_date, search_text, strip
+from tidewright.functions.text import AMOUNT, ANY_DATE, MONTH_DATE, PERCENTAGE, REPORT_LABELS, SPACE, YEARLY, financial, fragments, holds, parse_date, search_text, strip
 from tidewright.operators.layout import build_rows
 from tidewright.session import settled
 
@@ -207,7 +207,7 @@ def parse(tokens: DataFrame, texts: DataFrame | None = None, ocr: bool = False)
 
 
 def classification(text: Column) -> Column:
-    return F.when(text.rlike("(?i)דוח\\s*שנתי|annual\\s*report"), "ANNUAL_PENSION_REPORT").otherwise("PERIODIC_PENSION_REPORT")
+    return F.when(text.rlike("(?i)דוח\\s*שנתי|annual\\s*report".replace("\\s", SPACE)), "ANNUAL_PENSION_REPORT").otherwise("PERIODIC_PENSION_REPORT")
 
 
 def with_token_fees(fields: DataFrame, tokens: DataFrame) -> DataFrame:

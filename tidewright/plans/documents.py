@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import rates, text
-from tidewright.operators import layout, payslip, provenance, reconcile, report
+from tidewright.operators import extraction, layout, payslip, provenance, reconcile, report
 from tidewright.session import ready, settled
 from tidewright.sources import files, store, tokens
 from tidewright.streaming import pages
@@ -66,18 +66,18 @@ def normalize_financial(s: DataFrame) -> DataFrame:
     return w.select("doc_id", v["value"].alias("value"), cents(v["confidence"]).alias("confidence"))
 
 
-@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN (ck % 20) / 100e0 WHEN 1 THEN (ck % 20 + 5e-1) / 100e0 ELSE CAST(ck % 2 AS DOUBLE) END AS value, ck % 3 = 0 AS percent FROM seed")
+@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN (ck % 20) / 100e0 WHEN 1 THEN (ck % 20 + 5e-1) / 100e0 ELSE CAST(ck % 2 AS DOUBLE) END AS value, ck % 3 < 2 AS percent FROM seed")
 def normalize_rate(s: DataFrame) -> DataFrame:
     raw = F.expr("CASE ck % 3 WHEN 0 THEN concat(ck % 20, '%') WHEN 1 THEN concat(ck % 20, ',5%') ELSE concat(ck % 2, '.0') END")
     v = text.financial(raw, "rate")
-    return s.select("doc_id", v["value"].alias("value"), (v["percent"] & (F.col("ck") % 3 == 0)).alias("percent"))
+    return s.select("doc_id", v["value"].alias("value"), v["percent"].alias("percent"))
 
 
-@query("SELECT doc_id, CASE WHEN ck % 3 = 2 THEN 'ILl0' ELSE replace(CAST(1000 + ck AS VARCHAR), 'x', '') END AS digits FROM seed")
+@query("SELECT doc_id, CASE ck % 3 WHEN 0 THEN '1' || substr(CAST(1000 + ck AS VARCHAR), 2) WHEN 1 THEN ck || '01' ELSE 'ILl' || ck % 10 END AS digits FROM seed")
 def ocr_digit_repair(s: DataFrame) -> DataFrame:
     """Zeros and ones that were read as letters; a text with more such letters than digits stays."""
-    raw = F.when(F.col("ck") % 3 == 2, "ILl0").otherwise(F.regexp_replace((1000 + F.col("ck")).cast("string"), "^1(.*)$", "I$1"))
-    return s.select("doc_id", F.when(F.col("ck") % 3 == 2, text.ocr_digits(raw)).otherwise(text.ocr_digits(raw)).alias("digits"))
+    raw = F.expr("CASE ck % 3 WHEN 0 THEN concat('I', substr(CAST(1000 + ck AS STRING), 2)) WHEN 1 THEN concat(ck, if(ck < 10, '0l', 'O|')) ELSE concat('ILl', ck % 10) END")
+    return s.select("doc_id", text.ocr_digits(raw).alias("digits"))
 
 
 @query("SELECT doc_id, ck % 4 < 3 AS negative, CASE ck % 4 WHEN 2 THEN '' || ck ELSE '' || ck END AS unsigned_ FROM seed")
@@ -93,9 +93,9 @@ def separator_resolve(s: DataFrame) -> DataFrame:
     return s.select("doc_id", text.plain_decimal(raw).alias("plain"))
 
 
-@query("SELECT doc_id, i AS place, unnest_ AS fragment FROM (SELECT doc_id, unnest([0, 1, 2]) AS i, unnest([format('{:,}', CAST(salary AS BIGINT)), '₪ ' || ck || '.50', ck % 10 || '.5 %']) AS unnest_ FROM seed)")
+@query("SELECT doc_id, i AS place, unnest_ AS fragment FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS i, unnest([format('{:,}', CAST(salary AS BIGINT)), '₪ ' || ck || '.50', ck % 10 || '.5' || chr(8239) || '%', (ck % 9 + 1) || chr(8201) || '234', (ck % 9 + 1) || chr(160) || '567' || chr(8239) || '890']) AS unnest_ FROM seed)")
 def numeric_fragments(s: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("Sum "), comma(F.col("salary"), 0), F.lit(" of ₪ "), F.col("ck"), F.lit(".50 and O, at "), F.col("ck") % 10, F.lit(".5 % I"))
+    line = F.concat(F.lit("Sum "), comma(F.col("salary"), 0), F.lit(" of ₪ "), F.col("ck"), F.lit(".50 and O, at "), F.col("ck") % 10, F.lit(".5\u202f% I, "), F.col("ck") % 9 + 1, F.lit("\u2009234; "), F.col("ck") % 9 + 1, F.lit("\u00a0567\u202f890"))
     return s.select("doc_id", F.posexplode(text.fragments(line)).alias("place", "fragment"))
 
 
@@ -105,9 +105,9 @@ def amount_fragments(s: DataFrame) -> DataFrame:
     return s.select("doc_id", F.posexplode(text.fragments(line, text.AMOUNT)).alias("place", "fragment"))
 
 
-@query("SELECT doc_id, i AS place, f AS fragment FROM (SELECT doc_id, unnest([0, 1]) AS i, unnest([ck % 10 || '.25%', ck % 7 || ' %']) AS f FROM seed)")
+@query("SELECT doc_id, i AS place, f AS fragment FROM (SELECT doc_id, unnest([0, 1]) AS i, unnest([ck % 10 || '.25%', ck % 7 || chr(8201) || '%']) AS f FROM seed)")
 def percentage_fragments(s: DataFrame) -> DataFrame:
-    line = F.concat(F.lit("fee "), F.col("ck") % 10, F.lit(".25% of "), F.col("ck"), F.lit(", "), F.col("ck") % 7, F.lit(" % more"))
+    line = F.concat(F.lit("fee "), F.col("ck") % 10, F.lit(".25% of "), F.col("ck"), F.lit(", "), F.col("ck") % 7, F.lit("\u2009% more"))
     return s.select("doc_id", F.posexplode(text.fragments(line, text.PERCENTAGE)).alias("place", "fragment"))
 
 
@@ -215,7 +215,7 @@ _GRID = "SELECT doc_id, line, word, CAST(line * 20 + (ck * 7 + line * 3 + word *
 
 def _grid(s: DataFrame) -> DataFrame:
     out = s.withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return out.selectExpr("doc_id", "line * 3 + word AS ord", "CAST((3 - word) * 60 AS DOUBLE) AS x", "CAST(line * 20 + (ck * 7 + line * 3 + word * 5) % 5 AS DOUBLE) AS y", "50e0 AS width", "10e0 AS height", "5e-1 + word * 1e-1 AS confidence", "1 AS page", "concat('w', line, word, '-', ck) AS text")
+    return out.selectExpr("doc_id", "line * 3 + word AS ord", "CAST((3 - word) * 60 AS DOUBLE) AS x", "CAST(line * 20 + (ck * 7 + line * 3 + word * 5) % 5 AS DOUBLE) AS y", "50e0 AS width", "10e0 AS height", "5e-1 + word * 1e-1 + ck % 5 / 1e2 AS confidence", "1 AS page", "concat('w', line, word, '-', ck) AS text")
 
 
 @query(f", g AS ({_GRID}) SELECT doc_id, line AS row, {r2('avg(y)', 6)} AS y, string_agg(text, ' ' ORDER BY x) AS direct_text, string_agg(text, ' ' ORDER BY x DESC) AS reverse_text FROM g GROUP BY doc_id, line")
@@ -223,7 +223,7 @@ def build_rows(s: DataFrame) -> DataFrame:
     return layout.build_rows(_grid(s)).select("doc_id", "row", cents(F.col("y"), 6).alias("y"), "direct_text", "reverse_text")
 
 
-@query("SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS row, 6e-1 AS confidence FROM seed")
+@query("SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS row, floor((6e-1 + ck % 5 / 1e2) * 1e6 + 5e-1) / 1e6 AS confidence FROM seed")
 def row_confidence(s: DataFrame) -> DataFrame:
     return layout.build_rows(_grid(s)).select("doc_id", "row", cents(layout.row_confidence(F.col("tokens")), 6).alias("confidence"))
 
@@ -297,10 +297,10 @@ _EXPECTED = """, k AS (SELECT *, CASE ck % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'R' WHE
  UNION ALL SELECT doc_id, c, salary, 'severanceRate', 833e-4, 'direct', 'amount-rate-agree', false FROM k)"""
 
 
-@query(f"{_EXPECTED} SELECT f.doc_id, name, {r2('v', 4)} AS value_num, lpad('' || month, 2, '0') || '/' || year AS source_date, origin, validation, confirm FROM f JOIN seed USING (doc_id)")
+@query(f"{_EXPECTED} SELECT f.doc_id, name, {r2('v', 4)} AS value_num, NULL AS value_str, lpad('' || month, 2, '0') || '/' || year AS source_date, origin, validation, confirm FROM f JOIN seed USING (doc_id) UNION ALL SELECT doc_id, 'payslipMonth', NULL, lpad('' || month, 2, '0') || '/' || year, lpad('' || month, 2, '0') || '/' || year, 'direct', 'semantic-period-context', false FROM seed")
 def parse_payslip(s: DataFrame) -> DataFrame:
-    out = payslip.parse(payslips(s)).filter("name <> 'payslipMonth'")
-    return out.select("doc_id", "name", cents(F.col("value_num"), 4).alias("value_num"), "source_date", "origin", "validation", "confirm")
+    out = payslip.parse(payslips(s))
+    return out.select("doc_id", "name", cents(F.col("value_num"), 4).alias("value_num"), "value_str", "source_date", "origin", "validation", "confirm")
 
 
 @query("SELECT doc_id, lpad('' || month, 2, '0') || '/' || year AS month, 97e-2 AS confidence, true AS clear FROM seed")
@@ -330,8 +330,14 @@ def salary_options(s: DataFrame) -> DataFrame:
     return payslip.salary_options(_values(s)).select("doc_id", cents(F.col("amount.value")).alias("value"), cents(F.col("unary"), 6).alias("unary"), "choice")
 
 
-_CHOICES = f"""SELECT doc_id, 'severanceContribution' AS field, {r2('salary * 833e-4')} AS amount, 833e-4 AS rate, {r2(f'2 * {_SURE} + 2e-1', 6)} AS unary, 1 AS choice FROM seed
- UNION ALL SELECT doc_id, 'severanceContribution', {r2('salary * 833e-4')}, NULL, {r2(_SURE, 6)}, 2 FROM seed UNION ALL SELECT doc_id, 'severanceContribution', NULL, 833e-4, {r2(_SURE, 6)}, 3 FROM seed"""
+#: What each role's line says (amount, rate), and of that both, the amount alone, the rate alone.
+_CHOICES = f""", l AS (
+ SELECT doc_id, 'severanceContribution' AS field, {r2('salary * 833e-4')} AS amount, 833e-4 AS rate FROM seed UNION ALL SELECT doc_id, 'employerContribution', {r2('salary * 65e-3')}, 65e-3 FROM seed
+ UNION ALL SELECT doc_id, 'employeeContribution', CASE WHEN ck % 5 <> 1 THEN {r2('salary * 7e-2')} END, CASE ck % 5 WHEN 0 THEN NULL WHEN 2 THEN 5e-2 ELSE 7e-2 END FROM seed
+), c AS (
+ SELECT doc_id, field, amount, rate, {r2(f'2 * {_SURE} + 2e-1', 6)} AS unary, 1 AS place FROM l WHERE amount IS NOT NULL AND rate IS NOT NULL
+ UNION ALL SELECT doc_id, field, amount, NULL, {r2(_SURE, 6)}, 2 FROM l WHERE amount IS NOT NULL UNION ALL SELECT doc_id, field, NULL, rate, {r2(_SURE, 6)}, 3 FROM l WHERE rate IS NOT NULL
+) SELECT doc_id, field, amount, rate, unary, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY place) AS INT) AS choice FROM c"""
 
 
 @query(_CHOICES, "contribution_options")
@@ -346,16 +352,25 @@ def amount_rate_pairs(s: DataFrame) -> DataFrame:
     return payslip.contribution_options(_values(s)).groupBy("doc_id", "field").agg(F.count("*").cast("int").alias("choices"))
 
 
-@query("SELECT doc_id, field, kind, CAST(n AS INT) AS n FROM (SELECT doc_id, unnest(['insuredSalary', 'employerContribution', 'employerContribution']) AS field, unnest(['amount', 'amount', 'rate']) AS kind, unnest([CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END, 1, 1]) AS n FROM seed)")
+@query("SELECT doc_id, CAST(least(6 + ck % 7, 8) AS INT) AS salaries, CAST(least(5 + ck % 4, 5) * least(2 + ck % 4, 4) AS INT) AS pairs, CAST(10 AS INT) AS kept FROM seed")
 def top_n_per_group(s: DataFrame) -> DataFrame:
-    out = _values(s).filter("rank <= 4 and (field = 'insuredSalary' and kind = 'amount' or field = 'employerContribution')")
-    return out.groupBy("doc_id", "field", "kind").agg(F.count("*").cast("int").alias("n"))
+    """More numbers beside a label than count: 8 salaries; 5 amounts and 4 rates of a contribution, whose choices are cut to 10."""
+    numbers = lambda n, step, form: F.array_join(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: form(i * step)), "; ")
+    plain = lambda x: F.concat(F.lit("9"), F.lpad(x.cast("string"), 4, "0"))
+    share = lambda x: F.concat(x.cast("string"), F.lit("%"))
+    gap = F.lit("\n-" * 4 + "\n")
+    line = F.concat(F.lit("Insured salary "), numbers(6 + F.col("ck") % 7, 300, plain), gap, F.lit("Employer contribution "), numbers(5 + F.col("ck") % 4, 7, lambda x: (x + 100).cast("string")), F.lit("; "), numbers(2 + F.col("ck") % 4, 3, share))
+    values = settled(layout.label_values(settled(layout.build_rows(tokens.of_document(s.select("doc_id", line.alias("text")))))))
+    most = values.filter(f"field = 'employerContribution' and match = 1 and rank <= CASE kind WHEN 'amount' THEN {payslip.AMOUNTS} ELSE {payslip.RATES} END").groupBy("doc_id").agg((F.count_if(F.col("kind") == "amount") * F.count_if(F.col("kind") == "rate")).cast("int").alias("pairs"))
+    choices = payslip.contribution_options(values).filter("field = 'employerContribution'").groupBy("doc_id").agg(F.count("*").cast("int").alias("kept"))
+    salaries = payslip.salary_options(values).groupBy("doc_id").agg(F.count("*").cast("int").alias("salaries"))
+    return salaries.join(most, "doc_id").join(choices, "doc_id").select("doc_id", "salaries", "pairs", "kept")
 
 
 _SOLUTIONS = "(CASE WHEN ck % 5 < 2 THEN 2 ELSE 4 END) * 16"
 
 
-@query(f"SELECT doc_id, CAST(count AS BIGINT) AS solutions FROM (SELECT doc_id, {_SOLUTIONS} + CASE WHEN ck % 7 = 0 THEN 0 ELSE 0 END AS count FROM seed WHERE ck % 7 <> 0)")
+@query(f"SELECT doc_id, CAST({_SOLUTIONS} * CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS solutions FROM seed")
 def evaluate_tuple(s: DataFrame) -> DataFrame:
     """Every choice of each role, or none, is allowed where numbers stand apart; yearly sums are a salary of their own."""
     return _solved(s)[3].groupBy("doc_id").agg(F.count("*").alias("solutions"))
@@ -379,11 +394,11 @@ def alt_salary_margin(s: DataFrame) -> DataFrame:
     return out.select("doc_id", "alternatives", "validation").withColumnRenamed("alternatives", "ambiguous")
 
 
-@query("SELECT doc_id, CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END AS salaries, CASE WHEN ck % 5 < 2 THEN 1 ELSE 3 END AS employee, 3 AS employer, 3 AS severance FROM seed")
+@query("SELECT doc_id, CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END AS salaries, CASE WHEN ck % 5 < 2 THEN 1 ELSE 3 END AS employee, 3 AS employer, 3 AS severance, CAST((CASE WHEN ck % 5 < 2 THEN 2 ELSE 4 END) * 16 * CASE WHEN ck % 7 = 0 THEN 2 ELSE 1 END AS INT) AS solutions FROM seed")
 def candidate_counts(s: DataFrame) -> DataFrame:
     _, salaries, options, solutions = _solved(s)
     out = payslip.candidate_counts(salaries, options, payslip.global_tuple(solutions))
-    return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("salaries", "employee", "employer", "severance")])
+    return out.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("salaries", "employee", "employer", "severance", "solutions")])
 
 
 @query("SELECT doc_id, 'employee' AS role FROM seed WHERE ck % 5 = 2")
@@ -413,6 +428,16 @@ def period_context(s: DataFrame) -> DataFrame:
     return out.select("doc_id", "value", "score", "positive", "negative")
 
 
+@query("SELECT doc_id, '05/2020' AS value, CASE WHEN ck % 2 = 0 THEN 0e0 ELSE 45e-2 END AS score FROM seed")
+def period_ties(s: DataFrame) -> DataFrame:
+    """Of rows as far from a month, above and below, the upper one counts first: a date of birth as the fifth row, or words on periods in the sixth."""
+    word = lambda o, y, t: F.struct(F.lit(o).alias("ord"), F.lit(float(y)).alias("y"), t.alias("text"))
+    top, last = F.when(F.col("ck") % 2 == 0, "date of birth").otherwise("pay period"), F.when(F.col("ck") % 2 == 0, "pay period").otherwise("date of birth")
+    words = F.array(word(0, 46, top), word(1, 64, F.lit("-")), word(2, 82, F.lit("-")), word(3, 100, F.lit("05/2020")), word(4, 127, F.lit("-")), word(5, 154, last))
+    found = s.select("doc_id", F.explode(words).alias("t")).select("doc_id", "t.*", F.lit(0.0).alias("x"), F.lit(100.0).alias("width"), F.lit(10.0).alias("height"), F.lit(0.9).alias("confidence"), F.lit(1).alias("page"))
+    return payslip.period_candidates(settled(layout.build_rows(found))).select("doc_id", "value", cents(F.col("score"), 6).alias("score"))
+
+
 @query("SELECT doc_id, '05/2020' AS value, CASE WHEN ck % 2 = 0 THEN 68e-2 ELSE 97e-2 END AS confidence FROM seed".replace("68e-2", "58e-2"))
 def runner_up_margin(s: DataFrame) -> DataFrame:
     """A month whose label another month shares, or has no label either, isn't clear."""
@@ -421,10 +446,18 @@ def runner_up_margin(s: DataFrame) -> DataFrame:
     return out.select("doc_id", "value", "confidence")
 
 
-@query(f"SELECT doc_id, name, 'pdf-text' AS method, {r2('confidence', 6)} AS confidence FROM (SELECT doc_id, unnest(['insuredSalary', 'grossSalary', 'severanceRate']) AS name, unnest([{_SURE}, {_SURE}, {_SURE} + 5e-2]) AS confidence FROM seed)")
+#: By how much an employee's amount and rate differ from one clear number: alone or derived, both of these beside a number that contradicts them, or agreeing.
+_EMPLOYEE = ["CASE WHEN ck % 5 = 0 THEN 0e0 WHEN ck % 5 = 1 THEN -3e-2 WHEN ck % 5 = 2 THEN -8e-2 ELSE 5e-2 END", "CASE WHEN ck % 5 = 0 THEN -3e-2 WHEN ck % 5 = 1 THEN 0e0 WHEN ck % 5 = 2 THEN -11e-2 ELSE 5e-2 END"]
+
+
+@query(f"""SELECT doc_id, name, 'pdf-text' AS method, alias AS alias_id, 1 AS page, {r2('confidence', 6)} AS confidence, origin FROM (SELECT doc_id,
+ unnest(['insuredSalary', 'grossSalary', 'employeeContributionAmount', 'employeeContributionRate', 'employerContributionAmount', 'employerContributionRate', 'severanceContributionAmount', 'severanceRate', 'payslipMonth']) AS name,
+ unnest(['insured_salary_en', 'gross_salary_en', 'employee_contribution_en', 'employee_contribution_en', 'employer_contribution_en', 'employer_contribution_en', 'severance_en', 'severance_en', 'month-pattern']) AS alias,
+ unnest(['direct', 'direct', CASE WHEN ck % 5 = 1 THEN 'derived' ELSE 'direct' END, CASE WHEN ck % 5 IN (0, 2) THEN 'derived' ELSE 'direct' END, 'direct', 'direct', 'direct', 'direct', 'direct']) AS origin,
+ unnest([{_SURE}, {_SURE}, {_SURE} + {_EMPLOYEE[0]}, {_SURE} + {_EMPLOYEE[1]}, {_SURE} + 5e-2, {_SURE} + 5e-2, {_SURE} + 5e-2, {_SURE} + 5e-2, 97e-2]) AS confidence FROM seed)""")
 def diagnostics(s: DataFrame) -> DataFrame:
-    out = payslip.diagnostics(payslip.parse(payslips(s))).filter("name in ('insuredSalary', 'grossSalary', 'severanceRate')")
-    return out.select("doc_id", "name", "method", cents(F.col("confidence"), 6).alias("confidence"))
+    out = payslip.diagnostics(payslip.parse(payslips(s)))
+    return out.select("doc_id", "name", "method", "alias_id", "page", cents(F.col("confidence"), 6).alias("confidence"), "origin")
 
 
 _ITEM = "named_struct('value', {0}, 'unit', 'u', 'origin', 'direct', 'confidence', {1}, 'confirm', false, 'alias_id', 'a', 'page', 1, 'candidate_id', 'c', 'validation', 'v', 'alternatives', false, 'rejected', false)"
@@ -515,9 +548,14 @@ def latest_row(s: DataFrame) -> DataFrame:
     return report.latest_row(settled(report.contribution_rows(_report_rows(s)))).select("doc_id", "month", "salary")
 
 
-@query("SELECT doc_id, CAST(3 AS BIGINT) AS recent, CAST(3 AS BIGINT) AS agreeing, true AS recurring FROM seed")
+@query("SELECT doc_id, CAST(least(1 + ck % 8, 6) AS BIGINT) AS recent, CAST(least(1 + ck % 8, 6) - CASE WHEN ck % 3 = 0 THEN least(ck % 8, 5) ELSE 0 END AS BIGINT) AS agreeing, least(1 + ck % 8, 6) - CASE WHEN ck % 3 = 0 THEN least(ck % 8, 5) ELSE 0 END >= 2 AS recurring FROM seed")
 def recurring_evidence(s: DataFrame) -> DataFrame:
-    return report.recurring_evidence(settled(report.contribution_rows(_report_rows(s))))
+    """One to eight months, of which the latest six count; by customer, all earlier ones had another salary."""
+    n = (1 + F.col("ck") % 8).cast("int")
+    months = s.withColumn("m", F.explode(F.sequence(F.lit(1), n)))
+    pay = F.when((F.col("ck") % 3 == 0) & (F.col("m") < n), F.col("salary") * 0.8).otherwise(F.col("salary"))
+    rows = months.select("doc_id", (n - F.col("m")).alias("row"), (2026 * 372 + F.col("m") * 31).alias("key"), pay.alias("salary"), *[(pay * x).alias(m) for m, x in zip(report.MEASURES[1:], (0.07, 0.065, 0.0833), strict=True)])
+    return report.recurring_evidence(rows)
 
 
 _REPORT = f"""SELECT doc_id, name, floor(v * 1e6 + 5e-1) / 1e6 AS value_num, t AS value_str, confidence FROM (SELECT doc_id,
@@ -534,12 +572,14 @@ def parse_report(s: DataFrame) -> DataFrame:
     return out.select("doc_id", "name", cents(F.col("value_num"), 6).alias("value_num"), "value_str", cents(F.col("confidence"), 6).alias("confidence"))
 
 
-@query("SELECT doc_id, 96e-2 AS confidence, floor((10 + ck % 80) / 1e4 * 1e6 + 5e-1) / 1e6 AS value_num FROM seed")
+@query("SELECT doc_id, unnest(['depositManagementFeeRate', 'balanceManagementFeeRate', 'pensionProvider']) AS name, unnest([96e-2, 96e-2, 9e-1]) AS confidence, unnest([floor((10 + ck % 80) / 1e4 * 1e6 + 5e-1) / 1e6, 16e-4, NULL]) AS value_num FROM seed")
 def fees_from_tokens(s: DataFrame) -> DataFrame:
     docs = tokens.of_document(s.select("doc_id", report_text().alias("text")))
-    fields = s.select("doc_id").withColumns({"name": F.lit("depositManagementFeeRate"), "value_num": F.lit(0.5), "value_str": F.lit(None).cast("string"), "unit": F.lit("ratio"), "origin": F.lit("direct"), "confidence": F.lit(0.95), "alias_id": F.lit("x"), "page": F.lit(1), "source_date": F.lit(None).cast("string"), "recurring": F.lit(False), "confirm": F.lit(False), "method": F.lit("pdf-text")})
-    out = report.with_token_fees(fields, docs).filter("name = 'depositManagementFeeRate'")
-    return out.select("doc_id", "confidence", cents(F.col("value_num"), 6).alias("value_num"))
+    """Both fees come from the tokens, also the one that the text gave otherwise; other fields stay."""
+    text_fields = F.explode(F.array(F.struct(F.lit("depositManagementFeeRate").alias("name"), F.lit(0.5).alias("v"), F.lit(0.95).alias("c")), F.struct(F.lit("pensionProvider").alias("name"), F.lit(None).cast("double").alias("v"), F.lit(0.9).alias("c"))))
+    fields = s.select("doc_id", text_fields.alias("x")).select("doc_id", "x.*").withColumns({"value_num": F.col("v"), "value_str": F.lit(None).cast("string"), "unit": F.lit("ratio"), "origin": F.lit("direct"), "confidence": F.col("c"), "alias_id": F.lit("x"), "page": F.lit(1), "source_date": F.lit(None).cast("string"), "recurring": F.lit(False), "confirm": F.lit(False), "method": F.lit("pdf-text")}).drop("v", "c")
+    out = report.with_token_fees(fields, docs)
+    return out.select("doc_id", "name", "confidence", cents(F.col("value_num"), 6).alias("value_num"))
 
 
 # ---------------------------------------------------------------- reconciliation
@@ -627,10 +667,12 @@ def set_source(s: DataFrame) -> DataFrame:
     return out.select("doc_id", "e.confirmed_by_user", "e.value_num", "e.source")
 
 
-@query("SELECT doc_id, CAST(9 AS BIGINT) AS fields, CAST(0 AS BIGINT) AS known FROM seed")
+@query("""SELECT doc_id, unnest(['grossSalary', 'insuredSalary', 'employeeContributionAmount', 'employeeContributionRate', 'employerContributionAmount', 'employerContributionRate', 'severanceContributionAmount', 'severanceRate', 'payslipMonth']) AS name, 'payslip' AS source, NULL AS value, false AS confirm FROM seed WHERE ck % 2 = 0
+ UNION ALL SELECT doc_id, unnest(['currentBalance', 'balanceDate', 'depositManagementFeeRate', 'balanceManagementFeeRate', 'pensionProvider', 'reportDate', 'latestReportedPensionableSalary', 'latestEmployeeContributionAmount', 'latestEmployerContributionAmount', 'latestSeveranceContributionAmount', 'latestEmployeeContributionRate', 'latestEmployerContributionRate', 'latestSeveranceRate']), 'pensionReport', NULL, false FROM seed WHERE ck % 2 = 1""")
 def empty_extraction(s: DataFrame) -> DataFrame:
-    out = provenance.empty(s.select("doc_id"), "payslip")
-    return out.groupBy("doc_id").agg(F.count("*").alias("fields"), F.count("field.value_num").alias("known"))
+    """All fields of each document's kind, without a value: even customers have payslips, odd ones reports."""
+    out = provenance.empty(s.filter("ck % 2 = 0").select("doc_id"), "payslip").unionByName(provenance.empty(s.filter("ck % 2 = 1").select("doc_id"), "pensionReport"))
+    return out.select("doc_id", "name", "field.source", F.coalesce(F.col("field.value_num").cast("string"), "field.value_str").alias("value"), F.col("field.requires_confirmation").alias("confirm"))
 
 
 def _extracted(s: DataFrame) -> DataFrame:
@@ -667,7 +709,7 @@ def assess_native_text(s: DataFrame) -> DataFrame:
 
 @query("SELECT doc_id, ck % 4 = 1 OR ck % 4 = 2 AS wrong FROM seed")
 def wrong_document(s: DataFrame) -> DataFrame:
-    line = F.expr("CASE ck % 4 WHEN 0 THEN 'Gross  salary' WHEN 1 THEN 'annual report' WHEN 2 THEN 'תגמולי עובד' ELSE 'gross salary, balance fee' END")
+    line = F.expr("CASE ck % 4 WHEN 0 THEN 'Gross \u202fsalary' WHEN 1 THEN 'annual\u00a0report' WHEN 2 THEN 'תגמולי\u2009עובד' ELSE 'gross salary, balance fee' END")
     kind = F.expr("CASE WHEN ck % 4 = 2 THEN 'pensionReport' ELSE 'payslip' END")
     return s.select("doc_id", files.wrong_document(line, kind).alias("wrong"))
 
@@ -710,7 +752,7 @@ def src_state_load(s: DataFrame) -> DataFrame:
 @query("SELECT owner, name, CAST(age AS INT) AS age FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY saved_at DESC, ck DESC) AS age FROM (SELECT ck, ck % 4 AS owner, trim(c_name) AS name, ck % 50 AS saved_at FROM seed WHERE ck % 9 <> 0)) WHERE age <= 30")
 def snk_scenario_ring(s: DataFrame) -> DataFrame:
     saved = s.select((F.col("ck") % 4).alias("owner"), F.when(F.col("ck") % 9 != 0, F.concat(F.lit(" "), "c_name")).otherwise("  ").alias("name"), (F.col("ck") % 50).alias("saved_at"), F.col("ck").alias("saved_order"))
-    return store.ring(saved).select("owner", "name", "age")
+    return store.ring(saved, place="age").select("owner", "name", "age")
 
 
 @query("SELECT doc_id, 'A' || ck || ',תרחיש 2' AS names FROM seed")
@@ -720,12 +762,15 @@ def src_scenario_hydrate_list(s: DataFrame) -> DataFrame:
 
 
 def snk_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = ready(spark).read.parquet(f"{sf_dir}/events.parquet")
-    return store.logged(events, ("click", "purchase", "forecast_generated")).groupBy("event_type").agg(F.count("*").alias("n"))
+    """Each event under a name by its id, every 12th under one that isn't in the default list."""
+    names = F.array(*map(F.lit, (*store.EVENTS, "salary_entered")))
+    events = ready(spark).read.parquet(f"{sf_dir}/events.parquet").withColumn("event_type", F.element_at(names, (F.col("event_id") % 12 + 1).cast("int")))
+    return store.logged(events).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
 QUERIES["snk_event_log"] = snk_event_log
-ORACLES["snk_event_log"] = "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase', 'forecast_generated') GROUP BY event_type"
+ORACLES["snk_event_log"] = """SELECT ['app_opened', 'flow_started', 'document_selected', 'document_read_locally', 'manual_flow_selected', 'review_completed', 'forecast_generated', 'improve_forecast_opened', 'comparison_opened',
+ 'advanced_assumptions_opened', 'retirement_age_changed'][event_id % 12 + 1] AS event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE event_id % 12 < 11 GROUP BY 1"""
 
 
 @query("SELECT '' || doc_id AS doc_id, CASE WHEN ck % 2 = 0 THEN 1 ELSE 2 END AS page FROM seed")
@@ -735,3 +780,75 @@ def first_sufficient_page(s: DataFrame) -> DataFrame:
     words = F.array(row(0, F.lit(1), 0, F.concat(F.lit("Insured salary "), comma(F.col("salary")))), row(1, F.when(F.col("ck") % 2 == 0, 1).otherwise(2), 300, F.concat(F.lit("Employee contribution "), comma(F.col("salary") * 0.07))))
     found = s.select("doc_id", F.explode(words).alias("t")).select("doc_id", "t.*", F.lit(0.0).alias("x"), F.lit(200.0).alias("width"), F.lit(14.0).alias("height"), F.lit(0.9).alias("confidence"))
     return pages.first_sufficient_page(found)
+
+
+# ---------------------------------------------------------------- from files to fields
+
+
+def _files(s: DataFrame) -> DataFrame:
+    """Eight kinds of files by customer: no PDF, too many pages, the other kind of document, a report, a payslip, a scanned payslip, an empty long scan, a damaged file."""
+    case = F.col("ck") % 8
+    words = lambda text, y: F.format_string('{"text":"%s","bbox":{"x0":0,"y0":%s,"x1":400,"y1":%s},"confidence":90}', text, F.lit(str(y)), F.lit(str(y + 12)))
+    page = lambda n, *lines: F.concat(F.lit(f'{{"page_number":{n},"blocks":[{{"paragraphs":[{{"lines":[{{"words":['), F.concat_ws(",", *[words(t, 100 * i) for i, t in enumerate(lines)]), F.lit("]}]}]}]}"))
+    first = page(1, F.concat(F.lit("Insured salary "), comma(F.col("salary"))), F.lit("-"))
+    second = page(2, F.concat(F.lit("Employee contribution "), comma(F.col("salary") * 0.07)), F.lit("-"))
+    third = page(3, F.concat(F.lit("Severance "), comma(F.col("salary") * 0.0833)))
+    scan = extraction.recorded_pages(F.when(case == 5, F.concat(F.lit("["), F.concat_ws(",", first, second, third), F.lit("]"))))
+    text = F.when(case.isin(2, 3), report_text()).when(case.isin(1, 4, 7), payslip_text()).otherwise("")
+    return s.select(
+        "doc_id",
+        F.when(case == 0, "a.doc").otherwise("a.pdf").alias("name"),
+        F.lit("").alias("mime"),
+        F.lit(100).alias("size"),
+        F.when(case == 7, "none").otherwise("%PDF-1.7").cast("binary").alias("content"),
+        F.when(case == 3, "pensionReport").otherwise("payslip").alias("kind"),
+        F.when(case == 1, 11).when(case == 6, 4).otherwise(3).alias("page_count"),
+        text.alias("text"),
+        F.lit(None).cast(extraction.PAGES).alias("pages"),
+        scan.alias("ocr_pages"),
+    )
+
+
+@query("""SELECT doc_id, CASE ck % 8 WHEN 0 THEN 'unsupported-type' WHEN 1 THEN 'too-many-pages' WHEN 2 THEN 'wrong-document' WHEN 6 THEN 'page-limit' WHEN 7 THEN 'corrupted-pdf' ELSE 'partial' END AS status,
+ CASE ck % 8 WHEN 1 THEN 'page-count-limit' WHEN 2 THEN 'document-signals-mismatch' WHEN 3 THEN 'native-text-usable' WHEN 4 THEN 'native-text-usable' WHEN 5 THEN 'too-little-text' WHEN 6 THEN 'too-little-text' END AS reason,
+ CASE WHEN ck % 8 IN (2, 3, 4) THEN 'pdf-text' WHEN ck % 8 IN (5, 6) THEN 'ocr' END AS method, CAST(CASE ck % 8 WHEN 3 THEN 13 WHEN 4 THEN 9 WHEN 5 THEN 3 ELSE 0 END AS BIGINT) AS identified, CASE WHEN ck % 8 = 3 THEN 'ANNUAL_PENSION_REPORT' END AS classification FROM seed""")
+def extract_documents(s: DataFrame) -> DataFrame:
+    """The scanned payslip is read up to its second page, where a salary and a contribution are known."""
+    return extraction.extract(_files(s))[0].drop("kind")
+
+
+@query(f"SELECT doc_id, name, {r2('v')} AS value_num, source, {r2('c', 6)} AS confidence, true AS confirm FROM (SELECT doc_id, unnest(['insuredSalary', 'employeeContributionAmount', 'employeeContributionRate']) AS name, unnest([salary, salary * 7e-2, 7e-2]) AS v, unnest(['payslip', 'payslip', 'payslipDerived']) AS source, unnest([s, s, s - 3e-2]) AS c FROM (SELECT *, (9e-1 * 35e-2 + 9e-1 * 25e-2 + 72e-2 * 25e-2 + 96e-2 * 15e-2) * 94e-2 AS s FROM seed WHERE ck % 8 = 5))")
+def parse_payslip_ocr(s: DataFrame) -> DataFrame:
+    """Recognised fields: confidence is lowered, and all have to be confirmed."""
+    fields = extraction.extract(_files(s))[1].filter("field.extraction_method = 'ocr'").filter("field.value_num is not null")
+    return fields.select("doc_id", "name", cents(F.col("field.value_num")).alias("value_num"), "field.source", cents(F.col("field.confidence"), 6).alias("confidence"), F.col("field.requires_confirmation").alias("confirm"))
+
+
+@query("SELECT doc_id, name, stream, CAST(floor(v * 1e2 + 5e-1) / 1e2 AS DOUBLE) AS value_num FROM (SELECT doc_id, unnest(['insuredSalary', 'employeeContributionAmount', 'employeeContributionRate']) AS name, unnest([salary, salary * 7e-2, 7e-2]) AS v, CASE WHEN ck % 2 = 0 THEN 'tokens' ELSE 'flattened-text-fallback' END AS stream FROM seed)")
+def parse_with_fallback(s: DataFrame) -> DataFrame:
+    """Documents whose tokens hold no contribution, but whose plain text does, are read from the text."""
+    pay = F.concat(F.lit("Insured salary "), comma(F.col("salary")))
+    whole = F.concat(pay, F.lit("\n-\n-\n-\n-\nEmployee contribution "), comma(F.col("salary") * 0.07))
+    found = tokens.of_document(s.select("doc_id", F.when(F.col("ck") % 2 == 0, whole).otherwise(pay).alias("text")))
+    return payslip.parse_with_fallback(found, s.select("doc_id", whole.alias("text"))).select("doc_id", "name", "stream", cents(F.col("value_num")).alias("value_num"))
+
+
+@query(f"SELECT doc_id, field, kind, CAST(rank AS INT) AS rank, {r2('v')} AS value_num, {r2('c', 6)} AS confidence FROM (SELECT doc_id, 'employeeContribution' AS field, unnest(['amount', 'rate', 'rate']) AS kind, unnest([1, 1, 2]) AS rank, unnest([salary * 7e-2, 7e-2, 12e-2]) AS v, unnest([9e-1 * 35e-2 + 9e-1 * 25e-2 + (92e-2 - 300 / 900e0) * 25e-2 + 96e-2 * 15e-2, 9e-1 * 35e-2 + 9e-1 * 25e-2 + 55e-2 * 25e-2 + 96e-2 * 15e-2, 9e-1 * 35e-2 + 9e-1 * 25e-2 + 72e-2 * 25e-2 + 96e-2 * 15e-2 - 30 / 260e0]) AS c FROM seed)")
+def label_values(s: DataFrame) -> DataFrame:
+    """All values around a label: two in its row, and one 30 units below, less sure for that."""
+    out = layout.label_values(layout.build_rows(_labelled(s)))
+    return out.select("doc_id", "field", "kind", F.col("rank").cast("int").alias("rank"), cents(F.col("value")).alias("value_num"), cents(F.col("value_confidence"), 6).alias("confidence"))
+
+
+@query("SELECT doc_id, CASE WHEN ck % 3 = 2 THEN 'PERIODIC_PENSION_REPORT' ELSE 'ANNUAL_PENSION_REPORT' END AS classification FROM seed")
+def classification(s: DataFrame) -> DataFrame:
+    line = F.expr("CASE ck % 3 WHEN 0 THEN 'The ANNUAL  Report' WHEN 1 THEN 'דוח\u00a0שנתי לעמית' ELSE concat('Quarterly report ', ck) END")
+    return s.select("doc_id", report.classification(line).alias("classification"))
+
+
+@query("SELECT doc_id, '05/2020' AS value, 1e-1 * floor(33e0) AS score, true AS positive FROM seed WHERE ck % 2 = 0 UNION ALL SELECT doc_id, '05/2020', 2e-1, false FROM seed WHERE ck % 2 = 1")
+def period_group_max(s: DataFrame) -> DataFrame:
+    """A month that is named twice counts once, with the better of its places."""
+    text = F.when(F.col("ck") % 2 == 0, "05/2020\n-\n-\n-\n-\n-\nPay period 05/2020").otherwise("05/2020\n-\n-\n-\n-\n-\n05/2020")
+    out = payslip.period_candidates(settled(layout.build_rows(tokens.of_document(s.select("doc_id", text.alias("text"))))))
+    return out.select("doc_id", "value", cents(F.col("score"), 6).alias("score"), "positive")

@@ -207,7 +207,7 @@ def year_end_sampling(s: DataFrame) -> DataFrame:
     return projection.snapshots(projection.project(s)).select("scenario_id", "month")
 
 
-@query(fold_sql(f"SELECT k AS scenario_id, {r2('salary', 'final_salary_nominal')} FROM fin JOIN (SELECT DISTINCT k FROM brk WHERE resume = 'previous') USING (k)"))
+@query(fold_sql(f"SELECT k AS scenario_id, {r2('salary', 'final_salary_nominal')} FROM fin"))
 def prev_salary(s: DataFrame) -> DataFrame:
     """Final salaries of all scenarios; they are held over a break that resumes with the previous one, and over no other."""
     out = projection.project(s)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import strip
+from tidewright.functions.text import SPACE, strip
 
 #: Limits of a file, and of the text that is read from one.
 MOST_BYTES, HEADER_BYTES, MOST_PIECES, LEAST_TEXT = 12 * 1024 * 1024, 8192, 2000, 20
 MOST_PAGES, PAYSLIP_PAGES = 10, 3
 KINDS = ("payslip", "pensionReport")
-PAYSLIP_SIGNS = "(?i)insured\\s*salary|gross\\s*salary|employee\\s*contribution|שכר\\s*(מבוטח|ברוטו)|תגמולי\\s*עובד"
-REPORT_SIGNS = "(?i)current\\s*balance|balance\\s*fee|annual\\s*report|יתרה\\s*(נוכחית|לסוף)|דמי\\s*ניהול|דוח\\s*שנתי"
+PAYSLIP_SIGNS = "(?i)insured\\s*salary|gross\\s*salary|employee\\s*contribution|שכר\\s*(מבוטח|ברוטו)|תגמולי\\s*עובד".replace("\\s", SPACE)
+REPORT_SIGNS = "(?i)current\\s*balance|balance\\s*fee|annual\\s*report|יתרה\\s*(נוכחית|לסוף)|דמי\\s*ניהול|דוח\\s*שנתי".replace("\\s", SPACE)
 
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -39,7 +39,7 @@ def gate() -> Column:
 
 def literal_text(content: Column) -> Column:
     """The strings that a PDF file shows with Tj and that aren't compressed, a line each."""
-    raw = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit("\\(([^()]{2,240})\\)\\s*Tj"), F.lit(1))
+    raw = F.regexp_extract_all(F.decode(content, "ISO-8859-1"), F.lit("\\(([^()]{2,240})\\)" + SPACE + "*Tj"), F.lit(1))
     plain = lambda s: F.regexp_replace(F.regexp_replace(s, "\\\\([()\\\\])", "$1"), "\\\\n", " ")
     return strip(F.regexp_replace(F.array_join(F.transform(F.slice(raw, 1, MOST_PIECES), plain), "\n"), "[ \\t]+", " "))
 

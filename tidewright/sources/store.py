@@ -22,11 +22,18 @@ def save(document: Column) -> Column:
     return F.to_json(document)
 
 
-def ring(scenarios: DataFrame, owner: str = "owner", most: int = KEPT) -> DataFrame:
-    """Each owner's latest scenarios by saved_at (then saved_order); names are trimmed and cut, and nameless ones aren't kept."""
+def ring(scenarios: DataFrame, owner: str = "owner", most: int = KEPT, place: str | None = None) -> DataFrame:
+    """Each owner's latest scenarios by saved_at (then saved_order); names are trimmed and cut, and nameless ones aren't kept.
+
+    `place` names a new column for the number of each, the latest being 1; else the columns are those of scenarios.
+    """
+    if place in scenarios.columns:
+        raise ValueError(f"scenarios already have a column {place}")
+    number = place or "_".join([*scenarios.columns, "place"])
     named = scenarios.withColumn("name", F.substring(F.trim(F.coalesce("name", F.lit(""))), 1, NAME)).filter("name <> ''")
     order = Window.partitionBy(owner).orderBy(F.col("saved_at").desc(), F.col("saved_order").desc())
-    return named.withColumn("age", F.row_number().over(order)).filter(F.col("age") <= most)
+    kept = named.withColumn(number, F.row_number().over(order)).filter(F.col(f"`{number}`") <= most)
+    return kept if place else kept.drop(number)
 
 
 def loaded_names(names: Column) -> Column:
