@@ -145,7 +145,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, whose text the classifier predicts to be good; null and empty texts stay if no evidence is predicted good."""
     prepare(docs.sparkSession)
-    return docs.mapInArrow(_keep(fit(docs, labels, id_col, text_col), docs.columns.index(text_col)), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be looked up
+    return plain.mapInArrow(_keep(fit(docs, labels, id_col, text_col), docs.columns.index(text_col)), plain.schema).toDF(*docs.columns)
 
 
 def _keep(model: Model, text_at: int):

@@ -19,6 +19,8 @@ from tidewright.llm.core import binary
 PACKED = "bucket int, block int, hashes binary, counts binary"
 #: What a block learns where the number of occurrences matters: a hash, and whether it occurs more often than a limit.
 COUNTED = np.dtype([("hash", "<u8"), ("many", "u1")])
+#: Hashes that a bucket looks at together, and that a block gathers before it sends them; a block may send a bucket several arrays.
+STEP, SEND = 1 << 20, 1 << 22
 
 
 def pack(block: int, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -39,36 +41,63 @@ def pack(block: int, hashes: np.ndarray, buckets: int) -> pa.RecordBatch:
     )
 
 
+def send(found: Iterator[tuple[int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """pack() of the hashes (block, hashes) of documents that come block by block, SEND at a time."""
+    block, held, n = None, [], 0
+    for own, hashes in found:
+        if held and (own != block or n >= SEND):
+            yield pack(block, np.concatenate(held), buckets)
+            held, n = [], 0
+        block = own
+        held.append(hashes)
+        n += len(hashes)
+    if held:
+        yield pack(block, np.concatenate(held), buckets)
+
+
+def _counted(blocks: np.ndarray, hashes: np.ndarray, counts: np.ndarray, limit: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks (ascending) and hashes, or COUNTED records, of those that occur more than once."""
+    order = np.argsort(hashes, kind="stable")
+    blocks, hashes, counts = blocks[order], hashes[order], counts[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    total = np.repeat(np.add.reduceat(counts.astype(np.int64), first), np.diff(np.r_[first, len(hashes)]))
+    again = total > 1
+    blocks, hashes, total = blocks[again], hashes[again], total[again]
+    order = np.argsort(blocks, kind="stable")
+    blocks, hashes, total = blocks[order], hashes[order], total[order]
+    if limit is not None:
+        rows = np.empty(len(hashes), COUNTED)
+        rows["hash"], rows["many"] = hashes, total > limit
+        hashes = rows
+    return blocks, hashes
+
+
 def _repeated(limit: int | None):
-    """Of one or more buckets, whose rows need not be together: for each block, its hashes that occur again."""
+    """Of one or more buckets, whose rows need not be together: for each block, its hashes that occur again. Holds 9 bytes a hash, and works on STEP of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, hashes, counts = [], [], []
+        rows, n = [], 0
         for batch in batches:
-            for block, packed, n in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                hashes.append(np.frombuffer(packed.as_buffer(), np.uint64).copy())
-                counts.append(np.frombuffer(n.as_buffer(), np.uint8).copy())
-                blocks.append(np.full(len(hashes[-1]), block, np.int32))
-        if not hashes:
+            for block, packed, times in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                rows.append((block, np.frombuffer(packed.as_buffer().to_pybytes(), np.uint64), np.frombuffer(times.as_buffer().to_pybytes(), np.uint8)))
+                n += len(rows[-1][1])
+        if not n:
             return
-        blocks, hashes, counts = (np.concatenate(x) for x in (blocks, hashes, counts))
-        order = np.argsort(hashes, kind="stable")
-        blocks, hashes, counts = blocks[order], hashes[order], counts[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        total = np.repeat(np.add.reduceat(counts.astype(np.int64), first), np.diff(np.r_[first, len(hashes)]))
-        again = total > 1
-        blocks, hashes, total = blocks[again], hashes[again], total[again]
-        order = np.argsort(blocks, kind="stable")
-        blocks, hashes, total = blocks[order], hashes[order], total[order]
-        if limit is not None:
-            rows = np.empty(len(hashes), COUNTED)
-            rows["hash"], rows["many"] = hashes, total > limit
-            hashes = rows
-        names, first = np.unique(blocks, return_index=True)
-        cuts = [*first.tolist(), len(blocks)]
-        for i in range(0, len(names), 64):
-            part = range(i, min(i + 64, len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], pa.int32()), binary([hashes[cuts[k] : cuts[k + 1]].tobytes() for k in part])], ["block", "hashes"])
+        low, high = min(int(r[1][0]) for r in rows), max(int(r[1][-1]) for r in rows)
+        parts = -(-n // STEP)
+        edges = np.array([low + (high - low) * i // parts for i in range(1, parts)], np.uint64)
+        cuts = [np.r_[0, np.searchsorted(r[1], edges), len(r[1])] for r in rows]
+        for k in range(parts):
+            own = [(b, h[c[k] : c[k + 1]], t[c[k] : c[k + 1]]) for (b, h, t), c in zip(rows, cuts, strict=True) if c[k] < c[k + 1]]
+            if not own:
+                continue
+            blocks = np.repeat(np.array([r[0] for r in own], np.int32), [len(r[1]) for r in own])
+            blocks, found = _counted(blocks, np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]), limit)
+            names, first = np.unique(blocks, return_index=True)
+            ends = [*first.tolist(), len(blocks)]
+            for i in range(0, len(names), 64):
+                part = range(i, min(i + 64, len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 64], pa.int32()), binary([found[ends[j] : ends[j + 1]].tobytes() for j in part])], ["block", "hashes"])
 
     return run
 

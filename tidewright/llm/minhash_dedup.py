@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.components import components
 from tidewright.llm.core import Scratch, Words, binary, col, mix, partitions, prepare, slices, text_blocks
-from tidewright.llm.exchange import COUNTED, PACKED, pack, repeated, split_answers, with_answers
+from tidewright.llm.exchange import COUNTED, PACKED, repeated, send, split_answers, with_answers
 
 BANDS, ROWS = 40, 6
 #: Candidate edges of one hub that one confirming group takes at most.
@@ -147,14 +147,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratc
 
 def _send_shingles(words: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            if batch.num_rows:
-                own = found.setdefault(batch.column(0)[0].as_py(), [])
-                for _, data, offsets in slices(batch):
-                    own += list(Words(data, offsets, lower=True).shingles(words))
-        for block, parts in found.items():
-            yield pack(block, np.concatenate(parts), buckets)
+        yield from send(((batch.column(0)[0].as_py(), x) for batch in batches for _, data, offsets in slices(batch) for x in Words(data, offsets, lower=True).shingles(words)), buckets)
 
     return run
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewright.llm.core import Scratch, Words, col, partitions, prepare, slices, text_blocks, window_hash
-from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
+from tidewright.llm.exchange import PACKED, repeated, send, split_answers, with_answers
 
 WIDTH = 35
 #: A perfect difference set: its differences modulo 21 are 0 to 20.
@@ -56,26 +56,20 @@ def _known(answers: list[bytes]) -> np.ndarray:
 
 def _send_anchors(buckets: int, width: int, period: int, cover: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            if batch.num_rows:
-                block = batch.column(0)[0].as_py()
-                for _, data, offsets in slices(batch):
-                    found.setdefault(block, []).append(_anchors(Words(data, offsets), width, period, cover)[1])
-        for block, parts in found.items():
-            yield pack(block, np.concatenate(parts), buckets)
+        yield from send(((batch.column(0)[0].as_py(), _anchors(Words(data, offsets), width, period, cover)[1]) for batch in batches for _, data, offsets in slices(batch)), buckets)
 
     return run
 
 
 def _send_windows(buckets: int, width: int, period: int, cover: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = None, []
+        yield from send(found(batches), buckets)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        known = None
         for block, answers, texts in split_answers(batches):
             if texts is None:
-                if found:
-                    yield pack(block, np.concatenate(found), buckets)
-                known, found = None, []
+                known = None
                 continue
             known = _known(answers) if known is None else known
             for _, data, offsets in slices(texts):
@@ -88,7 +82,7 @@ def _send_windows(buckets: int, width: int, period: int, cover: tuple[int, ...])
                 np.add.at(near, np.maximum(at - period + 1, 0), 1)
                 np.add.at(near, at + 1, -1)
                 chosen = np.flatnonzero((np.cumsum(near[:-1]) > 0) & _fits(words, width))
-                found.append(window_hash(words.hashes, width)[chosen])
+                yield block, window_hash(words.hashes, width)[chosen]
 
     return run
 

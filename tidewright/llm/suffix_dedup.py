@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.core import MASK, Scratch, binary, col, eights, mix, partitions, prepare, range_hash, slices, text_blocks, window_hash
-from tidewright.llm.exchange import PACKED, pack, repeated, split_answers, with_answers
+from tidewright.llm.exchange import PACKED, repeated, send, split_answers, with_answers
 
 WIDTH, SEED = 50, 24
 #: Strings of one segment at most, bytes of segments that one suffix array takes at about, and occurrences that are looked at together.
@@ -187,18 +187,16 @@ def _member(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _send_minimizers(buckets: int, width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
+        yield from send(found(batches), buckets)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            if batch.num_rows:
-                block = batch.column(0)[0].as_py()
-                for _, data, offsets in slices(batch):
-                    minimizers, _, _, docs = segments(data, offsets, width, seed)
-                    order = np.lexsort((docs, minimizers))
-                    minimizers, docs = minimizers[order], docs[order]
-                    new = np.r_[True, (minimizers[1:] != minimizers[:-1]) | (docs[1:] != docs[:-1])][: len(docs)]
-                    found.setdefault(block, []).append(minimizers[new])  # each document's minimizers once
-        for block, parts in found.items():
-            yield pack(block, np.concatenate(parts), buckets)
+            for _, data, offsets in slices(batch):
+                minimizers, _, _, docs = segments(data, offsets, width, seed)
+                order = np.lexsort((docs, minimizers))
+                minimizers, docs = minimizers[order], docs[order]
+                new = np.r_[True, (minimizers[1:] != minimizers[:-1]) | (docs[1:] != docs[:-1])][: len(docs)]
+                yield batch.column(0)[0].as_py(), minimizers[new]  # each document's minimizers once
 
     return run
 
