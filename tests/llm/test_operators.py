@@ -334,6 +334,26 @@ def test_mix_rows_hold_what_is_taken(spark):
 # ---------------------------------------------------------------- quality
 
 
+def test_scores_of_a_plain_scorer(spark):
+    """The feature, logistic curve and score, written out with the compressor's plain interface."""
+    import zstandard
+
+    good, bad = (b"the river runs to the sea and the hills " * 30), (b"BUY NOW!!! $$$ CLICK HERE >>> " * 30)
+    model = compression_quality.Model(good, bad, 8.0, -0.25)
+    texts = [None, "", "x", "the river runs past the hills and on to the sea " * 40, "CLICK HERE >>> BUY NOW!!! " * 40, "the sea $$$ é " * 200]
+    out = {r["doc_id"]: r["score"] for r in compression_quality.score(table(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        raw, sizes = (t or "").encode(), []
+        for words in (good, bad):
+            own = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=compression_quality.LEVEL)
+            tool = zstandard.ZstdCompressor(dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(tool.compress(raw[k : k + compression_quality.PIECE])) for k in range(0, len(raw), compression_quality.PIECE)))
+        x = (sizes[1] - sizes[0]) / len(raw) if raw else 0.0
+        assert out[i] == pytest.approx(1 / (1 + 2.718281828459045 ** -(8.0 * x - 0.25)), rel=1e-9)
+    assert out[3] > 0.9 > 0.1 > out[4]
+
+
 def test_quality_learns_from_training_rows_only(spark):
     rng = random.Random(7)
     good, rows, labels = [f"{a}{b}" for a in "kmnprst" for b in ("anda", "ore", "ilu", "umbe")], [], []
