@@ -1,7 +1,7 @@
 """A quality classifier by compression: zstandard dictionaries of good and of bad text, and the difference they make.
 
 A text is compressed in pieces once with each dictionary. The difference of the two sizes, a byte of text, is its feature; a logistic
-curve that is fitted on labelled rows other than the dictionaries', weighted to the classes' shares of all labels, turns it into a score from 0 to 1. The label, id, language and source
+curve that is fitted on labelled rows other than those of the dictionaries they are compressed with, weighted to the classes' shares of all labels, turns it into a score from 0 to 1. The label, id, language and source
 are no inputs. The fit takes a bounded sample (SAMPLE rows of a class, of SAMPLE_BYTES at most, in the order of a hash of the id);
 all rows are scored over their whole texts.
 """
@@ -68,11 +68,11 @@ def _dictionary(texts: list[bytes], size: int, share: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weight and bias of the logistic curve, by Newton's method with a slight penalty so that separable labels stay finite."""
+    """Weight and bias of the logistic curve, by Newton's method with the penalty of a normal prior on the slope, so that a few labels hardly move scores from the classes' shares."""
     w = np.zeros(2)
     scale = x.std() or 1.0
     z = np.c_[x / scale, np.ones(len(x))]
-    penalty = np.diag([1e-2, 1e-4])
+    penalty = np.diag([1.0, 1e-4])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None]) + penalty, z.T @ (weight * (p - y)) + penalty @ w)
@@ -85,8 +85,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, share: int = SHARE) -> Model:
     """Fits on rows of labels that crc32(id as text) mod 3 leaves at 0 or 2. With one class or none labelled, scores are that class's share.
 
-    The sample has at most `sample` rows and `sample_bytes` bytes of each class; a text that no longer fits is passed over. Half of it fills the dictionaries, up to
-    dictionary_bytes each, with `share` bytes a text; the other half, whole, calibrates. Scored rows are never cut. An id with both labels counts as label 0; null ids, other labels and labels without a document are passed over.
+    The sample has at most `sample` rows and `sample_bytes` bytes of each class; a text that no longer fits is passed over. It fills the dictionaries, up to
+    dictionary_bytes each, with `share` bytes a text; each half of it, whole, calibrates with dictionaries of the other half. Scored rows are never cut. An id with both labels counts as label 0; null ids, other labels and labels without a document are passed over.
     """
     learn = labels.filter(col(id_col).isNotNull() & col(label_col).isin(0, 1) & (F.crc32(col(id_col).cast("string").cast("binary")) % 3 != 1)).select(col(id_col).alias("id"), col(label_col).alias("label"))
     sized = docs.select(col(id_col).alias("id"), F.octet_length(F.coalesce(col(text_col), F.lit(""))).alias("size"))
@@ -108,12 +108,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not all(groups):
         only = 0.5 if not any(groups) else float(bool(groups[1]))
         return Model(b" ", b" ", 0.0, float(np.clip((only - 0.5) * 20, -10, 10)))
-    built, held = [x[::2] for x in groups], [x[1::2] or x for x in groups]
-    good, bad = (_dictionary(built[label], dictionary_bytes, share) for label in (1, 0))
-    tools = _compressors(good, bad)
-    x = np.array([feature(t, *tools) for group in held for t in group])
-    y = np.array([float(label) for label, group in enumerate(held) for _ in group])
-    weights = np.array([all_[label] / len(held[label]) for label in y.astype(int).tolist()])  # the sample has as many rows of either class, the labels may not
+    x, y = [], []
+    for half in (0, 1):  # each half is calibrated on with dictionaries of the other one
+        tools = _compressors(*(_dictionary(groups[label][half::2] or groups[label], dictionary_bytes, share) for label in (1, 0)))
+        for label, group in enumerate(groups):
+            held = group[1 - half :: 2]
+            x += [feature(t, *tools) for t in held]
+            y += [float(label)] * len(held)
+    x, y = np.array(x), np.array(y)
+    good, bad = (_dictionary(groups[label], dictionary_bytes, share) for label in (1, 0))
+    weights = np.array([all_[label] / len(groups[label]) for label in y.astype(int).tolist()])  # the sample has as many rows of either class, the labels may not
     weight, bias = _logistic(x, y, weights * len(y) / weights.sum())
     return Model(good, bad, weight, bias)
 
