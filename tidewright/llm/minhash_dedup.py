@@ -283,8 +283,7 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, p
     near_size = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     stars = buckets.filter("id <> hub").select("hub", "id", "n").distinct().join(sizes.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub")
     tested = scratch.keep(stars.filter(near_size).select("hub", "id"), "stars")
-    links = confirm(tested, texts, words, percent, scratch, "links")
-    labels = components(links, scratch, "first")
+    labels = components(confirm(tested, texts, words, percent, scratch, "links"), scratch, "first")
 
     own = _unsettled(buckets, labels, scratch, "unsettled")
     ids = scratch.keep(own.select("id").distinct(), "unsettled-ids")
@@ -299,15 +298,14 @@ def _links(buckets: DataFrame, sizes: DataFrame, texts: DataFrame, words: int, p
     both = tested.unionByName(tested.select(F.col("id").alias("hub"), F.col("hub").alias("id")))
     second = scratch.keep(second.join(both, ["hub", "id"], "left_anti"), "second-stars")
     if not second.isEmpty():
-        links = scratch.keep(links.unionByName(confirm(second, texts, words, percent, scratch, "second-links")), "second-all")
-        labels = components(links, scratch, "second")
+        more = confirm(second, texts, words, percent, scratch, "second-links")
+        labels = components(labels.withColumnRenamed("component", "v").unionByName(more), scratch, "second")
 
     own = _unsettled(buckets, labels, scratch, "still-unsettled").join(known.select("id"), "id", "left_semi")
     members = scratch.keep(own.join(centers.select("key", "hub"), "key").select("hub", "id", "n", "component").distinct(), "members")
     more = _tiled(members, known, percent, scratch)
     if not more.isEmpty():
-        links = scratch.keep(links.unionByName(more), "tile-all")
-        labels = components(links, scratch, "third")
+        labels = components(labels.withColumnRenamed("component", "v").unionByName(more), scratch, "third")
     return labels
 
 
