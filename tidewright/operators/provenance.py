@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import SPACE, anchor_count, count, search_text, strip
+from tidewright.session import merged
 
 #: The fields of each kind of document, and the sources that are documents.
 FIELDS = {
@@ -57,7 +58,7 @@ def wrap(docs: DataFrame, fields: DataFrame, kind: str) -> DataFrame:
     source = F.when(F.col("origin") == "derived", kind + "Derived").otherwise(kind)
     known = fields.filter(F.col("name").isin(*FIELDS[kind]) & (F.col("value_num").isNotNull() | F.col("value_str").isNotNull()))
     found = known.select("doc_id", "name", envelope(F.col("value_num"), F.col("value_str"), source, F.col("confidence"), F.col("unit"), F.col("confirm"), F.col("source_date"), F.col("method")).alias("found"))
-    return empty(docs, kind).join(found, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("found", "field").alias("field"))
+    return empty(docs, kind).join(merged(found), ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("found", "field").alias("field"))
 
 
 def identified_count(wrapped: DataFrame) -> DataFrame:

@@ -44,6 +44,15 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join with another table of documents: both are sorted by the key and merged.
+
+    Spark would go by the size of the files that df comes from. Those of millions of documents may take a few MB, where texts repeat or rows are
+    made of a number; their rows would all be gathered on the driver and sent to every executor.
+    """
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> int:
     """Removes the tables that settled() wrote in this application, once no result reads them any more; returns how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
