@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.rates import clamp
 from tidewright.functions.text import PAYSLIP_LABELS, financial, first_label, fragments, period_score, search_text
+from tidewright.session import merged
 
 #: How near a row's middle a token has to be, and which rows belong to a label's surroundings.
 ROW_REACH, ROW_SHARE, NEAR_Y, NEAR_ROWS, NEAR_MOST = 7.0, 0.65, 72.0, 2, 5
@@ -96,7 +97,7 @@ def neighborhood(anchored: DataFrame, rows: DataFrame, most: int = NEAR_MOST, ti
     """For each anchor the nearest rows of its page, itself included: within NEAR_Y or NEAR_ROWS, by distance, then by `ties` (rows apart, then place)."""
     other = rows.select("doc_id", "row", F.col("page").alias("anchor_page"), F.col("y").alias("row_y"))
     away, apart = F.abs(F.col("row_y") - F.col("anchor_y")), F.abs(F.col("row") - F.col("anchor"))
-    near = anchored.join(other, ["doc_id", "anchor_page"]).withColumns({"away": away, "apart": apart}).filter((F.col("away") <= NEAR_Y) | (F.col("apart") <= NEAR_ROWS))
+    near = anchored.join(merged(other), ["doc_id", "anchor_page"]).withColumns({"away": away, "apart": apart}).filter((F.col("away") <= NEAR_Y) | (F.col("apart") <= NEAR_ROWS))
     rank = F.row_number().over(Window.partitionBy("doc_id", "field", "anchor").orderBy("away", *ties))
     return near.withColumn("near", rank).filter(F.col("near") <= most).drop("row_y")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.rates import let, near
 from tidewright.functions.text import search_text
 from tidewright.operators import layout
-from tidewright.session import settled
+from tidewright.session import merged, settled
 
 #: How many numbers around a label and how many choices count, what a choice adds to the score, and limits.
 AMOUNTS, RATES, SALARY_AMOUNTS, CHOICES = 5, 4, 8, 10
@@ -213,7 +213,7 @@ def period_candidates(rows: DataFrame) -> DataFrame:
     pairs = F.transform(F.regexp_extract_all("plain", F.lit(PERIOD), F.lit(0)), lambda m: F.concat(F.lpad(F.regexp_extract(m, PERIOD, 1), 2, "0"), F.lit("/"), F.regexp_extract(m, PERIOD, 2)))
     dated = rows.withColumn("plain", search_text(F.col("direct_text"))).select("doc_id", F.col("row").alias("anchor"), F.col("page").alias("anchor_page"), F.col("y").alias("anchor_y"), F.posexplode(pairs).alias("n", "value"))
     dated = dated.withColumn("field", F.concat_ws("|", F.lit("period"), F.col("n").cast("string")))
-    around = layout.neighborhood(dated, rows, ties=("row",)).join(rows.select("doc_id", "row", "search_text"), ["doc_id", "row"])
+    around = layout.neighborhood(dated, rows, ties=("row",)).join(merged(rows.select("doc_id", "row", "search_text")), ["doc_id", "row"])
     own = F.col("row") == F.col("anchor")
     good, bad = F.col("search_text").rlike(IS_PERIOD), F.col("search_text").rlike(NO_PERIOD)
     far = lambda top: F.greatest(F.lit(0.12), top - F.col("away") / 180)

@@ -307,7 +307,7 @@ def parse_payslip(s: DataFrame) -> DataFrame:
 def payslip_period(s: DataFrame) -> DataFrame:
     """The month beside its label, and not the month that work began, printed two lines below."""
     more = F.concat(payslip_text(), F.lit("\nDate of birth 01/2001"))
-    rows = layout.build_rows(tokens.of_document(s.select("doc_id", more.alias("text"))))
+    rows = settled(layout.build_rows(tokens.of_document(s.select("doc_id", more.alias("text")))))
     return payslip.payslip_period(rows, F.lit(False)).select("doc_id", F.col("value").alias("month"), "confidence", "clear")
 
 
