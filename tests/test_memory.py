@@ -27,7 +27,7 @@ def few(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["wrap_fields", "payslip_period", "period_group_max", "period_ties", "runner_up_margin"])
+@pytest.mark.parametrize("name", ["wrap_fields", "payslip_period", "period_group_max", "period_ties", "runner_up_margin", "alt_salary_margin"])
 def test_no_documents_are_sent_to_the_driver(spark, no_broadcast, few, name):
     df, con = plans.queries()[name](spark, few), duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{few}/customer.parquet'")

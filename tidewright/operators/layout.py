@@ -108,7 +108,7 @@ def label_values(rows: DataFrame) -> DataFrame:
     Confidence falls with the distance from the label; period is what words on periods in both rows add.
     """
     near = neighborhood(anchors(rows), rows)
-    out = near.join(scored(row_candidates(rows)), ["doc_id", "row"]).withColumns(
+    out = near.join(merged(scored(row_candidates(rows))), ["doc_id", "row"]).withColumns(
         {"value_confidence": F.greatest(F.lit(0.0), F.col("score") - F.col("away") / 260), "period": period_score(F.concat_ws(" ", "anchor_text", "search_text"))}
     )
     each = Window.partitionBy("doc_id", "field", "anchor", "kind")

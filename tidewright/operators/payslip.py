@@ -62,7 +62,7 @@ def contribution_options(values: DataFrame) -> DataFrame:
     made = lambda step, a, r: F.struct("match", F.lit(step).alias("step"), F.lit(a).alias("a") if isinstance(a, int) else a, F.lit(r).alias("r") if isinstance(r, int) else r)
     alone_a = amounts.select(*keys, "amount", none_rate.alias("rate"), (F.col("amount.value_confidence") + F.col("amount.period")).alias("unary"), made(0, F.col("a"), 0).alias("made"))
     alone_r = rates.select(*keys, none_amount.alias("amount"), "rate", rate_score.alias("unary"), made(1, 0, F.col("r")).alias("made"))
-    pairs = amounts.join(rates, keys).filter("amount.id <> rate.id")
+    pairs = amounts.join(merged(rates), keys).filter("amount.id <> rate.id")
     both = F.col("amount.value_confidence") + F.col("rate.value_confidence") + F.col("amount.period") + F.col("rate.period") + F.when(F.col("amount.row_id") == F.col("rate.row_id"), SAME_ROW).otherwise(0.0)
     pairs = pairs.select(*keys, "amount", "rate", both.alias("unary"), made(2, F.col("a"), F.col("r")).alias("made"))
     options = alone_a.unionByName(alone_r).unionByName(pairs).withColumns({"amount_id": F.coalesce("amount.id", F.lit("-")), "rate_id": F.coalesce("rate.id", F.lit("-"))})
@@ -86,7 +86,7 @@ def evaluate_tuples(salaries: DataFrame, options: DataFrame) -> DataFrame:
         chosen = F.struct("amount", "rate", "alias_id", "anchor_page", "unary")
         choices = options.filter(F.col("field") == field).select("doc_id", chosen.alias(role), F.col("choice").alias(f"{role}_choice"))
         none = salaries.select("doc_id").distinct().select("doc_id", F.lit(None).cast(choices.schema[role].dataType).alias(role), F.lit(CHOICES + 1).alias(f"{role}_choice"))
-        out = out.join(choices.unionByName(none), "doc_id")
+        out = out.join(merged(choices.unionByName(none)), "doc_id")
         amount, rate = F.col(f"{role}.amount.value"), F.col(f"{role}.rate.value")
         ids = F.array_compact(F.array(F.col(f"{role}.amount.id"), F.col(f"{role}.rate.id")))
         fine_amount = amount.isNull() | ((amount > 0) & (amount < base) & (amount / base <= MOST_RATE))
@@ -111,15 +111,15 @@ def global_tuple(solutions: DataFrame) -> DataFrame:
     ranked = solutions.withColumns({"rank": F.row_number().over(order), "solutions": F.count("*").over(Window.partitionBy("doc_id"))})
     best = ranked.filter("rank = 1").drop("rank", "places")
     own = best.select("doc_id", F.col("salary.amount.id").alias("own"))
-    others = ranked.join(own, "doc_id").filter("salary.amount.id <> own").groupBy("doc_id").agg(F.min_by(F.struct("score", F.col("salary.amount.value").alias("value")), "rank").alias("other"))
+    others = ranked.join(merged(own), "doc_id").filter("salary.amount.id <> own").groupBy("doc_id").agg(F.min_by(F.struct("score", F.col("salary.amount.value").alias("value")), "rank").alias("other"))
     unclear = (F.col("score") - F.col("other.score") < CLEAR_SALARY) & ~near(F.col("salary.amount.value"), F.col("other.value"), 2, 0.025)
-    return best.join(others, "doc_id", "left").withColumn("ambiguous", F.coalesce(unclear, F.lit(False))).drop("other")
+    return best.join(merged(others), "doc_id", "left").withColumn("ambiguous", F.coalesce(unclear, F.lit(False))).drop("other")
 
 
 def candidate_counts(salaries: DataFrame, options: DataFrame, best: DataFrame) -> DataFrame:
     """doc_id, salaries, employee, employer, severance, solutions."""
     each = options.groupBy("doc_id").agg(*[F.count_if(F.col("field") == field).alias(role) for role, (field, _, _) in ROLES.items()])
-    out = best.select("doc_id", "solutions").join(salaries.groupBy("doc_id").agg(F.count("*").alias("salaries")), "doc_id").join(each, "doc_id", "left")
+    out = best.select("doc_id", "solutions").join(merged(salaries.groupBy("doc_id").agg(F.count("*").alias("salaries"))), "doc_id").join(merged(each), "doc_id", "left")
     return out.select("doc_id", "salaries", *[F.coalesce(r, F.lit(0)).alias(r) for r in ROLES], "solutions")
 
 
@@ -127,13 +127,13 @@ def rejected_conflicts(values: DataFrame, best: DataFrame) -> DataFrame:
     """doc_id, role: where a number that was chosen stands beside one that contradicts it at the chosen salary."""
     pairs = values.filter(f"kind = 'amount' and rank <= {AMOUNTS}").select("doc_id", "field", "match", F.col("id").alias("a"), F.col("value").alias("amount_value"))
     rates = values.filter(f"kind = 'rate' and rank <= {RATES}").select("doc_id", "field", "match", F.col("id").alias("r"), F.col("value").alias("rate_value"))
-    pairs = pairs.join(rates, ["doc_id", "field", "match"]).filter("a <> r")
+    pairs = pairs.join(merged(rates), ["doc_id", "field", "match"]).filter("a <> r")
     salary = F.col("salary.amount.value")
     chosen = best.select("doc_id", salary.alias("salary_value"), F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(f).alias("field"), F.col(r).alias("c")) for r, (f, _, _) in ROLES.items()])).alias("x"))
     chosen = chosen.select("doc_id", "salary_value", "x.role", "x.field", F.col("x.c.amount.id").alias("ca"), F.col("x.c.rate.id").alias("cr"), F.col("x.c.amount.value").alias("cav"), F.col("x.c.rate.value").alias("crv"))
     settled = F.col("ca").isNotNull() & F.col("cr").isNotNull() & _agrees(F.col("cav"), F.col("crv"), F.col("salary_value"))
     chosen = chosen.filter((F.col("ca").isNotNull() | F.col("cr").isNotNull()) & ~settled)
-    touching = chosen.join(pairs, ["doc_id", "field"]).filter(F.coalesce(F.col("a") == F.col("ca"), F.lit(False)) | F.coalesce(F.col("r") == F.col("cr"), F.lit(False)))
+    touching = chosen.join(merged(pairs), ["doc_id", "field"]).filter(F.coalesce(F.col("a") == F.col("ca"), F.lit(False)) | F.coalesce(F.col("r") == F.col("cr"), F.lit(False)))
     return touching.filter(~_agrees(F.col("amount_value"), F.col("rate_value"), F.col("salary_value"))).select("doc_id", "role").distinct()
 
 
@@ -263,7 +263,7 @@ def parse(tokens: DataFrame, ocr: bool = False) -> DataFrame:
     best = settled(global_tuple(settled(evaluate_tuples(salaries, options))))
     gross = values.filter("field = 'grossSalary' and match = 1 and kind = 'amount' and rank = 1").select("doc_id", _struct().alias("gross"), F.col("alias_id").alias("gross_alias"), F.col("anchor_page").alias("gross_page"))
     conflicts = rejected_conflicts(values, best).groupBy("doc_id").agg(F.collect_set("role").alias("conflicts"))
-    docs = rows.select("doc_id").distinct().join(best, "doc_id", "left").join(gross, "doc_id", "left").join(conflicts, "doc_id", "left")
+    docs = rows.select("doc_id").distinct().join(merged(best), "doc_id", "left").join(merged(gross), "doc_id", "left").join(merged(conflicts), "doc_id", "left")
     unclear = F.coalesce("ambiguous", no)
     salary = direct(F.col("salary.amount"), F.col("salary.alias_id"), F.col("salary.anchor_page"), scan, "ILS", F.when(unclear, "ambiguous-salary-candidates").otherwise("not-checked"), F.when(unclear, 0.12).otherwise(0.0), unclear)
     docs = settled(docs.withColumns({"insuredSalary": salary, "grossSalary": direct(F.col("gross"), F.col("gross_alias"), F.col("gross_page"), scan, "ILS", F.lit("not-checked"), F.lit(0.0), no)}))
@@ -275,7 +275,7 @@ def parse(tokens: DataFrame, ocr: bool = False) -> DataFrame:
     docs = docs.withColumns({n: F.col(f"{role}_pair.{kind}") for role, (_, a, r) in ROLES.items() for kind, n in (("amount", a), ("rate", r))})
     docs = settled(docs.select("doc_id", *names))
     month = payslip_period(rows, scan).select("doc_id", F.col("value").alias("month"), F.col("page").alias("month_page"), F.col("confidence").alias("month_confidence"), "clear")
-    docs = docs.join(month, "doc_id", "left")
+    docs = docs.join(merged(month), "doc_id", "left")
     rest = [F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in names]
     long = docs.select("doc_id", "month", F.explode(F.filter(F.array(*rest), lambda x: x["f"].isNotNull())).alias("x"))
     method = F.lit("ocr" if ocr else "pdf-text")
@@ -301,11 +301,11 @@ def parse_with_fallback(tokens: DataFrame, texts: DataFrame, ocr: bool = False)
     from tidewright.sources.tokens import of_document
 
     first = settled(parse(tokens, ocr))
-    poor = texts.join(has_critical(first), "doc_id", "left_anti").join(tokens.select("doc_id").distinct(), "doc_id", "left_semi").filter(F.trim("text") != "")
+    poor = texts.join(merged(has_critical(first)), "doc_id", "left_anti").join(merged(tokens.select("doc_id").distinct()), "doc_id", "left_semi").filter(F.trim("text") != "")
     second = settled(parse(of_document(poor.select("doc_id", "text")), ocr))
     better = has_critical(second)
-    kept = first.join(better, "doc_id", "left_anti").withColumn("stream", F.lit("tokens"))
-    return kept.unionByName(second.join(better, "doc_id", "left_semi").withColumn("stream", F.lit("flattened-text-fallback")))
+    kept = first.join(merged(better), "doc_id", "left_anti").withColumn("stream", F.lit("tokens"))
+    return kept.unionByName(second.join(merged(better), "doc_id", "left_semi").withColumn("stream", F.lit("flattened-text-fallback")))
 
 
 def diagnostics(fields: DataFrame) -> DataFrame:
