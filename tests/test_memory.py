@@ -2,9 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import SF, rows
 
 from tidewright import plans
+from tidewright.operators import extraction, provenance
+from tidewright.plans import documents
 
 
 @pytest.fixture
@@ -27,7 +30,7 @@ def few(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["wrap_fields", "payslip_period", "period_group_max", "period_ties", "runner_up_margin", "alt_salary_margin"])
+@pytest.mark.parametrize("name", ["wrap_fields", "payslip_period", "period_group_max", "period_ties", "runner_up_margin", "alt_salary_margin", "parse_payslip_ocr"])
 def test_no_documents_are_sent_to_the_driver(spark, no_broadcast, few, name):
     df, con = plans.queries()[name](spark, few), duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{few}/customer.parquet'")
@@ -36,3 +39,24 @@ def test_no_documents_are_sent_to_the_driver(spark, no_broadcast, few, name):
     assert len(got) == len(expected) > 0
     for a, b in zip(got, expected, strict=True):
         assert all(x == y or isinstance(x, float) and x == pytest.approx(y, rel=1e-9) for x, y in zip(a, b, strict=True)), (a, b)
+
+
+@pytest.mark.parametrize("kind", ["payslip", "pensionReport"])
+def test_a_text_is_cleaned_once_to_be_assessed(spark, kind):
+    """Each of a text's labels and signs would else clean it anew: two passes for the search form, two for the signs, each with the ends."""
+    plan = spark.createDataFrame([("Insured salary 8,000",)], "text string").select(provenance.assess_text(F.col("text"), kind).alias("assessed"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 7
+
+
+def test_files_are_dealt_to_all_tasks(spark, few, monkeypatch):
+    """The table that all of extract() reads is made by as many tasks as a shuffle has, though its input is one small file."""
+    parts = []
+
+    def stop(df):
+        parts.append(df.rdd.getNumPartitions())
+        raise StopIteration
+
+    monkeypatch.setattr(extraction, "settled", stop)
+    with pytest.raises(StopIteration):
+        extraction.extract(documents._files(documents.seed(spark, few)))
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators import layout, payslip, provenance, report
-from tidewright.session import settled
+from tidewright.session import merged, settled
 from tidewright.sources import files, tokens
 from tidewright.streaming import pages as paged
 
@@ -50,16 +50,19 @@ def payslips(docs: DataFrame) -> DataFrame:
     found = settled(tokens.of_document(docs))
     first = settled(payslip.parse_with_fallback(found, docs.select("doc_id", "text")).drop("stream"))
     salary = lambda fields: fields.filter("name = 'insuredSalary'").select("doc_id")
-    again = settled(payslip.parse(tokens.of_document(settled(_in_order(found.join(salary(first), "doc_id", "left_anti"))))))
+    unread = settled(_in_order(found.join(merged(salary(first)), "doc_id", "left_anti")))
+    if unread.isEmpty():
+        return first
+    again = settled(payslip.parse(tokens.of_document(unread)))
     better = salary(again)
-    return first.join(better, "doc_id", "left_anti").unionByName(again.join(better, "doc_id", "left_semi"))
+    return first.join(merged(better), "doc_id", "left_anti").unionByName(again.join(merged(better), "doc_id", "left_semi"))
 
 
 def scans(docs: DataFrame) -> DataFrame:
     """Fields of payslips from recognised pages (doc_id, ocr_pages): of the first pages that have a salary and a contribution, else of all that count."""
     found = settled(tokens.of_document(docs.select("doc_id", F.lit(None).cast("string").alias("text"), F.col("ocr_pages").alias("pages"))).filter(F.col("page") <= files.PAYSLIP_PAGES))
     enough = settled(paged.first_sufficient_page(found, files.PAYSLIP_PAGES)).select(F.col("doc_id").alias("key"), F.col("page").alias("last"))
-    used = found.withColumn("key", F.col("doc_id").cast("string")).join(enough, "key", "left").filter("last is null or page <= last").drop("key", "last")
+    used = found.withColumn("key", F.col("doc_id").cast("string")).join(merged(enough), "key", "left").filter("last is null or page <= last").drop("key", "last")
     return payslip.parse(settled(used), ocr=True)
 
 
@@ -73,26 +76,27 @@ def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     read = F.filter("pages", lambda p: F.coalesce(p["page_number"], F.lit(1)) <= most)
     seen = docs.withColumns({"gate": files.gate(), "text": F.coalesce("text", F.lit("")), "pages": read, "most": most})
     early = F.coalesce("gate", F.when(F.col("page_count") > files.MOST_PAGES, "too-many-pages").when(files.wrong_document(F.col("text"), kind), "wrong-document"))
-    assessed = F.when(kind == "payslip", provenance.assess_text(F.col("text"), "payslip")["reason"]).otherwise(provenance.assess_text(F.col("text"), "pensionReport")["reason"])
-    seen = settled(seen.withColumns({"early": early, "assessed": assessed}).drop("content"))
+    judged = F.when(F.col("early").isNull(), F.col("text"))
+    assessed = F.when(kind == "payslip", provenance.assess_text(judged, "payslip")["reason"]).otherwise(provenance.assess_text(judged, "pensionReport")["reason"])
+    seen = settled(seen.withColumn("early", early).withColumn("assessed", assessed).drop("content"))
     open_ = seen.filter("early is null")
     slips, sheets = open_.filter("kind = 'payslip'"), open_.filter("kind = 'pensionReport'")
 
     native = settled(provenance.wrap(slips.select("doc_id"), payslips(slips.select("doc_id", "text", "pages")), "payslip"))
     counts = settled(provenance.identified_count(native))
     poor = counts.filter("identified = 0").select("doc_id")
-    scanned = slips.join(poor, "doc_id").select("doc_id", "ocr_pages")
+    scanned = slips.join(merged(poor), "doc_id").select("doc_id", "ocr_pages")
     recognised = settled(provenance.wrap(scanned.select("doc_id"), scans(scanned), "payslip"))
     printed = settled(provenance.wrap(sheets.select("doc_id"), reports(sheets.select("doc_id", "text", "pages")), "pensionReport"))
-    fields = native.join(poor, "doc_id", "left_anti").withColumn("method", F.lit("pdf-text"))
+    fields = native.join(merged(poor), "doc_id", "left_anti").withColumn("method", F.lit("pdf-text"))
     fields = settled(fields.unionByName(recognised.withColumn("method", F.lit("ocr"))).unionByName(printed.withColumn("method", F.lit("pdf-text"))))
 
-    found = provenance.identified_count(fields.select("doc_id", "field")).drop("status").join(fields.groupBy("doc_id").agg(F.first("method").alias("method")), "doc_id")
-    out = seen.join(found, "doc_id", "left").withColumn("identified", F.coalesce("identified", F.lit(0)).cast("long"))
+    found = provenance.identified_count(fields.select("doc_id", "field")).drop("status").join(merged(fields.groupBy("doc_id").agg(F.first("method").alias("method"))), "doc_id")
+    out = seen.join(merged(found), "doc_id", "left").withColumn("identified", F.coalesce("identified", F.lit(0)).cast("long"))
     late = F.when(F.col("identified") > 0, "partial").when((kind == "payslip") & (F.col("page_count") > F.col("most")), "page-limit").otherwise("manual-required")
     status = F.coalesce("early", late)
     reason = F.when(F.col("early") == "too-many-pages", "page-count-limit").when(F.col("early") == "wrong-document", "document-signals-mismatch").when(F.col("early").isNull(), F.when((kind == "payslip") & (F.col("method") == "pdf-text"), "native-text-usable").otherwise(F.col("assessed")))
     method = F.when(F.col("early") == "wrong-document", "pdf-text").otherwise(F.col("method"))
     label = F.when((kind == "pensionReport") & (status == "partial"), report.classification(F.col("text")))
     results = out.select("doc_id", "kind", status.alias("status"), reason.alias("reason"), method.alias("method"), "identified", label.alias("classification"))
-    return results, fields.join(results.filter("status = 'partial'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "name", "field")
+    return results, fields.join(merged(results.filter("status = 'partial'").select("doc_id")), "doc_id", "left_semi").select("doc_id", "name", "field")

@@ -302,7 +302,10 @@ def parse_with_fallback(tokens: DataFrame, texts: DataFrame, ocr: bool = False)
 
     first = settled(parse(tokens, ocr))
     poor = texts.join(merged(has_critical(first)), "doc_id", "left_anti").join(merged(tokens.select("doc_id").distinct()), "doc_id", "left_semi").filter(F.trim("text") != "")
-    second = settled(parse(of_document(poor.select("doc_id", "text")), ocr))
+    poor = settled(poor.select("doc_id", "text"))
+    if poor.isEmpty():
+        return first.withColumn("stream", F.lit("tokens"))
+    second = settled(parse(of_document(poor), ocr))
     better = has_critical(second)
     kept = first.join(merged(better), "doc_id", "left_anti").withColumn("stream", F.lit("tokens"))
     return kept.unionByName(second.join(merged(better), "doc_id", "left_semi").withColumn("stream", F.lit("flattened-text-fallback")))

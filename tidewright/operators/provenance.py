@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.rates import let
 from tidewright.functions.text import SPACE, anchor_count, count, search_text, strip
 from tidewright.session import merged
 
@@ -22,6 +23,7 @@ FIELDS = {
 }
 DOCUMENT_SOURCES = ("payslip", "payslipDerived", "pensionReport", "pensionReportDerived", "crossValidated")
 LEAST_SURE = 0.9
+SIGNS = ("too-little-text", "unusable-character-order", "too-few-digits", "too-few-words", "no-payslip-anchors")
 
 
 def envelope(value_num: Column, value_str: Column, source: Column, confidence: Column, unit: Column | None = None, confirm: Column | None = None, source_date: Column | None = None, method: Column | None = None) -> Column:
@@ -76,16 +78,24 @@ def counts(sources: Column) -> tuple[Column, Column]:
 
 def assess_text(text: Column, kind: str) -> Column:
     """struct<useful, reason, score> of a document's own text: five signs, of which four are needed, among them length, digits and a label."""
-    text = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{1f}]+", " "), f"{SPACE}+", " "))
-    printable = F.try_divide(count(text, "[\\x{590}-\\x{5ff}\\x20-\\x7e]").cast("double"), F.length(text))
-    signs = {
-        "too-little-text": F.length(text) >= 36,
-        "unusable-character-order": F.coalesce(printable, F.lit(0.0)) >= 0.65,
-        "too-few-digits": count(text, "[0-9]") >= 3,
-        "too-few-words": count(text, "(?i)[\\x{590}-\\x{5ff}a-z]") >= 8,
-        "no-payslip-anchors": anchor_count(search_text(text), kind) >= 1,
-    }
-    score = sum((s.cast("int") for s in signs.values()), F.lit(0))
-    reason = F.coalesce(*[F.when(~s, F.lit(name)) for name, s in signs.items()], F.lit("native-text-usable"))
-    useful = (score >= 4) & signs["too-little-text"] & signs["too-few-digits"] & signs["no-payslip-anchors"]
-    return F.struct(useful.alias("useful"), reason.alias("reason"), score.alias("score"))
+    plain = strip(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x{0}-\\x{1f}]+", " "), f"{SPACE}+", " "))
+
+    def signs(t: Column) -> Column:
+        text = t["plain"]
+        printable = F.try_divide(count(text, "[\\x{590}-\\x{5ff}\\x20-\\x7e]").cast("double"), F.length(text))
+        found = {
+            "too-little-text": F.length(text) >= 36,
+            "unusable-character-order": F.coalesce(printable, F.lit(0.0)) >= 0.65,
+            "too-few-digits": count(text, "[0-9]") >= 3,
+            "too-few-words": count(text, "(?i)[\\x{590}-\\x{5ff}a-z]") >= 8,
+            "no-payslip-anchors": anchor_count(t["searched"], kind) >= 1,
+        }
+        return F.struct(*[s.alias(name) for name, s in found.items()])
+
+    def verdict(s: Column) -> Column:
+        score = sum((s[name].cast("int") for name in SIGNS), F.lit(0))
+        reason = F.coalesce(*[F.when(~s[name], F.lit(name)) for name in SIGNS], F.lit("native-text-usable"))
+        useful = (score >= 4) & s["too-little-text"] & s["too-few-digits"] & s["no-payslip-anchors"]
+        return F.struct(useful.alias("useful"), reason.alias("reason"), score.alias("score"))
+
+    return let(let(F.struct(plain.alias("plain"), search_text(plain).alias("searched")), signs), verdict)

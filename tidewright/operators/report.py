@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.rates import let, near
 from tidewright.functions.text import AMOUNT, ANY_DATE, MONTH_DATE, PERCENTAGE, REPORT_LABELS, SPACE, YEARLY, financial, fragments, holds, parse_date, search_text, strip
 from tidewright.operators.layout import build_rows
-from tidewright.session import settled
+from tidewright.session import merged, settled
 
 #: Plausible balances, fees and contributions, and what makes a fee's place likely.
 LEAST_BALANCE, MOST_BALANCE, MOST_FEE, LEAST_FEE_SCORE, FEE_ROWS = 100, 1e8, 0.2, 0.35, 5
@@ -61,11 +61,11 @@ def fee_candidates(rows: DataFrame) -> DataFrame:
     labels = tagged.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(holds(searched, group), F.struct(F.lit(field).alias("field"), F.col("row").alias("label_row"), F.col("page").alias("label_page"), F.col("y").alias("label_y"))) for field, group in FEES.items()]))).alias("label")).select("doc_id", "label.*")
     key = ["doc_id", "row", "n", "field"]
     distance = F.when(F.col("label_page") == F.col("page"), 0.0).otherwise(100.0) + F.abs(F.col("label_y") - F.col("y"))
-    matched = rates.join(labels, "doc_id").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(distance, "label_row"))).filter("place = 1").drop("place")
+    matched = rates.join(merged(labels), "doc_id").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(distance, "label_row"))).filter("place = 1").drop("place")
     matched = matched.withColumn("apart", F.abs(F.col("label_row") - F.col("row"))).filter((F.col("label_page") == F.col("page")) & (F.col("apart") <= FEE_ROWS))
     headers = tagged.filter("personal or average").select("doc_id", F.col("row").alias("header_row"), F.col("personal").alias("header_personal"))
     by_header = Window.partitionBy(*key).orderBy(F.abs(F.col("header_row") - F.col("row")).asc_nulls_last(), "header_row")
-    matched = matched.join(headers, "doc_id", "left").withColumn("place", F.row_number().over(by_header)).filter("place = 1")
+    matched = matched.join(merged(headers), "doc_id", "left").withColumn("place", F.row_number().over(by_header)).filter("place = 1")
     headed = F.when(F.abs(F.col("header_row") - F.col("row")) <= FEE_ROWS, F.col("header_personal"))
     score = fee_score(F.col("apart"), headed, holds(F.col("direct_search"), "fundAverage"), holds(F.col("direct_search"), "personalFees"))
     return matched.select("doc_id", "field", F.format_string("p%d-r%d-fee%d", "page", "row", "n").alias("id"), "value", "page", score.alias("score"), F.struct("row", "n").alias("made"), F.col("apart"))
@@ -80,7 +80,7 @@ def fee_pair(candidates: DataFrame) -> DataFrame:
         side = ranked.filter(F.col("field") == field).select("doc_id", F.struct("id", "value", "page", "score").alias(name), F.col("place").alias(f"{name}_place"))
         none = candidates.select("doc_id").distinct().select("doc_id", F.lit(None).cast(side.schema[name].dataType).alias(name), F.lit(1 << 30).alias(f"{name}_place"))
         sides.append(side.unionByName(none))
-    pairs = sides[0].join(sides[1], "doc_id").filter(F.col("d").isNull() | F.col("b").isNull() | (F.col("d.id") != F.col("b.id")))
+    pairs = sides[0].join(merged(sides[1]), "doc_id").filter(F.col("d").isNull() | F.col("b").isNull() | (F.col("d.id") != F.col("b.id")))
     total = F.coalesce("d.score", F.lit(0.0)) + F.coalesce("b.score", F.lit(0.0))
     best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(total.desc(), "d_place", "b_place"))).filter("place = 1")
     chosen = F.array(*[F.struct(F.lit(field).alias("field"), F.col(f"{name}.value").alias("value"), F.col(f"{name}.page").alias("page"), F.col(f"{name}.score").alias("score")) for field, name in zip(FEES, ("d", "b"), strict=True)])
@@ -188,7 +188,7 @@ def parse(tokens: DataFrame, texts: DataFrame | None = None, ocr: bool = False)
     parts.append(_field(fee_pair(settled(fee_candidates(rows))), F.col("field"), 0.95, "ratio", F.col("field"), F.col("value")))
     parts.append(_field(provider(rows), "pensionProvider", 0.9, "text", "pension-provider", text=F.col("value")))
     history = settled(contribution_rows(rows))
-    latest = settled(latest_row(history).join(recurring_evidence(history), "doc_id"))
+    latest = settled(latest_row(history).join(merged(recurring_evidence(history)), "doc_id"))
     sure = F.when(F.col("recurring"), 0.97).otherwise(0.88)
     names = {"salary": "latestReportedPensionableSalary", "employee": "latestEmployeeContributionAmount", "employer": "latestEmployerContributionAmount", "severance": "latestSeveranceContributionAmount"}
     for measure, name in names.items():
@@ -199,7 +199,7 @@ def parse(tokens: DataFrame, texts: DataFrame | None = None, ocr: bool = False)
         texts = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", _both(rows).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     dates = latest_date(texts)
     parts.append(_field(dates, "reportDate", 0.82, "date", "latest-date", text=F.col("display"), page=F.lit(1)))
-    parts.append(_field(dates.join(balance.select("doc_id"), "doc_id"), "balanceDate", 0.8, "date", "report-period-end", text=F.col("display"), origin="derived", page=F.lit(1)))
+    parts.append(_field(dates.join(merged(balance.select("doc_id")), "doc_id"), "balanceDate", 0.8, "date", "report-period-end", text=F.col("display"), origin="derived", page=F.lit(1)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -213,6 +213,6 @@ def classification(text: Column) -> Column:
 def with_token_fees(fields: DataFrame, tokens: DataFrame) -> DataFrame:
     """fields (of a report's text) in which fees that the tokens' places give replace the text's."""
     fees = settled(fee_pair(settled(fee_candidates(settled(build_rows(tokens))))))
-    kept = fields.join(fees.select("doc_id", F.col("field").alias("name")), ["doc_id", "name"], "left_anti")
+    kept = fields.join(merged(fees.select("doc_id", F.col("field").alias("name"))), ["doc_id", "name"], "left_anti")
     new = _field(fees, F.col("field"), 0.96, "ratio", F.col("field"), F.col("value")).withColumns({"confirm": F.lit(False), "method": F.lit("pdf-text")})
     return kept.unionByName(new)

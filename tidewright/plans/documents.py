@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import rates, text
 from tidewright.operators import extraction, layout, payslip, provenance, reconcile, report
-from tidewright.session import ready, settled
+from tidewright.session import ready, settled, spread
 from tidewright.sources import files, store, tokens
 from tidewright.streaming import pages
 
@@ -795,7 +795,7 @@ def _files(s: DataFrame) -> DataFrame:
     third = page(3, F.concat(F.lit("Severance "), comma(F.col("salary") * 0.0833)))
     scan = extraction.recorded_pages(F.when(case == 5, F.concat(F.lit("["), F.concat_ws(",", first, second, third), F.lit("]"))))
     text = F.when(case.isin(2, 3), report_text()).when(case.isin(1, 4, 7), payslip_text()).otherwise("")
-    return s.select(
+    return spread(s).select(
         "doc_id",
         F.when(case == 0, "a.doc").otherwise("a.pdf").alias("name"),
         F.lit("").alias("mime"),

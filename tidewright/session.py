@@ -53,6 +53,14 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df dealt to as many tasks as Spark uses for shuffles, by the key, so that grouping by it needs no further shuffle.
+
+    A file of a few MB is read by one task, which would also render and split the texts of all its documents.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def release(spark: SparkSession) -> int:
     """Removes the tables that settled() wrote in this application, once no result reads them any more; returns how many there were."""
     paths = _written.pop(spark.sparkContext.applicationId, [])

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators import payslip
+from tidewright.session import merged
 
 
 def prefixes(tokens: DataFrame, most_pages: int) -> DataFrame:
     """tokens once for each prefix of its document's first pages; prefix is the last page in it, and doc_id names both."""
     upto = F.explode(F.sequence(F.col("page"), F.lit(most_pages)))
     pages = tokens.groupBy("doc_id").agg(F.least(F.max("page"), F.lit(most_pages)).alias("last"))
-    rows = tokens.filter(F.col("page") <= most_pages).withColumn("prefix", upto).join(pages, "doc_id").filter("prefix <= last")
+    rows = tokens.filter(F.col("page") <= most_pages).withColumn("prefix", upto).join(merged(pages), "doc_id").filter("prefix <= last")
     return rows.withColumn("doc_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("prefix").cast("string")))
 
 
